@@ -24,11 +24,13 @@ from tessera.staging import stage
 from .text import ascii_lower
 
 WINDOW = 10
-SHINGLE = 3
+SHINGLE = 4
 #: Everything else of ASCII parts words; characters beyond ASCII belong to them.
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Bits of the bitmap for each benchmark shingle: about 1 place in 16 of those that match none passes it.
 BITS_EACH = 16
+#: Window tables of at most this many shingles (some 200 bytes each) are broadcast; larger ones are joined by shuffle.
+MOST_BROADCAST = 100_000
 #: Benchmarks with more shingles than this are met by a join on every place instead of the bitmap.
 MOST_INLINE = 500_000
 
@@ -107,7 +109,9 @@ def contained(docs: DataFrame, items: DataFrame, text: str = "text", ident: str
     tokens = pieces.withColumn("short", F.size("words") < shingle)
     found = stage(matches(docs, text, ident, tokens, window, shingle), "matches")
     spots = found.where(F.size("hits") > 0).select("ident", "print", "chars", "n_words", F.inline("hits"))
-    counts = spots.join(tokens.select("token").distinct(), "token", "left_semi").groupBy("token").count()
+    known = tokens.select("token").distinct()
+    bounded = F.broadcast if pieces.count() <= MOST_BROADCAST else (lambda df: df)
+    counts = spots.select("token").join(bounded(known), "token", "left_semi").groupBy("token").count()
     rare = Window.partitionBy("item", "words").orderBy(F.coalesce("count", F.lit(0)), "at")
     # a shingle that no document holds makes its window the empty side of the join
     prefix = pieces.join(counts, "token", "left").withColumn("nth", F.row_number().over(rare)).where("nth = 1 AND count > 0")
@@ -115,7 +119,7 @@ def contained(docs: DataFrame, items: DataFrame, text: str = "text", ident: str
     start = F.col("at") - F.col("offset")
     fits = (start >= 0) & (start + F.size("words") <= F.col("n_words"))
     same = F.slice("near", start - F.col("first") + 1, F.size("words")) == F.col("words")
-    hits = spots.join(prefix, "token").where(fits).where(same).select("ident", "print", "chars", "item", start.alias("start"), F.size("words").alias("length")).distinct()
+    hits = spots.join(bounded(prefix), "token").where(fits).where(same).select("ident", "print", "chars", "item", start.alias("start"), F.size("words").alias("length")).distinct()
     key = ["ident", "print", "chars"]
     # each item's stretches are merged as far as they touch before a document's are
     covered = hits.groupBy(*key, "item").agg(F.collect_set(F.struct("start", "length")).alias("s"))
