@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, sharding, url_filter
+from . import decontaminate, jaccard_join, mixing, pii, secrets, sharding, url_filter
 from .text import read
 
 #: The base rules (host and path prefix) and the verdicts they give.
@@ -48,12 +48,24 @@ FROM ruled
 """
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers and disclosing terms of every document."""
+    found = pii.sanitise(read(spark, sf_dir, "documents", "doc_id", "text"), rewrite=False)
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed to the weights 5, 2, 1."""
     mixed = mixing.mix(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of five-word-shingle links at 0.8."""
+    found = jaccard_join.join(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.withColumnRenamed("ident", "doc_id")
+
+
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes."""
     sharded = sharding.shard(read(spark, sf_dir, "documents", "doc_id", "text"))
@@ -61,6 +73,18 @@ def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed patterns and random strings in every document."""
+    found = secrets.scan(read(spark, sf_dir, "documents", "doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *(count(k).alias(f"n_{k}") for k in secrets.KINDS[:3]),
+        F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"),
+        secrets.listed(F.array_sort(F.concat("base", "random"))).alias("spans"),
+    )
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words that lie in windows of the benchmark."""
     docs, items = read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text")
@@ -92,5 +116,5 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-QUERIES = {"op9_decontaminate": op9_decontaminate, "op5_mix_sources": op5_mix_sources, "op7_shard": op7_shard, "op10_url_filter": op10_url_filter}
+QUERIES = {"op6_jaccard_join": op6_jaccard_join, "op3_pii": op3_pii, "op8_secrets": op8_secrets, "op9_decontaminate": op9_decontaminate, "op5_mix_sources": op5_mix_sources, "op7_shard": op7_shard, "op10_url_filter": op10_url_filter}
 SQL = {"op9_decontaminate": OP9_SQL, "op10_url_filter": OP10_SQL}

@@ -46,3 +46,46 @@ def constant_table(spark, rows: list[dict], schema: str) -> DataFrame:
 def schema_fields(schema: str) -> str:
     """``a long, b string`` as the fields of a struct type."""
     return ", ".join(f"{name}: {kind}" for name, kind in (field.split() for field in schema.split(",")))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body (or a loop in it) refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def sums_before(lengths: Column, chunk: int = 256) -> Column:
+    """For each element of an array of longs the sum of those before it; by chunks, so that time stays near linear."""
+    zero = F.lit(0).cast("long")
+    none = F.array().cast("array<bigint>")
+    grow = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+    fold = lambda part, first: F.aggregate(part, F.struct(first.alias("at"), none.alias("out")), grow)["out"]
+    piece = lambda xs, c: F.slice(xs, c * chunk + 1, chunk)
+
+    def whole(xs: Column) -> Column:
+        chunks = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / chunk).cast("int"))
+        sums = F.transform(chunks, lambda c: F.aggregate(piece(xs, c), zero, lambda a, n: a + n))
+        return let(fold(sums, zero), lambda starts: F.flatten(F.transform(chunks, lambda c: fold(piece(xs, c), F.get(starts, c)))))
+
+    return let(lengths, lambda xs: F.when(F.size(xs) == 0, none).otherwise(whole(xs)))
+
+
+def find_all(text: Column, regex: str) -> Column:
+    """All leftmost non-overlapping matches as structs (start, end, hit); positions in code points, end exclusive.
+
+    The pieces between matches and the matches themselves, in turn, spell the
+    text, so running lengths give the positions.
+    """
+    none = F.array().cast("array<struct<start: bigint, end: bigint, hit: string>>")
+    long = lambda s: F.length(s).cast("long")
+
+    def placed(hits: Column) -> Column:
+        return let(
+            F.arrays_zip(hits.alias("hit"), F.slice(F.split(text, regex, -1), F.lit(1), F.size(hits)).alias("gap")),
+            lambda z: F.zip_with(
+                z,
+                sums_before(F.transform(z, lambda x: long(x["hit"]) + long(x["gap"]))),
+                lambda x, at: F.struct((at + long(x["gap"])).alias("start"), (at + long(x["gap"]) + long(x["hit"])).alias("end"), x["hit"].alias("hit")),
+            ),
+        )
+
+    return let(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), lambda hits: F.when(F.size(hits) == 0, none).otherwise(placed(hits)))
