@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, mixing, pii, secrets, sharding, url_filter
+from . import decontaminate, jaccard_join, mixing, pii, secrets, sharding, toxicity, url_filter, vp_search
 from .text import read
 
 #: The base rules (host and path prefix) and the verdicts they give.
@@ -13,6 +13,11 @@ BASE_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/
 #: Patterns of unwanted hosts and tracking links that hold where no base rule does.
 PATTERNS = ["||spam-farm.", "||cheap-pills.", "||casino-*.", "||adult-*.", "||free-bets.", "||ads-track.", "||doubleclick.", "/adserver/", "/popunder/"]
 
+#: Fixed value: documents that score at least this are predicted toxic.
+TOXIC_FROM = 0.7
+#: Recall against brute force at this factor is measured in the tests and stated in the README.
+NEAREST_FACTOR = 1.5
+
 
 def url_rules() -> list[url_filter.Rule]:
     return [url_filter.Rule(name, verdict, f"||{name}", base=True) for name, verdict in BASE_RULES] + [url_filter.Rule(p, "block", p) for p in PATTERNS]
@@ -48,12 +53,25 @@ FROM ruled
 """
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (toxicity.fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifiers and disclosing terms of every document."""
     found = pii.sanitise(read(spark, sf_dir, "documents", "doc_id", "text"), rewrite=False)
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest by inner product of every twentieth vector, at the measured factor."""
+    return vp_search.search(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), factor=NEAREST_FACTOR)
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed to the weights 5, 2, 1."""
     mixed = mixing.mix(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
@@ -116,5 +134,5 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-QUERIES = {"op6_jaccard_join": op6_jaccard_join, "op3_pii": op3_pii, "op8_secrets": op8_secrets, "op9_decontaminate": op9_decontaminate, "op5_mix_sources": op5_mix_sources, "op7_shard": op7_shard, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_nearest": op4_nearest, "op6_jaccard_join": op6_jaccard_join, "op3_pii": op3_pii, "op8_secrets": op8_secrets, "op9_decontaminate": op9_decontaminate, "op5_mix_sources": op5_mix_sources, "op7_shard": op7_shard, "op10_url_filter": op10_url_filter}
 SQL = {"op9_decontaminate": OP9_SQL, "op10_url_filter": OP10_SQL}
