@@ -329,3 +329,24 @@ def join(docs: DataFrame, text: str = "text", ident: str = "doc_id", size: int =
     by_class = placed.join(ids, "root").select("class", "component_id")
     with_set = own.select("ident", "n", "class").join(by_class, "class").select("ident", F.col("n").alias("n_shingles"), "component_id")
     return with_set.unionByName(found.where("n = 0").select("ident", F.col("n").alias("n_shingles"), F.col("ident").alias("component_id")))
+
+
+def deduplicate(docs: DataFrame, text: str = "text", ident: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one document of each group of links, the one with the least id; all columns stay as they are.
+
+    Documents without words are in no group and all stay.  A NULL id is less
+    than any other; of texts under one id the one with the least hash stays,
+    and of rows that repeat both, one.
+    """
+    key = F.struct(F.col(f"`{ident}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("print"))
+    keyed = docs.select(key.alias("key"), F.col(f"`{text}`").alias("text"))
+    found = stage(join(keyed, "text", "key", size, percent), "groups")
+    kept = found.where("n_shingles = 0 OR ident = component_id").select(F.col("ident.id").alias("__id"), F.col("ident.print").alias("__print")).distinct()
+    own = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    rows = docs.join(kept, F.col(f"`{ident}`").eqNullSafe(F.col("__id")) & (own == F.col("__print")), "left_semi")
+    repeats = found.where("n_shingles > 0").groupBy("ident").count().where("count > 1")
+    if repeats.isEmpty():
+        return rows
+    # only where rows repeat an id and a text is there more than one to choose from
+    empty = F.size(words(F.col(f"`{text}`"))) == 0
+    return rows.where(~empty).withColumn("__own", own).dropDuplicates([ident, "__own"]).drop("__own").unionByName(rows.where(empty))

@@ -156,3 +156,17 @@ def taken() -> Column:
 
 def _floor_div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
+
+
+def sample(docs: DataFrame, text: str = "text", ident: str = "doc_id", seed: int = 20, **options) -> DataFrame:
+    """``docs`` as the mix takes them: each row as often as its words are taken.
+
+    What is not a whole number of times is rounded up or down by a seeded draw
+    with the fraction as its chance, so that sources keep their targets.  Rows
+    without words are taken never; the columns are those of ``docs``.
+    """
+    mixed = mix(docs, text=text, ident=ident, seed=seed, **options)
+    draw = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(f"`{ident}`"), F.crc32(F.coalesce(F.col(f"`{text}`"), F.lit("")))), F.lit(1 << 30)) / float(1 << 30)
+    times = F.when(F.col("size") == 0, 0).otherwise(F.floor(F.col("taken") / F.col("size") + draw)).cast("int")
+    repeated = mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times)))
+    return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))
