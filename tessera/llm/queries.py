@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, mixing, pii, secrets, sharding, toxicity, url_filter, vp_search
+from . import decontaminate, jaccard_join, language_model, mixing, pii, secrets, sharding, toxicity, url_filter, vp_search
 from .text import read
 
 #: The base rules (host and path prefix) and the verdicts they give.
@@ -61,6 +61,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (toxicity.fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language model's score of every document, learned outside the held-out fold."""
+    return language_model.score(read(spark, sf_dir, "documents", "doc_id", "text")).withColumnRenamed("ident", "doc_id")
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifiers and disclosing terms of every document."""
     found = pii.sanitise(read(spark, sf_dir, "documents", "doc_id", "text"), rewrite=False)
@@ -134,5 +139,5 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_nearest": op4_nearest, "op6_jaccard_join": op6_jaccard_join, "op3_pii": op3_pii, "op8_secrets": op8_secrets, "op9_decontaminate": op9_decontaminate, "op5_mix_sources": op5_mix_sources, "op7_shard": op7_shard, "op10_url_filter": op10_url_filter}
+QUERIES = {"op2_language_model": op2_language_model, "op1_toxicity": op1_toxicity, "op4_nearest": op4_nearest, "op6_jaccard_join": op6_jaccard_join, "op3_pii": op3_pii, "op8_secrets": op8_secrets, "op9_decontaminate": op9_decontaminate, "op5_mix_sources": op5_mix_sources, "op7_shard": op7_shard, "op10_url_filter": op10_url_filter}
 SQL = {"op9_decontaminate": OP9_SQL, "op10_url_filter": OP10_SQL}
