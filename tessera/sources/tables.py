@@ -37,7 +37,7 @@ def tissue_positions(spark: SparkSession, path: str, in_tissue: bool = True) ->
         raw = spark.read.parquet(path).toDF(*names)
     else:
         raw = spark.read.csv(path).toDF(*names).where(F.col("in_tissue").try_cast("int").isNotNull())
-    rows = raw.select("barcode", *(F.col(n).cast("int").alias(n) for n in names[1:]))
+    rows = raw.select("barcode", *(F.col(n).cast("string").try_cast("int").alias(n) for n in names[1:]))
     return rows.where("in_tissue = 1") if in_tissue else rows
 
 

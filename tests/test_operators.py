@@ -44,7 +44,7 @@ def test_classes_and_phase(spark):
 
 
 def test_pack_merges_a_short_tail(spark):
-    df = spark.createDataFrame([("a", i, v) for i, v in enumerate([5, 5, 3, 9, 1])] + [("b", 0, 1)], "g string, i long, v double")
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate([5.0, 5.0, 3.0, 9.0, 1.0])] + [("b", 0, 1.0)], "g string, i long, v double")
     got = {(r["g"], r["i"]): r["bin"] for r in ordered.pack(df, "g", ["i"], "v", 10).collect()}
     assert [got["a", i] for i in range(5)] == [0, 0, 1, 1, 1] and got["b", 0] == 0
 
