@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import numbered
+
 
 def ratio(a: Column, n: Column, fill: float) -> Column:
     """a / n, or ``fill`` where n is 0 or NULL."""
@@ -77,7 +79,7 @@ def enumerate_repeats(df: DataFrame, *key: str, order: str) -> DataFrame:
 def distinct_codes(df: DataFrame, *columns: str) -> DataFrame:
     """(columns, code, n): each distinct tuple once, numbered in order, with its multiplicity."""
     once = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
-    return once.select(*columns, (F.row_number().over(Window.orderBy(*columns)) - 1).cast("long").alias("code"), "n")
+    return numbered(once, *columns, name="code").select(*columns, "code", "n")
 
 
 def log_sum_exp(df: DataFrame, group: str, value: str) -> DataFrame:

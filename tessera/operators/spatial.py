@@ -7,14 +7,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import numbered
 from tessera.staging import stage
 
 
 def equal_bands(df: DataFrame, axis: str, ident: str, bands: int, name: str = "band") -> DataFrame:
     """Bands of near equal counts along an axis: floor((rank - 1) k / n), ties by id."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    at = F.row_number().over(Window.orderBy(axis, ident)) - 1
-    return df.withColumn(name, F.floor(at * bands / n).cast("long"))
+    n = df.count()
+    return numbered(df, axis, ident, name="__at").withColumn(name, F.floor(F.col("__at") * bands / n).cast("long")).drop("__at")
 
 
 def grid(df: DataFrame, x: str, y: str, nx: int, ny: int, name: str = "cell") -> DataFrame:
