@@ -104,16 +104,16 @@ def merge_gains(field: DataFrame, edges: DataFrame, labels: DataFrame, beta: flo
     return moved.select("u", "v", gain.alias("gain"))
 
 
-def icm(field: DataFrame, edges: DataFrame, labels: DataFrame, beta: float, sweeps: int = 5, colours: int = 8) -> DataFrame:
+def icm(field: DataFrame, edges: DataFrame, labels: DataFrame, beta: float, sweeps: int = 5, colours: int = 8, seed: int = 0) -> DataFrame:
     """(spot, label): labels after sweeps in which spots of one colour move together to their best label.
 
-    Spots take a colour by hash; one that has a neighbour of its colour with a
+    Spots take a new colour by hash for each sweep; one that has a neighbour of its colour with a
     smaller id waits, so no two neighbours move at once and the objective never
     falls.  Ties keep the smaller label.  Each sweep's labels are a written
     table.
     """
-    colour = F.pmod(F.xxhash64("spot"), F.lit(colours))
     for sweep in range(sweeps):
+        colour = F.pmod(F.xxhash64("spot", F.lit(seed), F.lit(sweep)), F.lit(colours))
         for c in range(colours):
             moving = labels.where(colour == c).select("spot")
             rival = edges.join(moving.select(F.col("spot").alias("src")), "src").join(moving.select(F.col("spot").alias("dst")), "dst").where("dst < src").select(F.col("src").alias("spot")).distinct()
