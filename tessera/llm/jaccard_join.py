@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tessera.graph import components
 from tessera.staging import stage
 
-from .text import ascii_lower, words
+from .text import words
 
 SHINGLE = 5
 #: Two sets link when the intersection is at least this many hundredths of the union.
@@ -51,26 +51,81 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-def shingles(column: pa.ListArray, size: int = SHINGLE) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each list of word hashes; fewer words than a shingle are one, none are none."""
-    values = column.values.to_numpy(zero_copy_only=False).view(np.uint64)
-    edges = column.offsets.to_numpy()
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: A random number for each byte; A-Z have those of a-z.
+LETTER = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+LETTER[65:91] = LETTER[97:123]
+with np.errstate(over="ignore"):
+    POWER = np.cumprod(np.full(1 << 16, FACTOR, np.uint64), dtype=np.uint64)
+#: Bytes of text that are hashed at once.
+PIECE = 1 << 21
+
+
+def hashed_words(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of texts that lie side by side, and where each text's words begin and end among them."""
+    word = ~BLANK[data]
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    begin = edges[:-1][edges[:-1] < len(data)]
+    first[begin] |= word[begin]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return np.empty(0, np.uint64), np.zeros(len(edges), np.int64)
+    at = np.flatnonzero(word)
+    own = np.cumsum(first)[at] - 1
+    place = at - starts[own]
+    with np.errstate(over="ignore"):
+        # a letter's number times a power of its place in the word
+        value = LETTER[data[at]] * POWER[place & 0xFFFF] * (place >> 16 << 1 | 1).astype(np.uint64)
+        out = mix(np.add.reduceat(value, np.flatnonzero(first[at])))
+    return out, np.searchsorted(starts, edges)
+
+
+def pieces(data: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, int]]:
+    """A long text in pieces that end at blanks."""
+    while hi - lo > PIECE:
+        blank = np.flatnonzero(BLANK[data[lo + PIECE : hi]])
+        cut = lo + PIECE + int(blank[0]) if len(blank) else hi
+        yield lo, cut
+        lo = cut
+    yield lo, hi
+
+
+def shingles(column: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; fewer words than a shingle are one, none are none."""
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    # NULL texts have no length either
+    edges = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + PIECE, side="right")) - 1)
+        if edges[hi] - edges[lo] > PIECE:  # one long text
+            values = np.concatenate([hashed_words(data[a:b], np.array([0, b - a]))[0] for a, b in pieces(data, edges[lo], edges[hi])])
+            bounds = np.array([0, len(values)])
+        else:
+            values, bounds = hashed_words(data[edges[lo] : edges[hi]], edges[lo : hi + 1] - edges[lo])
+        yield from shingle_sets(values, bounds, size)
+        lo = hi
+
+
+def shingle_sets(values: np.ndarray, edges: np.ndarray, size: int) -> Iterator[np.ndarray]:
     with np.errstate(over="ignore"):
         runs = np.zeros(max(0, len(values) - size + 1), np.uint64)
         for i in range(size):
             runs = runs * FACTOR + values[i : i + len(runs)]
         runs = mix(runs)
-        for a, b in zip(edges[:-1], edges[1:]):
-            if b - a >= size:
-                s = np.sort(runs[a : b - size + 1])
-                yield s[np.concatenate(([True], s[1:] != s[:-1]))]
-            elif b > a:
+    for a, b in zip(edges[:-1], edges[1:]):
+        if b - a >= size:
+            s = np.sort(runs[a : b - size + 1])
+            yield s[np.concatenate(([True], s[1:] != s[:-1]))]
+        elif b > a:
+            with np.errstate(over="ignore"):
                 x = np.zeros(1, np.uint64)
                 for v in values[a:b]:
                     x = x * FACTOR + v
                 yield mix(x + U(int(b - a)))
-            else:
-                yield np.empty(0, np.uint64)
+        else:
+            yield np.empty(0, np.uint64)
 
 
 def name(s: np.ndarray) -> int:
@@ -112,9 +167,9 @@ def bands(s: np.ndarray) -> list[int]:
     return out.view(np.int64).tolist()
 
 
-def hashed(docs: DataFrame, text: str, ident: str) -> DataFrame:
-    """(ident, w): 64-bit hashes of each document's words."""
-    return docs.select(F.col(f"`{ident}`").alias("ident"), F.transform(words(ascii_lower(F.col(f"`{text}`"))), lambda w: F.xxhash64(w)).alias("w"))
+def bodies(docs: DataFrame, text: str, ident: str) -> DataFrame:
+    """(ident, body): texts as bytes; NULL is empty."""
+    return docs.select(F.col(f"`{ident}`").alias("ident"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("body"))
 
 
 def summaries(rows: DataFrame, size: int) -> DataFrame:
@@ -279,7 +334,8 @@ def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, p
                     found.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(found, pa.binary())], ["class", "set"])
 
-    whole = rows.mapInArrow(sets, "class long, set binary")
+    # one reading of the texts serves both sides of the pairs
+    whole = stage(rows.mapInArrow(sets, "class long, set binary"), "needed")
     both = open_.join(whole.withColumnsRenamed({"class": "a", "set": "set_a"}), "a").join(whole.withColumnsRenamed({"class": "b", "set": "set_b"}), "b")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +361,7 @@ def join(docs: DataFrame, text: str = "text", ident: str = "doc_id", size: int =
     name no component unless no other id is there.  Repeated rows each get a
     row; an empty table gives an empty one.
     """
-    rows = hashed(docs, text, ident)
+    rows = bodies(docs, text, ident)
     found = stage(summaries(rows, size), "sets")
     own = found.where("n > 0")
     classes = stage(own.groupBy("class").agg(F.max("n").alias("n"), F.min("ident").alias("least"), F.max("bits").alias("bits"), F.max("bands").alias("bands")), "classes")
@@ -323,8 +379,13 @@ def join(docs: DataFrame, text: str = "text", ident: str = "doc_id", size: int =
     members = tokens.select("n", "class", F.coalesce("root", "class").alias("root"), F.posexplode("tokens").alias("at", "token")).select("token", "n", "class", "root", "at")
     dealt = members.repartition(F.col("token")).sortWithinPartitions("token", "n", "class")
     second = stage(verified(tiles(dealt, percent), classes, rows, size, percent), "links")
-    roots = components(first.unionByName(second))
-    placed = classes.select("class", "least").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    # what the second round adds are links between the first one's components
+    low = F.coalesce("root", "class")
+    of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    between = second.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    joined = components(between).select(F.col("node").alias("__node"), F.col("root").alias("__root"))
+    placed = classes.select("class", "least").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", low)
+    placed = placed.join(joined, F.col("root") == F.col("__node"), "left").withColumn("root", F.coalesce("__root", "root"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = placed.join(ids, "root").select("class", "component_id")
     with_set = own.select("ident", "n", "class").join(by_class, "class").select("ident", F.col("n").alias("n_shingles"), "component_id")
