@@ -33,8 +33,10 @@ SHINGLE = 5
 #: Two sets link when the intersection is at least this many hundredths of the union.
 PERCENT = 80
 BANDS, ROWS = 8, 3
+#: Hubs of each minimum-hash key, beside its smallest set.
+HUBS = 6
 #: Tokens that a task meets at least this often may be common ones, which prefixes take last; any list gives right results.
-OFTEN, MOST_COMMON = 8, 200_000
+OFTEN, MOST_COMMON = 3, 200_000
 WIDEST = 4096
 #: Bits, at most, of the filter that tells which sets a verification needs.
 MOST_BITS = 1 << 28
@@ -93,6 +95,8 @@ def pieces(data: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, int]]:
 
 def shingles(column: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; fewer words than a shingle are one, none are none."""
+    if not pa.types.is_binary(column.type):  # sessions may use the large types
+        column = column.cast(pa.binary())
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     # NULL texts have no length either
     edges = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
@@ -367,12 +371,20 @@ def join(docs: DataFrame, text: str = "text", ident: str = "doc_id", size: int =
     classes = stage(own.groupBy("class").agg(F.max("n").alias("n"), F.min("ident").alias("least"), F.max("bits").alias("bits"), F.max("bands").alias("bands")), "classes")
     common = found.where("n < 0").groupBy("class").agg((-F.sum("n")).alias("count")).orderBy(F.desc("count"), "class").limit(MOST_COMMON)
     common_list = [(r["class"], r["count"]) for r in common.collect()]
-    # round one: each class to the hub it shares most minimum hashes with
+    # round one: each class to the hub it shares most minimum hashes with, then those that missed it to several more
     keys = classes.select("class", "n", F.explode("bands").alias("key"))
-    hubs = keys.groupBy("key").agg(F.min(F.struct("n", "class")).alias("low"), F.max(F.struct(F.xxhash64("class"), "class")).alias("high"), F.count(F.lit(1)).alias("of")).where("of > 1")
-    near = keys.join(hubs, "key").select("class", F.explode(F.array("low.class", "high.class")).alias("hub")).where("class != hub")
-    best = near.groupBy("class", "hub").count().groupBy("class").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
-    first = stage(verified(best.select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct(), classes, rows, size, percent), "links")
+    spread = [F.min(F.struct(F.xxhash64("class", F.lit(i)).alias("h"), "class")).alias(f"h{i}") for i in range(HUBS)]
+    hubs = keys.groupBy("key").agg(F.min(F.struct("n", "class")).alias("low"), *spread, F.count(F.lit(1)).alias("of")).where("of > 1")
+    each = F.array("low.class", *(f"h{i}.class" for i in range(HUBS)))
+    near = keys.join(hubs.select("key", F.array_distinct(each).alias("hubs")), "key").select("class", F.explode("hubs").alias("hub")).where("class != hub")
+    near = near.groupBy("class", "hub").count()
+    pair = lambda df: df.select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
+    best = near.groupBy("class").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
+    first = stage(verified(pair(best), classes, rows, size, percent), "links")
+    linked = first.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    order = Window.partitionBy("class").orderBy(F.desc("count"), "hub")
+    missed = near.join(linked, "class", "left_anti").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= 2 * HUBS)
+    first = stage(first.unionByName(verified(pair(missed), classes, rows, size, percent)), "links")
     roots = components(first)
     # round two: every pair of a tile that round one has not connected
     tokens = prefixes(rows, common_list, size, percent).join(roots.withColumnRenamed("node", "class"), "class", "left")
