@@ -116,6 +116,16 @@ def test_language_model_chances_are_a_distribution():
     assert np.allclose(p.sum(axis=1), 1, atol=1e-5) and at.max() < language_model.BUCKETS
 
 
+def test_language_model_has_its_whole_size():
+    assert language_model.N_CLASSES == 12 * 4 + 1
+    ids, starts = np.arange(100, 104, dtype=np.uint64), np.zeros(4, np.int64)
+    other = ids.copy()
+    other[0] = 999  # three words before the last
+    one, two = language_model.contexts(ids, starts)[3], language_model.contexts(other, starts)[3]
+    assert len(one) == language_model.FEATURES == 4 and (one[:3] == two[:3]).all() and one[3] != two[3]
+    assert language_model.grams(b"abcdefghij") == {b"^ab", b"abc", b"bcd", b"cde", b"def", b"efg", b"fgh", b"ghi", b"hij", b"ij$"}
+
+
 # --- nearest neighbours
 
 
