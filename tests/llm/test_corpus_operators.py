@@ -68,6 +68,11 @@ def test_toxicity_label_model_ranks_voters():
     assert rho.shape == (4, 4)
 
 
+def test_toxicity_capitals_count_over_the_whole_text():
+    assert toxicity.patterns("a" * 4000 + "B" * 8000)[1]
+    assert not toxicity.patterns("A" * 4000 + "b" * 8000)[1]
+
+
 def test_toxicity_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, 1), (None, 1), (5, None), (5, 0)], "doc_id long, toxic int")
     for given in (labels, labels.limit(0)):
