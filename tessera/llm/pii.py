@@ -1,14 +1,15 @@
 """Personal data: fixed identifiers, and terms that the corpus shows to give an identifier away.
 
 Identifiers (mail addresses, IP addresses, card and phone numbers) are the
-protected entities.  Words near them are candidate terms, and how far a term t
-reveals an entity e is its pointwise mutual information with e over documents,
-as a share of what there is to reveal, the information content of e:
+protected entities.  All words of a text that holds one are candidate terms,
+and how far a term t reveals an entity e is its pointwise mutual information
+with e over documents, as a share of what there is to reveal, the information
+content of e:
 
     log(n(t, e) N / (n(t) n(e))) / log(N / n(e))
 
 which is 1 where every document with t holds e.  Terms at or above a threshold
-that enough unlike contexts support are spans too; in the rewritten text they
+that enough unlike texts support are spans too; in the rewritten text they
 are removed at 1 and generalised below it, and identifiers become their kind.
 """
 
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.staging import stage
+
 #: The kinds in their order and what each must match.
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -33,9 +36,7 @@ DIGIT = re.compile(r"[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]")
 
 TERM = re.compile(r"[^\W\d_][\w'-]{2,}")
-#: Words on each side of an identifier that count as its context.
-NEAR = 6
-#: Share of an entity's information above which a term discloses it; unlike contexts that must agree.
+#: Share of an entity's information above which a term discloses it; unlike texts that must agree.
 DISCLOSURE = 0.8
 SUPPORT = 3
 #: Terms that ride to the workers at once; longer lists take several passes over the documents.
@@ -88,17 +89,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, list[str]]]:
-    """(entity, context, terms) of each identifier; the context is named by its outermost words."""
-    out = []
-    for start, kind, end in spans:
-        before = [m.group() for m in TERM.finditer(text, max(0, start - 40 * NEAR), start)][-NEAR:]
-        after = [m.group() for m in TERM.finditer(text, end, end + 40 * NEAR)][:NEAR]
-        # a term must stand free of other identifiers
-        taken = {m.group().lower() for s, _, e in spans for m in TERM.finditer(text, s, e)}
-        terms = sorted({w.lower() for w in before + after if len(w) <= 64} - taken)
-        out.append((f"{KINDS[kind]}:{text[start:end]}", f"{before[:1]}{after[-1:]}", terms))
-    return out
+def candidates(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[str], list[str]]:
+    """(entities, terms) of a text, each once; a term must stand somewhere free of all identifiers."""
+    free = apart([(m.start(), 4, m.end()) for m in TERM.finditer(text)], spans)
+    return sorted({f"{KINDS[k]}:{text[s:e]}" for s, k, e in spans}), sorted({text[s:e].lower() for s, _, e in free if e - s <= 64})
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
@@ -108,24 +102,24 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 def disclosing(docs: DataFrame, text: str, threshold: float = DISCLOSURE, support: int = SUPPORT, at_once: int = TERMS_AT_ONCE) -> DataFrame:
     """(term, share): terms that reveal some identifier, with the largest share of it that they reveal."""
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [[], [], []]
-            for body in batch.column(0):
+            for body, name in zip(batch.column(0), batch.column(1)):
                 body = body.as_py() or ""
-                spans = base_spans(body)
-                for entity, context, terms in contexts(body, spans) if spans else ():
-                    for column, value in zip(rows, (entity, context, terms)):
+                if spans := base_spans(body):
+                    for column, value in zip(rows, (name, *candidates(body, spans))):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.list_(pa.string()))], ["entity", "context", "terms"])
-
-    found = docs.select(F.col(f"`{text}`")).mapInArrow(near, "entity string, context string, terms array<string>")
-    # copies of a document bring the same context; it counts once for support and fully for co-occurrence
-    grouped = found.groupBy("entity", "context", "terms").count()
-    pairs = grouped.select("entity", "context", "count", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count_distinct("context").alias("support"), F.sum("count").alias("both"))
-    pairs = pairs.where(F.col("support") >= support)
-    entities = grouped.groupBy("entity").agg(F.sum("count").alias("n_e"))
-    pairs = pairs.join(entities, "entity")
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.list_(pa.string())), pa.array(rows[2], pa.list_(pa.string()))], ["print", "entities", "terms"])
+
+    found = docs.select(F.col(f"`{text}`"), F.xxhash64(F.col(f"`{text}`")).alias("print")).mapInArrow(read, "print long, entities array<string>, terms array<string>")
+    # copies of a text count once for support and fully for co-occurrence
+    unlike = stage(found.groupBy("print").agg(F.count(F.lit(1)).alias("n"), F.first("entities").alias("entities"), F.first("terms").alias("terms")), "private")
+    held_by = unlike.select("print", "n", "terms", F.explode("entities").alias("entity"))
+    # an entity of fewer texts has no term with enough of them
+    entities = held_by.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support).drop("texts")
+    pairs = held_by.join(entities, "entity").select("entity", "n_e", "n", F.explode("terms").alias("term")).groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("support"), F.sum("n").alias("both"))
+    pairs = stage(pairs.where(F.col("support") >= support), "pairs")
     terms = pairs.select("term").distinct()
     total = docs.count()
     held = None

@@ -125,6 +125,17 @@ def test_pii_disclosing_terms(spark):
     assert got[100]["sanitised"] == rows[5][1]
 
 
+def test_pii_terms_of_fixed_sentences_and_far_away(spark):
+    rows = [(i, f"other{i} matter{i} trillian once came here and then told all of them: please do write soon to me at t@mail.org for more news about the next two trips, body{i}") for i in range(5)]
+    rows += [(100 + i, f"nothing here about word{i} of it") for i in range(200)]
+    rows += [(500, "where is trillian today")]
+    got = {r["doc_id"]: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "term:9:17" in got[500]["spans"]
+    copies = [(i, "ford wrote from f@mail.org") for i in range(5)] + rows[5:]
+    got = {r["doc_id"]: r for r in pii.sanitise(spark.createDataFrame(copies, "doc_id long, text string")).collect()}
+    assert "term" not in got[0]["spans"]
+
+
 def test_pii_odd_rows(spark):
     df = spark.createDataFrame(ODD, SCHEMA)
     got = pii.sanitise(df, keep=("doc_id", "lang")).collect()
