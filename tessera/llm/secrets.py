@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and a battery of randomness tests on every key-like string.
 
 Strings that could be keys (long runs of base64 letters) are read in the
-smallest alphabet that spells them.  Three tests ask whether its digits look
+smallest alphabet that spells them; a run that none spells, for it mixes both
+kinds of base64, is tested in each kind's own runs.  Three tests ask whether its digits look
 drawn at random: chi-squared uniformity over the alphabet, the number of runs
 above and below its middle, and the correlation of neighbours.  Fisher's method
 combines them.  A key passes such tests and prose fails them, so what has to be
@@ -28,6 +29,8 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
 
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+#: Runs of a candidate that one kind of base64 spells: letters and digits with + and / or with - and _.
+PIECES = (r"[A-Za-z0-9+/]{20,}={0,2}", r"[A-Za-z0-9_-]{20,}={0,2}")
 #: Alphabets from the smallest; the order of letters is the order of values.
 ALPHABETS = [
     ("decimal", "0123456789"),
@@ -109,6 +112,13 @@ def battery(token: Column) -> Column:
     return F.when(letters.isNotNull(), let(F.struct(token.alias("token"), name.alias("name"), letters.alias("letters")), tested))
 
 
+def pieces(hit: Column) -> Column:
+    """The candidate alone where an alphabet can spell it; else its pieces of each kind (none is of both: its neighbours would end the run)."""
+    at = lambda p: F.struct((hit["start"] + p["start"]).alias("start"), (hit["start"] + p["end"]).alias("end"), p["hit"].alias("hit"))
+    cut = F.concat(*(F.transform(find_all(hit["hit"], p), at) for p in PIECES))
+    return F.when(hit["hit"].rlike("[+/]") & hit["hit"].rlike("[_-]"), cut).otherwise(F.array(F.struct(hit["start"].alias("start"), hit["end"].alias("end"), hit["hit"].alias("hit"))))
+
+
 def length_class(n: Column) -> Column:
     return sum((F.when(n >= edge, 1).otherwise(0) for edge in LENGTHS[1:]), F.lit(0))
 
@@ -150,7 +160,7 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     apart = lambda h, spans: ~F.exists(spans, lambda s: (s["start"] < h["end"]) & (h["start"] < s["end"]))
     rows = docs.select(*(F.col(f"`{k}`") for k in keep), body.alias("__text")).withColumn("base", F.array_sort(base_spans(F.col("__text"))))
     judged = lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), F.xxhash64(h["hit"]).alias("print"), battery(F.rtrim(h["hit"], F.lit("="))).alias("test"))
-    found = let(F.struct(find_all(F.col("__text"), CANDIDATE).alias("hits"), F.col("base").alias("base")), lambda x: F.filter(F.transform(F.filter(x["hits"], lambda h: apart(h, x["base"])), judged), lambda j: j["test"].isNotNull()))
+    found = let(F.struct(F.flatten(F.transform(find_all(F.col("__text"), CANDIDATE), pieces)).alias("hits"), F.col("base").alias("base")), lambda x: F.filter(F.transform(F.filter(x["hits"], lambda h: apart(h, x["base"])), judged), lambda j: j["test"].isNotNull()))
     staged = stage(rows.select(*keep, "base", found.alias("candidates")), "secrets")
     step = F.least(F.lit(STEPS - 1), F.greatest(F.lit(0), F.floor(F.col("test.p") * STEPS))).cast("int")
     tests = staged.select(F.inline("candidates")).select("print", F.col("test.alphabet").alias("a"), length_class(F.col("test.n")).alias("c"), step.alias("s")).distinct()

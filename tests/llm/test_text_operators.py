@@ -89,6 +89,20 @@ def test_secrets_finds_random_strings_and_not_prose(spark):
     assert len([i for i in found if i >= 60]) <= 3
 
 
+@pytest.mark.parametrize("before", ["com/api-v1/", "my_team/", "a-b+c/", "my/team_"])
+def test_secrets_finds_keys_in_runs_that_mix_alphabets(spark, before):
+    import random
+
+    rng = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choice(letters) for _ in range(40)) for _ in range(60)]
+    df = spark.createDataFrame([(i, f"see {before}{k} now") for i, k in enumerate(keys)], "doc_id long, text string")
+    got = secrets.scan(df).collect()
+    found = [(r["doc_id"], s["start"], s["end"]) for r in got for s in r["random"]]
+    key = 4 + len(before)
+    assert len({i for i, s, e in found if s <= key and e == key + 40}) >= 45
+
+
 def test_secrets_odd_rows(spark):
     df = spark.createDataFrame(ODD, SCHEMA)
     got = secrets.scan(df).collect()
