@@ -12,7 +12,10 @@ by intersecting their sorted arrays.
 Large groups of near copies share all their tokens, so a first round links
 classes to hubs by a few minimum hashes, and tiles then pair only classes that
 are not connected yet: no link between components is lost, and a group costs
-its size, not its square.
+its size, not its square.  Members of a common token's tile bring their bitmap
+along, so that a class which is alike to none of a large group is told from its
+members inside the tile.  A tile of very many classes is split: those of its
+largest component are dealt out, and the others come to every part.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ HUBS = 6
 #: Tokens that a task meets at least this often may be common ones, which prefixes take last; any list gives right results.
 OFTEN, MOST_COMMON = 3, 200_000
 WIDEST = 4096
+#: Tiles of more classes than about this are split.
+TILE = 1 << 15
 #: Bits, at most, of the filter that tells which sets a verification needs.
 MOST_BITS = 1 << 28
 
@@ -59,8 +64,8 @@ LETTER = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) *
 LETTER[65:91] = LETTER[97:123]
 with np.errstate(over="ignore"):
     POWER = np.cumprod(np.full(1 << 16, FACTOR, np.uint64), dtype=np.uint64)
-#: Bytes of text that are hashed at once.
-PIECE = 1 << 21
+#: Bytes of text that are hashed at once; the arrays that this makes are some forty times as large.
+PIECE = 1 << 18
 
 
 def hashed_words(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,7 +216,11 @@ def summaries(rows: DataFrame, size: int) -> DataFrame:
 
 
 def prefixes(rows: DataFrame, common: list[tuple[int, int]], size: int, percent: int) -> DataFrame:
-    """(class, n, tokens): each class's necessary tokens, rarest first; a class may come once from each task."""
+    """(class, n, tokens, common, bits): each class's necessary tokens, rarest first; a class may come once from each task.
+
+    From place ``common`` on the tokens are among the common ones; only classes
+    that have such tokens bring their bitmap.
+    """
     order = np.array(sorted(t for t, _ in common), np.int64).view(np.uint64)
     order = np.sort(order)
     count = {t: c for t, c in common}
@@ -222,55 +231,115 @@ def prefixes(rows: DataFrame, common: list[tuple[int, int]], size: int, percent:
         order, often = held.value
         seen: set[int] = set()
         for batch in batches:
-            names, sizes, tokens = [], [], []
+            names, sizes, tokens, firsts, bits = [], [], [], [], []
             for s in shingles(batch.column(1), size):
                 if not len(s) or (c := name(s)) in seen:
                     continue
                 seen.add(c)
+                need = len(s) - -(-percent * len(s) // 100) + 1
+                first, whole = need, s
                 if len(order):
                     at = np.minimum(np.searchsorted(order, s), len(order) - 1)
                     rank = np.where(order[at] == s, often[at], 0)
+                    first = min(need, int((rank == 0).sum()))
                     s = s[np.argsort(rank, kind="stable")]
-                need = -(-percent * len(s) // 100)
                 names.append(c)
                 sizes.append(len(s))
-                tokens.append(s[: len(s) - need + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["class", "n", "tokens"])
+                tokens.append(s[:need].view(np.int64))
+                firsts.append(first)
+                bits.append(bitmap(whole) if first < need else None)
+            columns = [pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(firsts, pa.int32()), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["class", "n", "tokens", "common", "bits"])
+
+    return rows.mapInArrow(cut, "class long, n long, tokens array<bigint>, common int, bits binary")
+
+
+def dealt(tokens: DataFrame, often: list[int], tile: int) -> DataFrame:
+    """(token, n, class, root, at, bits): the members of each tile together, by size.
+
+    ``often`` are tokens that may have more than ``tile`` members.  Their tiles
+    are split: members of the token's largest component go to one part each,
+    where they meet all the others.
+    """
 
-    return rows.mapInArrow(cut, "class long, n long, tokens array<bigint>")
+    def members(rows: DataFrame) -> DataFrame:
+        spread = rows.select("n", "class", "root", "bits", "common", F.posexplode("tokens").alias("at", "token"))
+        return spread.select("token", "n", "class", "root", "at", F.when(F.col("at") >= F.col("common"), F.col("bits")).alias("bits"))
+
+    if not often:
+        spread = members(tokens)
+    else:
+        # as many rows as there are common tokens at most
+        named = tokens.sparkSession.createDataFrame([(t,) for t in often], "token long")
+        spread = members(stage(tokens, "tokens"))
+        by_root = spread.select("token", "root").join(F.broadcast(named), "token").groupBy("token", "root").count()
+        parts = by_root.groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("home"), F.ceil(F.sum("count") / tile).alias("parts")).where("parts > 1")
+        part = F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).when(F.col("root") == F.col("home"), F.array(F.pmod(F.xxhash64("class"), F.col("parts")))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+        spread = spread.join(F.broadcast(stage(parts, "parts")), "token", "left").select(F.col("token").alias("whole"), "parts", "n", "class", "root", "at", "bits", F.explode(part).alias("part"))
+        spread = spread.select(F.when(F.col("parts").isNull(), F.col("whole")).otherwise(F.xxhash64("whole", "part")).alias("token"), "n", "class", "root", "at", "bits")
+    return spread.repartition(F.col("token")).sortWithinPartitions("token", "n", "class")
+
+
+class Bits:
+    """Bitmaps of a tile's members, by width, to tell which of them can be alike to another."""
+
+    def __init__(self, column: pa.Array):
+        found = [b.as_buffer() for b in column]
+        self.rows = found
+        self.width = np.array([b.size // 8 for b in found], np.int64)
+        self.place = np.zeros(len(found), np.int64)
+        self.maps: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == w)
+            self.place[own] = np.arange(len(own))
+            self.maps[w] = np.frombuffer(b"".join(found[i] for i in own.tolist()), np.uint64).reshape(-1, w)
+
+    def differ(self, others: np.ndarray, j: int) -> np.ndarray:
+        """For each of the ``others``, none wider than ``j``, the bits in which its map and that of ``j`` differ."""
+        out = np.empty(len(others), np.int64)
+        x = np.frombuffer(self.rows[j], np.uint64)
+        width = self.width[others]
+        for w in np.unique(width)[::-1].tolist():
+            while len(x) > w:
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            own = np.flatnonzero(width == w)
+            out[own] = np.bitwise_count(self.maps[w][self.place[others[own]]] ^ x).sum(axis=1)
+        return out
 
 
 def tiles(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of a token's classes, of sizes within the band, that are in different components.
+    """(a, b): pairs of a tile's classes that can be alike and are in different components.
 
-    ``members`` (token, n, class, root, at) are dealt by token and come sorted
-    by token and size; ``at`` is the token's place in the class's order, behind
-    which the rest of the overlap must lie.
+    Sizes must lie within the band, ``at`` (the token's place in the class's
+    order) must leave room for the rest of the overlap, and so must the bitmaps
+    where the members have them.
     """
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)])
-            rows = np.concatenate([*held, rows], axis=1) if held else rows
-            if not rows.shape[1]:
+            if not batch.num_rows:
                 continue
-            last = np.searchsorted(rows[0], rows[0, -1]) if np.all(rows[0, :-1] <= rows[0, 1:]) else 0
-            held = [rows[:, last:]]
-            yield from out(rows[:, :last])
-        if held:
-            yield from out(held[0])
-
-    def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if rows.shape[1] < 2:
+            token = batch.column(0).to_numpy()
+            last = int(np.searchsorted(token, token[-1]))
+            if last or held and held[-1].column(0)[0].as_py() != token[-1]:
+                yield from out([*held, batch.slice(0, last)])
+                held = []
+            held.append(batch.slice(last))
+        yield from out(held)
+
+    def out(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if sum(b.num_rows for b in batches) < 2:
             return
-        token, n, cls, root, at = rows
+        token, n, cls, root, at = (np.concatenate([b.column(i).to_numpy() for b in batches]) for i in range(5))
+        bits = pa.chunked_array([b.column(5) for b in batches]).combine_chunks()
         edges = np.concatenate(([0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]))
         a_out, b_out, count = [], [], 0
-        for lo, hi in zip(edges[:-1], edges[1:]):
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
             if hi - lo < 2 or root[lo:hi].min() == root[lo:hi].max():
                 continue
             sizes, roots, places, names = n[lo:hi], root[lo:hi], at[lo:hi], cls[lo:hi]
+            maps = None
             for j in range(1, hi - lo):
                 # the band of smaller sets that are large enough
                 first = np.searchsorted(sizes, -(-percent * int(sizes[j]) // 100))
@@ -278,9 +347,13 @@ def tiles(members: DataFrame, percent: int) -> DataFrame:
                     continue
                 i = slice(first, j)
                 most = np.minimum(sizes[i] - places[i], sizes[j] - places[j])
-                open_ = (roots[i] != roots[j]) & (most * (100 + percent) >= percent * (sizes[i] + sizes[j]))
-                if open_.any():
-                    found = names[i][open_]
+                open_ = first + np.flatnonzero((roots[i] != roots[j]) & (most * (100 + percent) >= percent * (sizes[i] + sizes[j])))
+                if len(open_) and bits[lo].is_valid:
+                    maps = maps or Bits(bits[lo:hi])
+                    both = sizes[open_] + sizes[j]
+                    open_ = open_[(both - maps.differ(open_, j)) // 2 * (100 + percent) >= percent * both]
+                if len(open_):
+                    found = names[open_]
                     a_out.append(np.minimum(found, names[j]))
                     b_out.append(np.maximum(found, names[j]))
                     count += len(found)
@@ -355,7 +428,7 @@ def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, p
     return both.select("a", "b", "set_a", "set_b").mapInArrow(exact, "a long, b long").distinct()
 
 
-def join(docs: DataFrame, text: str = "text", ident: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def join(docs: DataFrame, text: str = "text", ident: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
     """(ident, n_shingles, component_id) for each document.
 
     Texts are lower-cased (A-Z) and split at blanks; with fewer than ``size``
@@ -387,10 +460,9 @@ def join(docs: DataFrame, text: str = "text", ident: str = "doc_id", size: int =
     first = stage(first.unionByName(verified(pair(missed), classes, rows, size, percent)), "links")
     roots = components(first)
     # round two: every pair of a tile that round one has not connected
-    tokens = prefixes(rows, common_list, size, percent).join(roots.withColumnRenamed("node", "class"), "class", "left")
-    members = tokens.select("n", "class", F.coalesce("root", "class").alias("root"), F.posexplode("tokens").alias("at", "token")).select("token", "n", "class", "root", "at")
-    dealt = members.repartition(F.col("token")).sortWithinPartitions("token", "n", "class")
-    second = stage(verified(tiles(dealt, percent), classes, rows, size, percent), "links")
+    tokens = prefixes(rows, common_list, size, percent).join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    members = dealt(tokens, [t for t, c in common_list if c > tile], tile)
+    second = stage(verified(tiles(members, percent), classes, rows, size, percent), "links")
     # what the second round adds are links between the first one's components
     low = F.coalesce("root", "class")
     of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))

@@ -189,10 +189,10 @@ def test_decontaminate(spark, sf_dir):
     assert got == sorted(plain_contained(texts(spark, sf_dir), items))
 
 
-@pytest.mark.parametrize("inline", [0, 500_000])
-def test_decontaminate_odd_rows(spark, monkeypatch, inline):
-    monkeypatch.setattr(decontaminate, "MOST_INLINE", inline)
-    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", inline)
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_decontaminate_odd_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "MOST_BITS", max(1024, most))
+    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", most)
     docs = [*ODD, (8, "A b c, d e f g h i j k l", "x", "y", 1), (9, "q one two three. one TWO", "x", "y", 1), (10, "z b c d e f g h i j k", "x", "y", 1)]
     items = [(1, "a b c d e f g h i j k"), (2, "one two"), (3, ""), (4, None), (5, "!!"), (10, "one"), (2, "one two")]
     df, it = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
@@ -258,6 +258,26 @@ def test_jaccard_join_chains_ties_and_odd_rows(spark):
     assert jaccard_join.join(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tile", [64, jaccard_join.TILE])
+def test_jaccard_join_of_a_large_group_of_near_copies(spark, tile):
+    import random
+
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(90)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 1500):
+        words = list(base)
+        # from one change (alike to the base) to four (alike to few or none)
+        for j in range(rng.choice((1, 1, 1, 2, 2, 3, 4))):
+            words[rng.randrange(90)] = f"x{k}y{j}" if rng.random() < 0.5 else f"z{rng.randrange(40)}"
+        rows.append((k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in jaccard_join.join(df, tile=tile).collect())
+    want = sorted(plain_join(rows))
+    assert len({c for _, _, c in want}) > 20
+    assert got == want
+
+
 def test_overlap_bound_never_undercounts():
     import numpy as np
 
