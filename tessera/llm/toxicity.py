@@ -25,7 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tessera.staging import stage
 
 from .text import ascii_lower, let, words
 
@@ -36,8 +37,8 @@ SEED = frozenset("idiot idiots moron morons stupid loser losers scum trash clown
 BEGINNINGS = (4, 5, 6)
 #: Labelled documents, at most, that lexicons and classifier are fitted on: those with the least hash of their id.
 MOST_LABELLED = 20_000
-#: Lexicon entries, at most, and the voters that they are dealt into.
-MOST_ENTRIES, PARTS = 4096, 3
+#: The voters that the learned lexicon's entries are dealt into.
+PARTS = 3
 #: Chance of a false entry among all that are tried.
 FALSE_ENTRY = 0.001
 
@@ -51,10 +52,30 @@ def fold(ident: Column, of: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(ident.cast("string"), F.lit(""))), F.lit(of))
 
 
-def least_shingle(text: Column, size: int = 5) -> Column:
-    """The least hash of a text's runs of ``size`` words; of the whole text where it has fewer."""
+#: Minimum hashes of a text, and how many must agree for two texts to count as near copies.
+MINIMA, AGREEING = 8, 6
+
+
+def least_shingles(text: Column, size: int = 5) -> Column:
+    """The least hashes, under several hash functions, of a text's runs of ``size`` words; of the whole text where it has fewer."""
     runs = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(size))))
-    return let(words(ascii_lower(text)), lambda w: F.when(F.size(w) < size, F.xxhash64(text)).otherwise(F.array_min(runs(w))))
+    least = lambda r: F.array(*(F.array_min(F.transform(r, lambda h: F.xxhash64(h, F.lit(i)))) for i in range(MINIMA)))
+    return let(words(ascii_lower(text)), lambda w: let(F.when(F.size(w) < size, F.array(F.xxhash64(text))).otherwise(runs(w)), least))
+
+
+def unlike(sample: DataFrame) -> DataFrame:
+    """(text, toxic) of a sample, near copies once, with the label of the text that is kept.
+
+    Texts that share one minimum hash meet; those that agree with the group's
+    first text in most of the others are its copies, the rest stay.
+    """
+    signed = sample.withColumn("print", least_shingles(F.col("text")))
+    # of equal texts with unlike labels the toxic one is kept
+    order = F.struct("text", (-F.col("toxic")).alias("clean"))
+    first = signed.groupBy(F.get("print", 0).alias("key")).agg(F.min_by(F.struct("text", "toxic", "print"), order).alias("first"))
+    met = signed.join(first, F.get("print", 0) == F.col("key"))
+    agree = F.aggregate(F.arrays_zip("print", F.col("first.print").alias("other")), F.lit(0), lambda n, x: n + (x["print"] == x["other"]).cast("int"))
+    return first.select("first.text", "first.toxic").unionByName(met.where(agree < AGREEING).select("text", "toxic").distinct())
 
 
 @dataclass
@@ -75,8 +96,7 @@ class Model:
 def terms(text: str) -> set[str]:
     """The words of a text and, marked by ``*``, their beginnings."""
     found = set(WORD.findall(text.lower()))
-    long = [w for w in found if len(w) <= 64]
-    return found.union(*({f"{w[:n]}*" for w in long if len(w) > n} for n in BEGINNINGS))
+    return found.union(*({f"{w[:n]}*" for w in found if len(w) > n} for n in BEGINNINGS))
 
 
 def patterns(text: str) -> list[bool]:
@@ -134,7 +154,7 @@ def find_entries(counts: list[tuple[str, int, int]], toxic: int, clean: int) ->
         gain = n * (rate * math.log(rate / share) + ((1 - rate) * math.log((1 - rate) / (1 - share)) if rate < 1 else 0))
         if -gain < limit:
             found.append((-gain, term))
-    chosen = sorted(t for _, t in sorted(found)[:MOST_ENTRIES])
+    chosen = sorted(t for _, t in found)
     return {t: i for i, t in enumerate(chosen)}
 
 
@@ -199,16 +219,17 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "do
     """Fit on the labelled documents outside the held-out fold (at most ``most``) and on all documents' votes.
 
     NULL labels and ids are passed over; of several labels of an id the largest
-    counts.  Equal texts count once.  Without toxic labels the seed lexicon
-    votes alone.
+    counts, and of several texts of an id the one with the least hash.  Near
+    copies count once.  Without toxic labels the seed lexicon votes alone.
     """
     spark = docs.sparkSession
     given = labels.where(F.col(f"`{ident}`").isNotNull() & F.col(f"`{label}`").isNotNull()).groupBy(F.col(f"`{ident}`").alias("__id")).agg(F.max(F.col(f"`{label}`").cast("int")).alias("__toxic"))
     # the sample has a fixed size, whatever the corpus: 12 bytes for each of at most `most` rows
     chosen = given.where(fold(F.col("__id"), folds) != held).orderBy(F.xxhash64("__id"), "__id").limit(most)
-    sample = docs.select(F.col(f"`{ident}`").alias("__id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text")).join(F.broadcast(chosen), "__id").select("__text", "__toxic")
-    # copies and most near copies have the same least shingle and count once, lest one text's rare words pass for marks
-    once = sample.groupBy(least_shingle(F.col("__text")).alias("__print")).agg(F.max("__toxic").alias("__toxic"), F.min("__text").alias("__text")).select("__text", "__toxic")
+    sample = docs.select(F.col(f"`{ident}`").alias("__id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text")).join(F.broadcast(chosen), "__id")
+    sample = sample.groupBy("__id").agg(F.min(F.struct(F.xxhash64("__text"), F.col("__text").alias("text"), F.col("__toxic").alias("toxic"))).alias("kept")).select("kept.text", "kept.toxic")
+    # lest one text's rare words pass for marks; three passes below read this
+    once = stage(unlike(sample), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -256,14 +277,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "do
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``score``, 0 to 1: higher, likelier toxic.  NULL texts score as empty ones; repeated rows alike."""
-    plain = docs.drop("score") if text != "score" else docs
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    at = plain.columns.index(text)
-    schema = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())])
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = pa.array([sent.value.score(body.as_py() or "") for body in batch.column(at)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "score"])
+    # only the texts go to Python; the other columns stay where they are
+    @F.arrow_udf("double")
+    def judge(bodies: pa.Array) -> pa.Array:
+        return pa.array([sent.value.score(body.as_py() or "") for body in bodies], pa.float64())
 
-    return plain.mapInArrow(judge, schema)
+    return docs.withColumn("score", judge(F.col(f"`{text}`")))
