@@ -115,10 +115,11 @@ def test_language_model_odd_rows(spark, odd):
 
 def test_language_model_chances_are_a_distribution():
     rng = np.random.default_rng(0)
-    w = rng.normal(size=(language_model.BUCKETS, language_model.N_CLASSES)).astype(np.float32)
-    at = language_model.contexts(np.arange(10, dtype=np.uint64), np.zeros(10, np.int64))
+    w = rng.normal(size=(1 << 15, language_model.N_CLASSES)).astype(np.float32)
+    hashes = language_model.contexts(np.arange(10, dtype=np.uint64), np.zeros(10, np.int64))
+    at = language_model.rows_of(hashes, 15)
     p = language_model.chances(w, np.zeros(language_model.N_CLASSES, np.float32), at)
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-5) and at.max() < language_model.BUCKETS
+    assert np.allclose(p.sum(axis=1), 1, atol=1e-5) and at.max() < 1 << 15
 
 
 def test_language_model_has_its_whole_size():
@@ -126,11 +127,38 @@ def test_language_model_has_its_whole_size():
     ids, starts = np.arange(100, 104, dtype=np.uint64), np.zeros(4, np.int64)
     other = ids.copy()
     other[0] = 999  # three words before the last
-    one, two = language_model.contexts(ids, starts)[3], language_model.contexts(other, starts)[3]
+    one, two = language_model.contexts(ids, starts)[:, 3], language_model.contexts(other, starts)[:, 3]
     assert len(one) == language_model.FEATURES == 4 and (one[:3] == two[:3]).all() and one[3] != two[3]
     assert language_model.grams(b"abcdefghij") == {b"^ab", b"abc", b"bcd", b"cde", b"def", b"efg", b"fgh", b"ghi", b"hij", b"ij$"}
 
 
+def test_language_model_scores_do_not_depend_on_partitions(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    one, many = ({r["ident"]: round(r["score"], 9) for r in language_model.score(docs.repartition(n)).collect()} for n in (1, 8))
+    assert one == many
+
+
+def test_language_model_probabilities_of_the_next_word_sum_to_one(spark):
+    """Over all words that training saw and the unseen one, whatever the context."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["a", "b", "c", "dd", "ee"]) for _ in range(40))) for i in range(60)]
+    probes = ["a", "b", "c", "dd", "ee", "", "zzz"]
+    # one-word texts that are held out: the first token's chance times the end's; the end alone is the empty text
+    held = [i for i in range(1000, 3000) if zlib.crc32(str(i).encode()) % 5 == 1][: len(probes)]
+    df = spark.createDataFrame(rows + list(zip(held, probes)), "doc_id long, text string")
+    got = {r["ident"]: r["score"] for r in language_model.score(df).collect()}
+    # P(w) is at least P(w then the end), and the empty text is the end itself
+    total = sum(10 ** got[i] for i in held)
+    assert 0 < total <= 1 + 1e-6
+
+
+def test_most_frequent_keeps_words_even_where_the_first_step_is_too_full(spark):
+    words = spark.createDataFrame([(f"w{i}".encode(), 5) for i in range(1000)] + [(b"top", 90)], "word binary, n long")
+    got = language_model.most_frequent(words, 300)
+    assert 200 < len(got) <= 300 and got[b"top"] == 90
+    assert 900 < len(language_model.most_frequent(words, 950)) <= 950
+
+
 # --- nearest neighbours
 
 
@@ -207,20 +235,26 @@ def test_mix_meets_targets(spark):
     assert sum(taken.values()) == pytest.approx(sum(sizes.values()), rel=0.005)
 
 
-def test_seats_are_sainte_lague():
+def test_seats_are_sainte_lague(spark):
     def plain(votes, most, total):
         won = [0] * len(votes)
         for _ in range(total):
-            i = max((i for i in range(len(votes)) if won[i] < most[i]), key=lambda i: (votes[i] / (2 * won[i] + 1), -i))
+            i = max((i for i in range(len(votes)) if won[i] < most[i] and votes[i]), key=lambda i: (votes[i] / (2 * won[i] + 1), -i))
             won[i] += 1
         return won
 
     rng = random.Random(2)
+    cases = []
     for _ in range(50):
         votes = [rng.random() * 100 for _ in range(5)]
         most = [rng.randrange(1, 60) for _ in range(5)]
-        total = rng.randrange(0, sum(most))
-        assert mixing.seats(votes, most, total) == plain(votes, most, total)
+        cases.append((votes, most, rng.randrange(0, sum(most))))
+    # ties go to the earlier; a party without votes has no seat
+    cases += [([10.0, 10.0, 10.0], [9, 9, 9], 4), ([0.0, 3.0], [5, 2], 2)]
+    df = spark.createDataFrame(cases, "votes array<double>, most array<long>, total long")
+    got = df.select("votes", "most", "total", mixing.seats(df.votes, df.most, df.total).alias("won")).collect()
+    for r in got:
+        assert r["won"] == plain(r["votes"], r["most"], r["total"])
 
 
 def test_mix_odd_rows(spark, odd):
