@@ -16,8 +16,10 @@ are removed at 1 and generalised below it, and identifiers become their kind.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +41,12 @@ TERM = re.compile(r"[^\W\d_][\w'-]{2,}")
 #: Share of an entity's information above which a term discloses it; unlike texts that must agree.
 DISCLOSURE = 0.8
 SUPPORT = 3
-#: Terms that ride to the workers at once; longer lists take several passes over the documents.
+#: Disclosing terms that a worker holds at once; longer lists are several steps of the one pass that marks them.
 TERMS_AT_ONCE = 200_000
+#: Bits, at most, of the filter that tells which words are counted (16 MB), and bits for each term; more terms let more other words pass, to the same counts.
+MOST_BITS, BITS_EACH = 1 << 27, 16
+#: Counts that a task gathers before it passes them on.
+HELD = 400_000
 
 
 def luhn(digits: str) -> bool:
@@ -92,14 +98,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[str], list[str]]:
     """(entities, terms) of a text, each once; a term must stand somewhere free of all identifiers."""
     free = apart([(m.start(), 4, m.end()) for m in TERM.finditer(text)], spans)
-    return sorted({f"{KINDS[k]}:{text[s:e]}" for s, k, e in spans}), sorted({text[s:e].lower() for s, _, e in free if e - s <= 64})
+    return sorted({f"{KINDS[k]}:{text[s:e]}" for s, k, e in spans}), sorted({text[s:e].lower() for s, _, e in free})
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def disclosing(docs: DataFrame, text: str, threshold: float = DISCLOSURE, support: int = SUPPORT, at_once: int = TERMS_AT_ONCE) -> DataFrame:
+def disclosing(docs: DataFrame, text: str, threshold: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """(term, share): terms that reveal some identifier, with the largest share of it that they reveal."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,14 +126,8 @@ def disclosing(docs: DataFrame, text: str, threshold: float = DISCLOSURE, suppor
     entities = held_by.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support).drop("texts")
     pairs = held_by.join(entities, "entity").select("entity", "n_e", "n", F.explode("terms").alias("term")).groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("support"), F.sum("n").alias("both"))
     pairs = stage(pairs.where(F.col("support") >= support), "pairs")
-    terms = pairs.select("term").distinct()
+    held = counts(docs, text, pairs.select("term").distinct())
     total = docs.count()
-    held = None
-    for part in parts(terms, "term", at_once):
-        counted = counts(docs, text, part)
-        held = counted if held is None else held.unionByName(counted)
-    if held is None:
-        return docs.sparkSession.createDataFrame([], "term string, share double")
     n = F.lit(float(max(2, total)))
     share = F.log(F.col("both") * n / (F.col("n_t") * F.col("n_e"))) / F.log(n / F.least(F.col("n_e"), n - 1))
     known = pairs.join(held, "term").select("term", F.least(F.lit(1.0), share).alias("share")).where(F.col("share") >= threshold)
@@ -143,19 +143,46 @@ def parts(terms: DataFrame, column: str, at_once: int, *more: str) -> Iterator[l
         yield piece.select(column, *more).collect()
 
 
-def counts(docs: DataFrame, text: str, terms: list) -> DataFrame:
-    """(term, n_t): the documents that hold each of the terms."""
-    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in terms))
+def counts(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
+    """(term, n_t): the documents that hold each of the terms, in one pass whatever their number.
+
+    A filter of a bit for each term's hash keeps nearly all other words from
+    being counted; those that pass by chance meet no term in the join.
+    """
+    n, size = terms.count(), 1024
+    while size < BITS_EACH * n and size < MOST_BITS:
+        size *= 2
+    bit = F.crc32("term").bitwiseAND(F.lit(size - 1))
+    words = terms.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+    filled = np.zeros(size // 64, np.int64)
+    for r in words.toLocalIterator():  # a filter of bounded size
+        filled[r["at"]] = r["bits"]
+    wanted = docs.sparkSession.sparkContext.broadcast(np.unpackbits(filled.view(np.uint8), bitorder="little").astype(bool))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, int] = {}
+        known: dict[str, bool] = {}
+        bits = wanted.value
+
+        def out() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
+            seen.clear()
+            known.clear()
+            return batch
+
         for batch in batches:
             for body in batch.column(0):
-                for t in wanted.value.intersection(TERM.findall((body.as_py() or "").lower())):
-                    seen[t] = seen.get(t, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
-
-    return docs.select(F.col(f"`{text}`")).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+                for t in set(TERM.findall((body.as_py() or "").lower())):
+                    if (counts := known.get(t)) is None:
+                        counts = known[t] = bool(bits[zlib.crc32(t.encode()) & (size - 1)])
+                    if counts:
+                        seen[t] = seen.get(t, 0) + 1
+                if len(known) > HELD:
+                    yield out()
+        yield out()
+
+    found = docs.select(F.col(f"`{text}`")).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+    return found.join(terms, "term", "left_semi")
 
 
 def sanitise(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = DISCLOSURE, support: int = SUPPORT, rewrite: bool = True) -> DataFrame:
