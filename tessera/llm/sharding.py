@@ -14,14 +14,17 @@ numbered inside their range from the exact count of rows before it.
 from __future__ import annotations
 
 import bisect
-import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .text import constant_table
+
 KEY_BITS = 60
 #: Bits of the key that each pass can tell apart.
 DEPTHS = (12, 20, 28, 36, 44, 52, 60)
+#: A task's share of the exchange in bytes, and tasks at least and at most (a row of the broadcast table each).
+RANGE_BYTES, LEAST_RANGES, MOST_RANGES = 1 << 28, 64, 100_000
 
 
 def sort_key(text: Column, ident: Column) -> Column:
@@ -30,8 +33,13 @@ def sort_key(text: Column, ident: Column) -> Column:
     return F.shiftleft(high, 36).bitwiseOR(F.shiftrightunsigned(F.xxhash64(ident), 28))
 
 
-def count_cells(keyed: DataFrame, shards: int, tolerance: float, ranges: int) -> list[tuple[int, int, int, int]]:
-    """Cells (first key, end key, bytes, rows) in key order, fine enough for the splitters and for ``ranges`` tasks."""
+def n_ranges(total: int) -> int:
+    """Tasks that the exchange should have, by the bytes it moves."""
+    return min(MOST_RANGES, max(LEAST_RANGES, -(-total // RANGE_BYTES)))
+
+
+def count_cells(keyed: DataFrame, shards: int, tolerance: float) -> list[tuple[int, int, int, int]]:
+    """Cells (first key, end key, bytes, rows) in key order, fine enough for the splitters and for the tasks' shares."""
     prefix = lambda bits: F.shiftrightunsigned(F.col("__key"), KEY_BITS - bits)
     done: list[tuple[int, int, int, int]] = []
     split: list[int] | None = None
@@ -44,7 +52,7 @@ def count_cells(keyed: DataFrame, shards: int, tolerance: float, ranges: int) ->
         below = [(r["cell"] << width, (r["cell"] + 1) << width, r["bytes"], r["n"]) for r in counted]
         total = total or sum(c[2] for c in below)
         cells = sorted(done + below)
-        fine, coarse = tolerance * total / shards, total / ranges
+        fine, coarse = tolerance * total / shards, total / n_ranges(total)
         before, open_cells, kept = 0, [], set(below)
         for cell in cells:
             after = before + cell[2]
@@ -60,7 +68,7 @@ def count_cells(keyed: DataFrame, shards: int, tolerance: float, ranges: int) ->
     return sorted(done + below)
 
 
-def key_ranges(cells: list[tuple[int, int, int, int]], shards: int, ranges: int) -> list[list[int]]:
+def key_ranges(cells: list[tuple[int, int, int, int]], shards: int) -> list[list[int]]:
     """Ranges [first key, end key, shard, rows of the shard before]: cells of one shard joined up to a task's share."""
     ends, total = [], 0
     for c in cells:
@@ -78,7 +86,7 @@ def key_ranges(cells: list[tuple[int, int, int, int]], shards: int, ranges: int)
         moved = bisect.bisect_right(cuts, i)
         if moved != shard:
             shard, slot = moved, 0
-        if out and out[-1][2] == shard and slot and held + size <= total / ranges:
+        if out and out[-1][2] == shard and slot and held + size <= total / n_ranges(total):
             out[-1][1], held = end, held + size
         else:
             out.append([first, end, shard, slot])
@@ -87,7 +95,7 @@ def key_ranges(cells: list[tuple[int, int, int, int]], shards: int, ranges: int)
     return out
 
 
-def shard(docs: DataFrame, shards: int = 40, text: str = "text", ident: str = "doc_id", tolerance: float = 0.002, ranges: int = 1024) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, text: str = "text", ident: str = "doc_id", tolerance: float = 0.002) -> DataFrame:
     """``docs`` with ``size, text_crc32, law, shard, slot, grown_shard``; shards are near equal in bytes.
 
     A NULL text counts as an empty one (16 bytes, CRC 0).  Rows that repeat
@@ -100,14 +108,13 @@ def shard(docs: DataFrame, shards: int = 40, text: str = "text", ident: str = "d
     size = (F.octet_length(body) + 16).cast("long")
     plain = docs.drop(*({"size", "text_crc32", "law", "shard", "slot", "grown_shard"} - {text, ident}))
     key = sort_key(body, F.col(f"`{ident}`"))
-    cells = count_cells(plain.select(key.alias("__key"), size.alias("__bytes")), shards, tolerance, ranges)
-    table = key_ranges(cells, shards, ranges)
+    cells = count_cells(plain.select(key.alias("__key"), size.alias("__bytes")), shards, tolerance)
+    table = key_ranges(cells, shards)
     # each first-pass cell lists the ranges that overlap it: at most 4096 cells and the ranges' own number more
     width = KEY_BITS - DEPTHS[0]
     listed = [[c, i, *r] for i, r in enumerate(table) for c in range(r[0] >> width, ((r[1] - 1) >> width) + 1)]
-    found = docs.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(listed)), "array<array<bigint>>")).alias("r"))
     names = ("__cell", "__range", "__first", "__end", "shard", "__before")
-    found = found.select(*(F.col("r")[i].alias(n) for i, n in enumerate(names)))
+    found = constant_table(docs.sparkSession, [dict(zip(names, r)) for r in listed], ", ".join(f"{n} bigint" for n in names))
     rows = plain.withColumns({"size": size, "text_crc32": F.crc32(body), "law": F.lit("bytes"), "__key": key})
     rows = rows.withColumn("__cell", F.shiftrightunsigned(F.col("__key"), width))
     placed = rows.join(F.broadcast(found), (rows["__cell"] == found["__cell"]) & (rows["__key"] >= found["__first"]) & (rows["__key"] < found["__end"])).drop(found["__cell"])
