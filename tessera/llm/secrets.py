@@ -45,8 +45,8 @@ ALPHABETS = [
 #: Length classes start here; the p-value axis is cut into this many steps.
 LENGTHS = (20, 28, 40, 64, 128, 512)
 STEPS = 100
-#: A class with fewer distinct strings than this borrows its alphabet's threshold, then that of all.
-FEW = 30
+#: Distinct strings that a class borrows, in the proportions of its alphabet, which borrows as many from all; large classes hardly notice, small ones are shrunk to the rest.
+BORROWED = 30
 
 
 def base_spans(text: Column) -> Column:
@@ -131,14 +131,19 @@ def thresholds(counts: list[tuple[str, int, int, int]], fdr: float) -> dict[tupl
     twice the number above one half estimates those.
     """
     out = {}
-    names = sorted({(a, c) for a, c, _, _ in counts})
-    for a, c in names:
-        for same in (lambda x: x[:2] == (a, c), lambda x: x[0] == a, lambda x: True):
-            steps = [0] * STEPS
-            for x in filter(same, counts):
-                steps[x[2]] += x[3]
-            if sum(steps) >= FEW:
-                break
+
+    def histogram(same) -> list[float]:
+        steps = [0.0] * STEPS
+        for x in filter(same, counts):
+            steps[x[2]] += x[3]
+        return steps
+
+    def shrunk(steps: list[float], towards: list[float]) -> list[float]:
+        return [a + BORROWED * b / sum(towards) for a, b in zip(steps, towards)]
+
+    every = histogram(lambda x: True)
+    for a, c in sorted({(a, c) for a, c, _, _ in counts}):
+        steps = shrunk(histogram(lambda x: x[:2] == (a, c)), shrunk(histogram(lambda x: x[0] == a), every))
         randoms = 2 * sum(steps[STEPS // 2 :])
         for at in range(1, STEPS):
             passed = sum(steps[at:])
