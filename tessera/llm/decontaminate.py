@@ -1,15 +1,17 @@
 """Benchmark decontamination as a prefix-filtered set join of documents with item-sized windows.
 
 A benchmark item is cut into windows of consecutive words; a window is the set
-of its short shingles with their places.  One pass over the documents finds the
+of its short shingles with their places, and windows of equal words are one,
+with the set of items that hold it.  One pass over the documents finds the
 places of all shingles that any window holds: a hashed bitmap of the
 benchmark's shingles answers for nearly all places at once, and an exact join
-settles the rest.  Those matches, the corpus frequency of each shingle counted
-from them, are all that later steps read.  Since a window must be contained
-whole, one necessary token is enough of a prefix: its rarest shingle.  Places
-of that shingle that leave room for the window on both sides (position and
-length bounds) are candidates, and a candidate counts when the document's words
-there equal the window's.
+settles the rest.  Those places, and the corpus frequency of each shingle
+counted from them, are all that the join reads.  Since a window must be
+contained whole, one necessary token is enough of a prefix: its rarest shingle.
+Places of that shingle that leave room for the window on both sides (position
+and length bounds) are candidates, and a candidate counts when the document's
+words there equal the window's; only documents with candidates are read again
+for that.
 """
 
 from __future__ import annotations
@@ -21,18 +23,18 @@ from pyspark.sql import functions as F
 
 from tessera.staging import stage
 
-from .text import ascii_lower
+from .text import ascii_lower, let
 
 WINDOW = 10
 SHINGLE = 4
 #: Everything else of ASCII parts words; characters beyond ASCII belong to them.
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Bits of the bitmap for each benchmark shingle: about 1 place in 16 of those that match none passes it.
-BITS_EACH = 16
-#: Window tables of at most this many shingles (some 200 bytes each) are broadcast; larger ones are joined by shuffle.
+#: Bits of the bitmap for each benchmark shingle (about 1 place in 16 of those that match none passes it), and the largest bitmap (8 MB, a literal of the plan); benchmarks of over four million shingles let more places pass, to the same results.
+BITS_EACH, MOST_BITS = 16, 1 << 26
+#: Tables of at most this many windows' shingles (some 200 bytes each) are broadcast; larger ones are joined by shuffle.
 MOST_BROADCAST = 100_000
-#: Benchmarks with more shingles than this are met by a join on every place instead of the bitmap.
-MOST_INLINE = 500_000
+#: Text hashes (16 bytes each), at most, that are broadcast to tell which documents are read again.
+MOST_KEYS = 1_000_000
 
 
 def item_words(text: Column) -> Column:
@@ -44,57 +46,58 @@ def shingle_hash(words: Column, at: Column, length: int) -> Column:
     return F.xxhash64(*(F.get(words, at + i) for i in range(length)))
 
 
-def windows(items: DataFrame, text: str, ident: str, window: int, shingle: int) -> DataFrame:
-    """(item, words, at, token): each window's words, with each of its shingles and the place of it.
+def windows(items: DataFrame, text: str, ident: str, window: int) -> DataFrame:
+    """(words, items): each window's words once, with the sorted ids (as strings) of the items that hold it.
 
-    An item of fewer words than a window is one window; windows of fewer words
-    than a shingle have one token, of their first word.
+    An item of fewer words than a window is one window.
     """
-    split = items.select(F.col(f"`{ident}`").alias("item"), item_words(F.col(f"`{text}`")).alias("w")).where(F.size("w") > 0)
+    split = items.select(F.col(f"`{ident}`").cast("string").alias("item"), item_words(F.col(f"`{text}`")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - window))
-    cut = split.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i + 1, window))).alias("words")).distinct()
+    cut = split.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i + 1, window))).alias("words"))
+    return cut.groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+
+def shingled(cut: DataFrame, shingle: int) -> DataFrame:
+    """(words, held_by, at, token): each window with each of its shingles and the place of it; a window shorter than a shingle has one, of its first word."""
     room = F.size("words") - shingle
-    placed = cut.select("item", "words", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), room))).alias("at"))
+    placed = cut.select("words", "held_by", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), room))).alias("at"))
     token = F.when(F.size("words") >= shingle, shingle_hash(F.col("words"), F.col("at"), shingle)).otherwise(shingle_hash(F.col("words"), F.col("at"), 1))
     return placed.withColumn("token", token)
 
 
-def bitmap(tokens: list[int]) -> tuple[list[int], int]:
-    """Words of a bitmap whose bit (token mod size) is set for every token, and its size in bits."""
+def bitmap(tokens: DataFrame, n: int) -> tuple[Column, int]:
+    """A bitmap whose bit (token mod size) is set for every token, as a literal array of longs, and its size in bits."""
     size = 1024
-    while size < BITS_EACH * len(tokens):
+    while size < BITS_EACH * n and size < MOST_BITS:
         size *= 2
+    bit = tokens.select(F.pmod("token", F.lit(size)).alias("bit"))
+    words = bit.groupBy(F.shiftright("bit", 6).alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))).alias("w"))
     held = [0] * (size // 64)
-    for t in tokens:
-        at = t % size
-        held[at >> 6] |= 1 << (at & 63)
-    return [w - (1 << 64) if w >> 63 else w for w in held], size
+    for r in words.collect():  # at most a row for each of the bitmap's longs
+        held[r["i"]] = r["w"]
+    return F.from_json(F.lit(json.dumps(held)), "array<bigint>"), size
 
 
-def matches(docs: DataFrame, text: str, ident: str, tokens: DataFrame, window: int, shingle: int) -> DataFrame:
-    """(ident, text hash, n_words, hits): each document's places of benchmark shingles with the words around them."""
-    known = tokens.select("token", "short").distinct()
+def keyed(docs: DataFrame, text: str, ident: str) -> DataFrame:
+    """(ident, print, chars, body): a hash and the length of the text tell apart texts under one id."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{ident}`").alias("ident"), F.xxhash64(body).alias("print"), F.length(body).alias("chars"), item_words(body).alias("w"))
+    return docs.select(F.col(f"`{ident}`").alias("ident"), F.xxhash64(body).alias("print"), F.length(body).alias("chars"), body.alias("body"))
+
+
+def matches(docs: DataFrame, text: str, ident: str, tokens: DataFrame, shingle: int) -> DataFrame:
+    """(ident, print, chars, n_words, hits): each document's places of what may be benchmark shingles."""
+    known = tokens.select("token", "short").distinct()
+    row = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or("short"), F.lit(False)).alias("short")).first()
+    bits, size = bitmap(known, row["n"])
+    rows = keyed(docs, text, ident).withColumn("w", item_words(F.col("body")))
     last = lambda length: F.size("w") - length
     places = lambda length: F.when(last(length) >= 0, F.sequence(F.lit(0), last(length))).otherwise(F.array().cast("array<int>"))
     spot = lambda at, length: F.struct(at.alias("at"), shingle_hash(F.col("w"), at, length).alias("token"))
-    found = F.transform(places(shingle), lambda i: spot(i, shingle))
-    listed = known.limit(MOST_INLINE + 1).collect()
-    if len(listed) <= MOST_INLINE:
-        held, size = bitmap([r["token"] for r in listed])
-        bits = F.from_json(F.lit(json.dumps(held)), "array<bigint>")
-        at_bit = lambda token: F.pmod(token, F.lit(size))
-        is_set = lambda b: F.getbit(F.get(bits, F.shiftright(b, 6).cast("int")), b.bitwiseAND(F.lit(63)).cast("int")) == 1
-        maybe = lambda s: is_set(at_bit(s["token"]))
-        found = F.filter(found, maybe)
-        if any(r["short"] for r in listed):
-            found = F.concat(found, F.filter(F.transform(places(1), lambda i: spot(i, 1)), maybe))
-    else:
-        found = F.concat(found, F.transform(places(1), lambda i: spot(i, 1)))
-    first = lambda s: F.greatest(F.lit(0), s["at"] - window + 1)
-    around = lambda s: F.struct(s["at"].alias("at"), s["token"].alias("token"), first(s).alias("first"), F.slice("w", first(s) + 1, 2 * window).alias("near"))
-    return rows.select("ident", "print", "chars", F.size("w").cast("long").alias("n_words"), F.transform(found, around).alias("hits"))
+    bit = lambda s: F.pmod(s["token"], F.lit(size))
+    is_set = lambda s: F.getbit(F.get(bits, F.shiftright(bit(s), 6).cast("int")), bit(s).bitwiseAND(F.lit(63)).cast("int")) == 1
+    passing = lambda length: F.filter(F.transform(places(length), lambda i: spot(i, length)), is_set)
+    found = F.concat(passing(shingle), passing(1)) if row["short"] else passing(shingle)
+    return rows.select("ident", "print", "chars", F.size("w").cast("long").alias("n_words"), found.alias("hits"))
 
 
 def contained(docs: DataFrame, items: DataFrame, text: str = "text", ident: str = "doc_id", item_text: str = "text", item_ident: str = "item_id", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
@@ -105,34 +108,43 @@ def contained(docs: DataFrame, items: DataFrame, text: str = "text", ident: str
     windows.  Rows that repeat an id and a text give one row each.  ``print``
     (a hash of the text) and ``chars`` tell apart texts under one id.
     """
-    pieces = windows(items, item_text, item_ident, window, shingle)
-    tokens = pieces.withColumn("short", F.size("words") < shingle)
-    found = stage(matches(docs, text, ident, tokens, window, shingle), "matches")
+    cut = stage(windows(items, item_text, item_ident, window).withColumn("held_by", F.xxhash64("items")), "windows")
+    pieces = shingled(cut, shingle)
+    tokens = pieces.select("token", (F.size("words") < shingle).alias("short"))
+    found = stage(matches(docs, text, ident, tokens, shingle), "matches")
     spots = found.where(F.size("hits") > 0).select("ident", "print", "chars", "n_words", F.inline("hits"))
     known = tokens.select("token").distinct()
-    bounded = F.broadcast if pieces.count() <= MOST_BROADCAST else (lambda df: df)
+    bounded = F.broadcast if pieces.count() <= MOST_BROADCAST else (lambda df: df)  # counted, not guessed
     counts = spots.select("token").join(bounded(known), "token", "left_semi").groupBy("token").count()
-    rare = Window.partitionBy("item", "words").orderBy(F.coalesce("count", F.lit(0)), "at")
+    rare = Window.partitionBy("words").orderBy(F.coalesce("count", F.lit(0)), "at")
     # a shingle that no document holds makes its window the empty side of the join
     prefix = pieces.join(counts, "token", "left").withColumn("nth", F.row_number().over(rare)).where("nth = 1 AND count > 0")
-    prefix = prefix.select("token", "item", "words", F.col("at").alias("offset"))
+    prefix = prefix.select("token", "held_by", "words", F.col("at").alias("offset"))
     start = F.col("at") - F.col("offset")
     fits = (start >= 0) & (start + F.size("words") <= F.col("n_words"))
-    same = F.slice("near", start - F.col("first") + 1, F.size("words")) == F.col("words")
-    hits = spots.join(bounded(prefix), "token").where(fits).where(same).select("ident", "print", "chars", "item", start.alias("start"), F.size("words").alias("length")).distinct()
     key = ["ident", "print", "chars"]
-    # each item's stretches are merged as far as they touch before a document's are
-    covered = hits.groupBy(*key, "item").agg(F.collect_set(F.struct("start", "length")).alias("s"))
-    by_doc = covered.groupBy(*key).agg(
-        F.flatten(F.collect_list("s")).alias("s"),
-        F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"),
-    )
+    open_ = spots.join(bounded(prefix), "token").where(fits).select(*key, F.struct("held_by", start.alias("start"), "words").alias("c"))
+    open_ = stage(open_.groupBy(*key).agg(F.collect_set("c").alias("open")), "candidates")
+    again = keyed(docs, text, ident)
+    if open_.count() <= MOST_KEYS:
+        # texts that have no candidate stay where they are
+        again = again.join(F.broadcast(open_.select("print").distinct()), "print", "left_semi")
+    to_check = open_.withColumnsRenamed({k: f"o_{k}" for k in key})
+    met = again.join(to_check, [F.col("ident").eqNullSafe(F.col("o_ident")), F.col("print") == F.col("o_print"), F.col("chars") == F.col("o_chars")])
+    same = let(item_words(F.col("body")), lambda w: F.filter("open", lambda c: F.slice(w, c["start"] + 1, F.size(c["words"])) == c["words"]))
+    hits = met.select(*key, F.inline(same)).select(*key, "held_by", "start", F.size("words").alias("length")).distinct()
+    hits = stage(hits, "hits")
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
     end = lambda s: s["start"] + s["length"]
     more = lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), end(s) - F.greatest(acc["end"], s["start"]))).cast("long").alias("n"), F.greatest(acc["end"], end(s)).alias("end"))
-    by_doc = by_doc.select(
-        *(F.col(k).alias(f"k_{k}") for k in key),
-        F.aggregate(F.array_sort("s"), zero, more)["n"].alias("n_hit"),
+    covered = hits.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("s")).select(*key, F.aggregate("s", zero, more)["n"].alias("n_hit"))
+    # sets of items come to a document once each, however many windows they share
+    sets = cut.groupBy("held_by").agg(F.first("items").alias("items"))
+    named = hits.select(*key, "held_by").distinct().join(sets, "held_by").groupBy(*key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    same_text = [covered["ident"].eqNullSafe(named["ident"]), covered["print"] == named["print"], covered["chars"] == named["chars"]]
+    by_doc = covered.join(named, same_text).select(
+        *(covered[k].alias(f"k_{k}") for k in key),
+        "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
     )
