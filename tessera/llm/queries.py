@@ -10,8 +10,11 @@ from .text import read
 
 #: The base rules (host and path prefix) and the verdicts they give.
 BASE_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-#: Patterns of unwanted hosts and tracking links that hold where no base rule does.
-PATTERNS = ["||spam-farm.", "||cheap-pills.", "||casino-*.", "||adult-*.", "||free-bets.", "||ads-track.", "||doubleclick.", "/adserver/", "/popunder/"]
+#: Patterns of unwanted hosts and tracking links that hold where no base rule does: a few by name, the rest from two lists of words.
+NAMED = ["||spam-farm.", "||cheap-pills.", "||casino-*.", "||adult-*.", "||free-bets.", "||ads-track.", "||doubleclick.", "/adserver/", "/popunder/"]
+UNWANTED = "pills poker slots loans payday replica torrent warez escort dating lottery viagra crypto bets clickbait tracker popads malware phishing coupons".split()
+SELLING = "online bonus cheap free best deals shop store world zone hub click".split()
+PATTERNS = NAMED + [f"||{a}-{b}." for a in UNWANTED for b in SELLING] + [f"/{a}/{b}/" for a in UNWANTED[:5] for b in SELLING[:4]]
 
 #: Fixed value: documents that score at least this are predicted toxic.
 TOXIC_FROM = 0.7
@@ -47,10 +50,12 @@ SELECT page_id, host, path, rule, CASE
   WHEN rule IS NOT NULL THEN 'allow'
   WHEN regexp_matches(host || path, '^([^/]*\.)?(spam-farm|cheap-pills|free-bets|ads-track|doubleclick)\.', 's')
     OR regexp_matches(host || path, '^([^/]*\.)?(casino|adult)-.*\.', 's')
+    OR regexp_matches(host || path, '^([^/]*\.)?(UNWANTED)-(SELLING)\.', 's')
+    OR regexp_matches(host || path, '/(FIRST)/(WORDS)/', 's')
     OR contains(path, '/adserver/') OR contains(path, '/popunder/') THEN 'block'
   ELSE 'allow' END AS verdict
 FROM ruled
-"""
+""".replace("UNWANTED", "|".join(UNWANTED)).replace("SELLING", "|".join(SELLING)).replace("FIRST", "|".join(UNWANTED[:5])).replace("WORDS", "|".join(SELLING[:4]))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +120,23 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("ident").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+OP6_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+  FROM t),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n + b.n) AS pair_size, count(*) AS o FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * o >= 80 * (pair_size - o)),
+x AS (SELECT a AS u, b AS v FROM l UNION SELECT b, a FROM l),
+r(u, v) AS (SELECT u, v FROM x UNION SELECT r.u, x.v FROM r JOIN x ON x.u = r.v),
+m AS (SELECT u AS doc_id, min(v) AS least FROM r GROUP BY u)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id FROM s LEFT JOIN m USING (doc_id)
+"""
+
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -140,4 +162,4 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 QUERIES = {"op2_language_model": op2_language_model, "op1_toxicity": op1_toxicity, "op4_nearest": op4_nearest, "op6_jaccard_join": op6_jaccard_join, "op3_pii": op3_pii, "op8_secrets": op8_secrets, "op9_decontaminate": op9_decontaminate, "op5_mix_sources": op5_mix_sources, "op7_shard": op7_shard, "op10_url_filter": op10_url_filter}
-SQL = {"op9_decontaminate": OP9_SQL, "op10_url_filter": OP10_SQL}
+SQL = {"op6_jaccard_join": OP6_SQL, "op9_decontaminate": OP9_SQL, "op10_url_filter": OP10_SQL}

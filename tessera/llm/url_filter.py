@@ -7,7 +7,7 @@ and digits that is closed off on both sides inside the pattern must occur as a
 whole token in every URL that the pattern fits.  For each rule the token that
 the fewest URLs hold is its index key; a URL's tokens fetch the rules keyed by
 them, and only those run their regular expressions.  Rules without such a token
-run everywhere.
+run on every URL, beside the index.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from .text import ascii_lower, constant_table
 SEPARATORS = r"[^a-z0-9]+"
 #: Up to this many rules ride in the plan as literals; longer lists are joined as a table.
 INLINE_RULES = 256
+#: Rule tables of at most this many rows (some hundred bytes each) are broadcast.
+MOST_BROADCAST = 50_000
 
 
 @dataclass(frozen=True)
@@ -88,8 +90,9 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", default: str =
     if known:
         # one row per token of the rule list comes back, however many URLs there are
         vocabulary = constant_table(spark, [{"token": t} for t in known], "token string")
-        seen = rows.select(F.explode(tokens).alias("token")).groupBy("token").count()
-        counts = {r["token"]: r["count"] for r in seen.join(F.broadcast(vocabulary), "token", "left_semi").collect()}
+        bounded = F.broadcast(vocabulary) if len(known) <= MOST_BROADCAST else vocabulary
+        met = rows.select(F.explode(tokens).alias("token")).join(bounded, "token", "left_semi")
+        counts = {r["token"]: r["count"] for r in met.groupBy("token").count().collect()}
     keyed: dict[str, list[int]] = {}
     for i, r in enumerate(ranked):
         key = min(r.tokens, key=lambda t: (counts.get(t, 0), t), default="")
@@ -115,15 +118,22 @@ def _inline(ranked: list[Rule], keyed: dict[str, list[int]], tokens: Column, pla
 
 
 def _joined(rows: DataFrame, ranked: list[Rule], keyed: dict[str, list[int]], tokens: Column, place: Column) -> DataFrame:
-    """The same for long rule lists: distinct places meet the rule table by token; the best fit comes back by place."""
-    always = set(keyed.get("", []))
+    """The same for long rule lists: distinct places meet the rule table by token; the best fit comes back by place.
+
+    Rules without a token are literals of the plan, so that no key is met by all places.
+    """
     table = constant_table(
         rows.sparkSession,
-        [{"token": t, "at": i, "regex": ranked[i].regex, "rule": ranked[i].name if ranked[i].base else None, "verdict": ranked[i].verdict} for t, ids in keyed.items() for i in ids],
+        [{"token": t, "at": i, "regex": ranked[i].regex, "rule": ranked[i].name if ranked[i].base else None, "verdict": ranked[i].verdict} for t, ids in keyed.items() if t for i in ids],
         "token string, at int, regex string, rule string, verdict string",
     )
+    table = F.broadcast(table) if len(ranked) <= MOST_BROADCAST else table
     places = rows.select(place.alias("__place")).distinct()
-    probes = places.select("__place", F.explode(F.array_append(F.array_distinct(F.filter(F.split(ascii_lower(F.col("__place")), SEPARATORS), lambda t: t != "")), F.lit("")) if always else F.array_distinct(F.split(ascii_lower(F.col("__place")), SEPARATORS))).alias("token"))
-    hits = probes.join(table, "token").where(F.rlike(F.col("__place"), F.col("regex")))
+    probes = places.select("__place", F.explode(F.array_distinct(F.split(ascii_lower(F.col("__place")), SEPARATORS))).alias("token"))
+    hits = probes.join(table, "token").where(F.rlike(F.col("__place"), F.col("regex"))).select("__place", "at", "rule", "verdict")
+    if anywhere := keyed.get("", []):
+        fit = F.array(*(F.struct(F.lit(i).alias("at"), F.lit(ranked[i].regex).alias("regex"), F.lit(ranked[i].name if ranked[i].base else None).cast("string").alias("rule"), F.lit(ranked[i].verdict).alias("verdict")) for i in anywhere))
+        first = F.get(F.filter(fit, lambda r: F.rlike(F.col("__place"), r["regex"])), F.lit(0))
+        hits = hits.unionByName(places.withColumn("r", first).where(F.col("r").isNotNull()).select("__place", "r.at", "r.rule", "r.verdict"))
     best = hits.groupBy("__place").agg(F.min_by(F.struct("rule", "verdict"), "at").alias("__best"))
     return rows.withColumn("__place", place).join(best, "__place", "left").drop("__place")
