@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Coefficients of the Stirling series of log-gamma, from 1/x on.
@@ -31,6 +31,18 @@ def log_beta(a: Column, b: Column) -> Column:
     return lgamma(a) + lgamma(b) - lgamma(a + b)
 
 
+def once_each(df: DataFrame, value: Column, name: str, *columns: str) -> DataFrame:
+    """``df`` with ``value`` of ``columns`` as ``name``, computed once for each distinct tuple of them.
+
+    Counts repeat far more often than they differ; the distinct tuples are few
+    enough to be broadcast on most tables, and are shuffled where they are not.
+    """
+    keys = {f"__{c}": F.col(c) for c in columns}
+    known = df.select(*columns).distinct().withColumn(name, value).withColumnsRenamed({c: f"__{c}" for c in columns})
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(columns, keys)]
+    return df.join(known, same).drop(*keys)
+
+
 def nb_log_pmf(k: Column, base: Column, log_mu: Column, alpha: Column) -> Column:
     """Negative binomial of mean base * exp(log_mu) and dispersion alpha; 0 where the mean is not positive or k negative."""
     r = 1 / F.greatest(alpha.cast("double"), F.lit(SMALL))

@@ -28,8 +28,8 @@ def baseline(df: DataFrame, gene: str, spot: str, count: str, normal: Column, le
     own = df.groupBy(gene).agg(F.sum(F.when(normal, F.col(count)).otherwise(0)).alias("own"))
     own = own.where((F.col("own") >= least) & (F.col("own") > 0))
     scored = df.join(own, gene)
-    share = F.col("own") / F.sum("own").over(Window.partitionBy(F.lit(0)))
-    shares = own.select(gene, share.alias("lam"))
+    whole = own.agg(F.sum("own").alias("whole"))  # one row
+    shares = own.join(F.broadcast(whole), how="cross").select(gene, (F.col("own") / F.col("whole")).alias("lam"))
     totals = scored.groupBy(spot).agg(F.sum(count).alias("total"))
     pairs = scored.select(gene, spot).distinct()
     return pairs.join(shares, gene).join(totals, spot).select(gene, spot, (F.col("lam") * F.col("total")).alias("base"))
@@ -58,7 +58,7 @@ def floor_labels(df: DataFrame, label: str, weight: str, least_rows: int, least_
     """
     sums = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w"))
     ok = (F.col("n") >= least_rows) & (F.col("w") >= least_weight)
-    kept = sums.where(ok).withColumn("merged", F.row_number().over(Window.orderBy(label)) - 1)
+    kept = numbered(sums.where(ok), label, name="merged")
     most = kept.agg(F.max_by("merged", F.struct(F.col("w"), -F.col("merged"))).alias("most"))
     rest = sums.where(~ok).join(most, how="cross").where("most IS NOT NULL").select(label, F.col("most").alias("merged"))
     return kept.select(label, "merged").unionByName(rest).select(label, F.col("merged").cast("long").alias("merged"))
@@ -67,8 +67,7 @@ def floor_labels(df: DataFrame, label: str, weight: str, least_rows: int, least_
 def reindex_labels(df: DataFrame, label: str, anchor: Column) -> DataFrame:
     """(label, n, code): the anchor is 0, the rest follow by rising count, ties by label."""
     sums = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    order = Window.orderBy(F.when(anchor, 0).otherwise(1), "n", label)
-    return sums.select(label, "n", (F.row_number().over(order) - 1).cast("long").alias("code"))
+    return numbered(sums.withColumn("__other", F.when(anchor, 0).otherwise(1)), "__other", "n", label, name="code").select(label, "n", "code")
 
 
 def enumerate_repeats(df: DataFrame, *key: str, order: str) -> DataFrame:
@@ -83,9 +82,9 @@ def distinct_codes(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def log_sum_exp(df: DataFrame, group: str, value: str) -> DataFrame:
-    """(group, lse): stable against large values, by the group's maximum."""
-    most = F.max(value).over(Window.partitionBy(group))
-    shifted = df.select(group, F.col(value).alias("v"), most.alias("m"))
+    """(group, lse): stable against large values, by the group's maximum; both passes sum inside the tasks first."""
+    most = df.groupBy(group).agg(F.max(value).alias("m"))
+    shifted = df.select(group, F.col(value).alias("v")).join(most, group)
     return shifted.groupBy(group).agg((F.max("m") + F.ln(F.sum(F.exp(F.col("v") - F.col("m"))))).alias("lse"))
 
 

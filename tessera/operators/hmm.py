@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.likelihood import nb_log_pmf
+from tessera.operators.chunks import in_order, whole_groups
 
 
 def transitions(states: int, stay: float) -> list[list[float]]:
@@ -25,49 +27,81 @@ def _log_sum(values: list[Column]) -> Column:
     return most + F.ln(sum((F.exp(v - most) for v in values), F.lit(0.0)))
 
 
+def _sum_logs(x: np.ndarray, axis: int) -> np.ndarray:
+    most = x.max(axis=axis, keepdims=True)
+    return (most + np.log(np.exp(x - most).sum(axis=axis, keepdims=True))).squeeze(axis)
+
+
+class Chains:
+    """Groups side by side, longest first, so that step t of all of them is one array operation."""
+
+    def __init__(self, edges: np.ndarray):
+        length = np.diff(edges)
+        self.order = np.argsort(-length, kind="stable")
+        self.starts, self.length = edges[:-1][self.order], length[self.order]
+
+    def steps(self) -> range:
+        return range(int(self.length[0]) if len(self.length) else 0)
+
+    def rows(self, t: int) -> np.ndarray:
+        """The rows of place ``t`` in the groups that are longer than that."""
+        return self.starts[: int(np.searchsorted(-self.length, -t))] + t
+
+
+def _numbers(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
+    return np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(float) for c in columns], axis=1)
+
+
 def forward(df: DataFrame, group: str, order: list[str], emissions: list[str], log_trans: list[list[float]], log_start: list[float]) -> DataFrame:
     """(group, n, log_likelihood) of each group's rows in order; emissions are log-probability columns, one a state.
 
-    The lattice is a fold over the group's sorted rows inside the JVM; only the
-    current column of it is held.
+    Tasks run many groups' lattices side by side and hold one column of each.
     """
-    k = len(emissions)
-    rows = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order, *emissions))).alias("rows"))
-    first = lambda r: F.array(*(F.lit(log_start[j]) + r[emissions[j]] for j in range(k)))
-    after = lambda a, r: F.array(*(_log_sum([F.get(a, i) + log_trans[i][j] for i in range(k)]) + r[emissions[j]] for j in range(k)))
-    none = F.array().cast("array<double>")
-    end = F.aggregate("rows", none, lambda a, r: F.when(F.size(a) == 0, first(r)).otherwise(after(a, r)))
-    lattice = rows.select(group, F.size("rows").cast("long").alias("n"), end.alias("a"))
-    return lattice.select(group, "n", _log_sum([F.get("a", i) for i in range(k)]).alias("log_likelihood"))
+    trans, start = np.array(log_trans), np.array(log_start)
+    rows = in_order(df, group, order, *emissions)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, edges in whole_groups(batches):
+            e, chains = _numbers(batch, emissions), Chains(edges)
+            a = np.zeros((len(chains.starts), len(start)))
+            for t in chains.steps():
+                at = chains.rows(t)
+                own = a[: len(at)]
+                a[: len(at)] = (start if t == 0 else _sum_logs(own[:, :, None] + trans, 1)) + e[at]
+            names = batch.column(0).take(pa.array(chains.starts))
+            yield pa.RecordBatch.from_arrays([names, pa.array(chains.length), pa.array(_sum_logs(a, 1))], [group, "n", "log_likelihood"])
 
-def _arrays(part: pd.DataFrame, order: list[str], emissions: list[str]) -> tuple[pd.DataFrame, np.ndarray]:
-    part = part.sort_values(order, kind="stable")
-    return part, part[emissions].to_numpy(float)
+    return rows.mapInArrow(run, f"`{group}` {dict(rows.dtypes)[group]}, n long, log_likelihood double")
 
 
 def viterbi(df: DataFrame, group: str, order: list[str], emissions: list[str], log_trans: list[list[float]], log_start: list[float]) -> DataFrame:
     """(group, order..., state): each group's best path; ties to the smaller state, from the end back."""
     trans, start = np.array(log_trans), np.array(log_start)
-    kinds = dict(df.dtypes)
-
-    def path(part: pd.DataFrame) -> pd.DataFrame:
-        part, e = _arrays(part, order, emissions)
-        n, k = e.shape
-        back = np.zeros((n, k), np.int64)
-        v = start + e[0]
-        for t in range(1, n):
-            step = v[:, None] + trans
-            back[t] = step.argmax(axis=0)
-            v = step.max(axis=0) + e[t]
-        out = np.zeros(n, np.int64)
-        out[-1] = int(v.argmax())
-        for t in range(n - 1, 0, -1):
-            out[t - 1] = back[t, out[t]]
-        return part[[group, *order]].assign(state=out)
-
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (group, *order)) + ", state long"
-    return df.select(group, *order, *emissions).groupBy(group).applyInPandas(path, schema)
+    rows = in_order(df, group, order, *emissions)
+    kinds, keep = dict(rows.dtypes), [group, *order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, edges in whole_groups(batches):
+            e, chains = _numbers(batch, emissions), Chains(edges)
+            back, out = np.zeros(e.shape, np.int16), np.zeros(len(e), np.int64)
+            v = np.zeros((len(chains.starts), len(start)))
+            for t in chains.steps():
+                at = chains.rows(t)
+                own = v[: len(at)]
+                if t:
+                    step = own[:, :, None] + trans
+                    back[at] = step.argmax(axis=1)
+                    own = step.max(axis=1)
+                else:
+                    own = start[None, :]
+                v[: len(at)] = own + e[at]
+            out[chains.starts + chains.length - 1] = v.argmax(axis=1)
+            for t in reversed(chains.steps()):
+                after = chains.rows(t + 1)
+                out[after - 1] = back[after, out[after]]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(out)], [*keep, "state"])
+
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", state long")
 
 
 def posteriors(df: DataFrame, group: str, order: list[str], emissions: list[str], log_trans: list[list[float]], log_start: list[float], switch: str | None = None) -> DataFrame:
@@ -78,36 +112,37 @@ def posteriors(df: DataFrame, group: str, order: list[str], emissions: list[str]
     states, then the flipped ones, and the state returned is the plain one.
     """
     trans, start = np.array(log_trans), np.array(log_start)
-    kinds = dict(df.dtypes)
-    extra = [switch] if switch else []
-
-    def chain(part: pd.DataFrame) -> pd.DataFrame:
-        part, e = _arrays(part, order, emissions)
-        n, k = e.shape
-        plain = len(start)
-        begin = np.concatenate([start, start]) + math.log(0.5) if switch else start
-
-        def step(t: int) -> np.ndarray:
-            if not switch:
-                return trans
-            w = part[switch].to_numpy(float)[t]
-            s = np.log(-np.expm1(min(w, -1e-300)))
-            return np.block([[trans + s, trans + w], [trans + w, trans + s]])
-
-        total = lambda x, axis: x.max(axis=axis) + np.log(np.exp(x - x.max(axis=axis, keepdims=True)).sum(axis=axis))
-        a, b = np.zeros((n, k)), np.zeros((n, k))
-        a[0] = begin + e[0]
-        for t in range(1, n):
-            a[t] = total(a[t - 1][:, None] + step(t - 1), 0) + e[t]
-        for t in range(n - 2, -1, -1):
-            b[t] = total(step(t) + (e[t + 1] + b[t + 1])[None, :], 1)
-        g = a + b
-        g = np.exp(g - total(g, 1)[:, None])
-        folded = g.reshape(n, -1, plain).sum(axis=1)
-        return part[[group, *order]].assign(posterior=list(folded), state=folded.argmax(axis=1))
-
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (group, *order)) + ", posterior array<double>, state long"
-    return df.select(group, *order, *emissions, *extra).groupBy(group).applyInPandas(chain, schema)
+    rows = in_order(df, group, order, *emissions, *([switch] if switch else []))
+    kinds, keep, plain = dict(rows.dtypes), [group, *order], len(start)
+    begin = np.concatenate([start, start]) + math.log(0.5) if switch else start
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, edges in whole_groups(batches):
+            e, chains = _numbers(batch, emissions), Chains(edges)
+            flip = _numbers(batch, [switch])[:, 0] if switch else None
+
+            def moves(at: np.ndarray) -> np.ndarray:
+                """Log-probabilities from the states of rows ``at`` to those of the next."""
+                if flip is None:
+                    return trans[None]
+                w = np.minimum(flip[at], -1e-300)[:, None, None]
+                stay, turn = trans + np.log(-np.expm1(w)), trans + w
+                return np.concatenate([np.concatenate([stay, turn], axis=2), np.concatenate([turn, stay], axis=2)], axis=1)
+
+            a, b = np.zeros(e.shape), np.zeros(e.shape)
+            for t in chains.steps():
+                at = chains.rows(t)
+                a[at] = (begin if t == 0 else _sum_logs(a[at - 1][:, :, None] + moves(at - 1), 1)) + e[at]
+            for t in reversed(chains.steps()):
+                after = chains.rows(t + 1)
+                b[after - 1] = _sum_logs(moves(after - 1) + (e[after] + b[after])[:, None, :], 2)
+            g = a + b
+            g = np.exp(g - _sum_logs(g, 1)[:, None])
+            folded = g.reshape(len(g), -1, plain).sum(axis=1)
+            values = pa.ListArray.from_arrays(pa.array(np.arange(len(g) + 1, dtype=np.int32) * plain), pa.array(folded.ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), values, pa.array(folded.argmax(axis=1))], [*keep, "posterior", "state"])
+
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", posterior array<double>, state long")
 
 
 def count_mixture(df: DataFrame, count: str, base: str, states: int, alpha: float, rounds: int = 10) -> DataFrame:

@@ -26,22 +26,46 @@ def overlap_join(points: DataFrame, ranges: DataFrame, contig: str, first: str,
     return met.where(both & here).drop("__cell")
 
 
-def covering(points: DataFrame, ranges: DataFrame, contig: str, at: str, start: str, end: str, width: int) -> DataFrame:
-    """Pairs of points with the ranges that hold them (start <= at < end)."""
-    a = points.withColumn("__cell", F.floor(F.col(at) / width).cast("long"))
-    b = ranges.withColumn("__cell", F.explode(cells(F.col(start), F.col(end), width)))
-    return a.join(b, [contig, "__cell"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("__cell")
+def length_class(start: Column, end: Column) -> Column:
+    """The least power of four that is at least an interval's length, as its exponent."""
+    return F.ceil(F.log2(F.greatest(F.lit(1), end - start).cast("double")) / 2 - 1e-9).cast("int")
+
+
+def covering(points: DataFrame, ranges: DataFrame, contig: str, at: str, start: str, end: str) -> DataFrame:
+    """Pairs of points with the ranges that hold them (start <= at < end).
+
+    Each range lies in at most two cells of its own length class, and a point
+    looks into its cell of every class that there is, so neither long nor short
+    ranges multiply rows.
+    """
+    width = lambda c: F.pow(F.lit(4.0), c)
+    cell = lambda x, c: F.floor(x / width(c)).cast("long")
+    classed = ranges.where(F.col(end) > F.col(start)).withColumn("__class", length_class(F.col(start), F.col(end)))
+    # a number for each power of four, some thirty at most
+    classes = sorted(r[0] for r in classed.select("__class").distinct().collect())
+    if not classes:
+        classes = [0]
+    a = points.withColumn("__class", F.explode(F.array(*map(F.lit, classes)))).withColumn("__cell", cell(F.col(at), F.col("__class")))
+    own = F.sequence(cell(F.col(start), F.col("__class")), cell(F.col(end) - 1, F.col("__class")))
+    b = classed.withColumn("__cell", F.explode(own))
+    return a.join(b, [contig, "__class", "__cell"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("__class", "__cell")
+
+
+def places(points: DataFrame, contig: str, at: str) -> DataFrame:
+    """The distinct places of points: what holds for a place holds for all points there."""
+    return points.select(contig, at).distinct()
 
 
-def nearest_start(points: DataFrame, ranges: DataFrame, key: str, contig: str, at: str, start: str, end: str, ident: str, width: int) -> DataFrame:
+def nearest_start(points: DataFrame, ranges: DataFrame, key: str, contig: str, at: str, start: str, end: str, ident: str) -> DataFrame:
     """(key, ident): for each point the covering range that starts last, ties to the larger id; points in none are left out."""
-    return covering(points, ranges, contig, at, start, end, width).groupBy(key).agg(F.max_by(ident, F.struct(start, ident)).alias(ident))
+    found = covering(places(points, contig, at), ranges, contig, at, start, end).groupBy(contig, at).agg(F.max_by(ident, F.struct(start, ident)).alias(ident))
+    return points.join(found, [contig, at]).select(key, ident)
 
 
-def outside(points: DataFrame, ranges: DataFrame, key: str, contig: str, at: str, start: str, end: str, width: int) -> DataFrame:
+def outside(points: DataFrame, ranges: DataFrame, contig: str, at: str, start: str, end: str) -> DataFrame:
     """The points that no range holds."""
-    inside = covering(points, ranges, contig, at, start, end, width).select(key).distinct()
-    return points.join(inside, key, "left_anti")
+    inside = covering(places(points, contig, at), ranges.select(contig, start, end).distinct(), contig, at, start, end).select(contig, at).distinct()
+    return points.join(inside, [contig, at], "left_anti").select(*points.columns)
 
 
 def most_overlap(items: DataFrame, ranges: DataFrame, key: str, contig: str, first: str, last: str, start: str, end: str, ident: str, width: int) -> DataFrame:
@@ -67,29 +91,32 @@ def elementary(ranges: DataFrame, contig: str, start: str, end: str) -> DataFram
     return edges.select(contig, F.col("edge").alias(start), after.alias(end)).where(F.col(end).isNotNull())
 
 
-def last_event(points: DataFrame, events: DataFrame, key: str, contig: str, at: str, start: str, end: str, order: str, state: str, default, width: int) -> DataFrame:
+def last_event(points: DataFrame, events: DataFrame, key: str, contig: str, at: str, start: str, end: str, order: str, state: str, default) -> DataFrame:
     """(key, state): the state of the last covering event, or ``default`` where none covers."""
-    found = covering(points, events, contig, at, start, end, width).groupBy(key).agg(F.max_by(state, order).alias(state))
-    return points.select(key).join(found, key, "left").select(key, F.coalesce(F.col(state), F.lit(default)).alias(state))
+    found = covering(places(points, contig, at), events, contig, at, start, end).groupBy(contig, at).agg(F.max_by(state, order).alias(state))
+    return points.select(key, contig, at).join(found, [contig, at], "left").select(key, F.coalesce(F.col(state), F.lit(default)).alias(state))
 
 
 def interpolate(points: DataFrame, markers: DataFrame, contig: str, at: str, pos: str, value: str) -> DataFrame:
     """``points`` with ``value``: linear between the markers around, from (0, 0) before the first, the last one's after it.
 
-    Contigs without markers have NULL.  One ordered pass over both tables.
+    Contigs without markers have NULL.  Each marker, and the origin of each
+    contig, brings its successor along, so one ordered pass over both tables
+    looks back only.
     """
-    a = points.withColumns({"__pos": F.col(at).cast("double"), "__m": F.lit(None).cast("struct<p: double, v: double>")})
-    m = F.struct(F.col(pos).cast("double").alias("p"), F.col(value).cast("double").alias("v"))
-    b = markers.select(F.col(contig), F.col(pos).cast("double").alias("__pos"), m.alias("__m"))
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("__point", F.col("__m").isNull())
+    here = markers.select(F.col(contig), F.col(pos).cast("double").alias("__pos"), F.struct(F.col(pos).cast("double").alias("p"), F.col(value).cast("double").alias("v")).alias("__m"))
+    origin = markers.select(contig).distinct().select(contig, F.lit(float("-inf")).alias("__pos"), F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("v")).alias("__m"))
+    after = F.lead("__m").over(Window.partitionBy(contig).orderBy("__pos"))
+    known = here.unionByName(origin).withColumn("__m", F.struct("__m.*", after.alias("next")))
+    kind = dict(known.dtypes)["__m"]
+    a = points.withColumns({"__pos": F.col(at).cast("double"), "__m": F.lit(None).cast(kind)})
+    both = a.unionByName(known, allowMissingColumns=True).withColumn("__point", F.col("__m").isNull())
     order = Window.partitionBy(contig).orderBy("__pos", F.col("__point"))
     back = F.last("__m", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("__m", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    found = both.withColumns({"__back": back, "__ahead": ahead}).where("__point")
-    p0, v0 = F.coalesce("__back.p", F.lit(0.0)), F.coalesce("__back.v", F.lit(0.0))
-    line = v0 + (F.col("__pos") - p0) * F.try_divide(F.col("__ahead.v") - v0, F.col("__ahead.p") - p0)
-    out = F.when(F.col("__ahead").isNull(), F.col("__back.v")).otherwise(F.coalesce(line, v0))
-    return found.withColumn(value, out).drop("__pos", "__m", "__point", "__back", "__ahead")
+    found = both.withColumn("__back", back).where("__point")
+    p0, v0 = F.col("__back.p"), F.col("__back.v")
+    line = v0 + (F.col("__pos") - p0) * F.try_divide(F.col("__back.next.v") - v0, F.col("__back.next.p") - p0)
+    return found.withColumn(value, F.coalesce(line, v0)).drop("__pos", "__m", "__point", "__back")
 
 
 def runs(df: DataFrame, group: str, order: list[str], state: str) -> DataFrame:

@@ -1,79 +1,71 @@
 """Operators along an order: packing, cuts, parity, switch laws, moving sums and fills.
 
-The folds keep one state per group and run inside the JVM over the group's
-sorted rows; a group here is a contig, whose rows are bounded by the genome.
+Folds run over the rows of a group as they come sorted to a task and keep one
+state; windows do the rest inside the JVM.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.chunks import Fold, labelled
 
-def _in_order(df: DataFrame, group: str, order: list[str], *values: str) -> DataFrame:
-    rows = F.array_sort(F.collect_list(F.struct(*order, *values)))
-    return df.groupBy(group).agg(rows.alias("__rows"))
 
+class Packing(Fold):
+    """A segment closes once each of its sums reaches its floor; rows of one that stays open at the end join the segment before."""
 
-def _labelled(df: DataFrame, group: str, keep: list[str], name: str) -> DataFrame:
-    """One row for each element of ``__rows`` with the label of the same place."""
-    zipped = F.explode(F.arrays_zip("__rows", "__labels")).alias("z")
-    return df.select(group, zipped).select(group, *(F.col(f"z.__rows.{k}").alias(k) for k in keep), F.col("z.__labels").cast("long").alias(name))
+    def __init__(self, *floors: float):
+        self.floors, self.sums, self.n, self.at = floors, [0.0] * len(floors), 0, 0
+
+    def feed(self, *values: np.ndarray) -> list[int]:
+        out: list[int] = []
+        for row in zip(*(v.tolist() for v in values)):
+            self.n += 1
+            self.sums = [s + (0.0 if x != x else x) for s, x in zip(self.sums, row)]
+            if all(s >= f for s, f in zip(self.sums, self.floors)):
+                out += [self.at] * self.n
+                self.at, self.n, self.sums = self.at + 1, 0, [0.0] * len(self.floors)
+        return out
+
+    def end(self) -> list[int]:
+        return [max(0, self.at - 1)] * self.n
+
+
+class Steps(Fold):
+    """A new piece where the value moves by ``step`` or more, with more than ``spacing`` rows since the last cut."""
+
+    def __init__(self, step: float, spacing: int):
+        self.step, self.spacing, self.row, self.since, self.piece, self.last = step, spacing, 0, 0, 0, float("nan")
+
+    def feed(self, *values: np.ndarray) -> list[int]:
+        out = []
+        for x in values[0].tolist():
+            if self.row > self.since + self.spacing and abs(x - self.last) >= self.step:
+                self.piece, self.since = self.piece + 1, self.row
+            out.append(self.piece)
+            self.row, self.last = self.row + 1, x
+        return out
 
 
 def pack(df: DataFrame, group: str, order: list[str], value: str, least: float, name: str = "bin") -> DataFrame:
     """Left to right, a bin closes once its sum reaches ``least``; a last bin short of it joins the one before.
 
     Bins number from 0 in each group; a group that never reaches the floor is
-    one bin.
+    one bin.  NULLs add nothing.
     """
-    grown = F.aggregate(
-        "__rows",
-        F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("bin"), F.array().cast("array<int>").alias("out")),
-        lambda s, r: F.struct(
-            F.when(s["sum"] + r[value] >= least, 0.0).otherwise((s["sum"] + r[value]).cast("double")).alias("sum"),
-            F.when(s["sum"] + r[value] >= least, s["bin"] + 1).otherwise(s["bin"]).alias("bin"),
-            F.array_append(s["out"], s["bin"]).alias("out"),
-        ),
-        # a bin left open at the end has rows under the next number
-        lambda s: F.transform(s["out"], lambda b: F.least(b, F.greatest(F.lit(0), s["bin"] - 1))),
-    )
-    return _labelled(_in_order(df, group, order, value).withColumn("__labels", grown), group, [*order, value], name)
+    return labelled(df, group, order, [value], lambda: Packing(least), name)
 
 
 def floored(df: DataFrame, group: str, order: list[str], length: str, weight: str, least_length: float, least_weight: float, name: str = "segment") -> DataFrame:
     """As ``pack`` with two floors: a segment closes once both its length and its weight reach them."""
-    done = lambda s, r: (s["l"] + r[length] >= least_length) & (s["w"] + r[weight] >= least_weight)
-    grown = F.aggregate(
-        "__rows",
-        F.struct(F.lit(0.0).alias("l"), F.lit(0.0).alias("w"), F.lit(0).alias("bin"), F.array().cast("array<int>").alias("out")),
-        lambda s, r: F.struct(
-            F.when(done(s, r), 0.0).otherwise((s["l"] + r[length]).cast("double")).alias("l"),
-            F.when(done(s, r), 0.0).otherwise((s["w"] + r[weight]).cast("double")).alias("w"),
-            F.when(done(s, r), s["bin"] + 1).otherwise(s["bin"]).alias("bin"),
-            F.array_append(s["out"], s["bin"]).alias("out"),
-        ),
-        lambda s: F.transform(s["out"], lambda b: F.least(b, F.greatest(F.lit(0), s["bin"] - 1))),
-    )
-    return _labelled(_in_order(df, group, order, length, weight).withColumn("__labels", grown), group, [*order, length, weight], name)
+    return labelled(df, group, order, [length, weight], lambda: Packing(least_length, least_weight), name)
 
 
 def cut_at_steps(df: DataFrame, group: str, order: list[str], value: str, step: float, spacing: int, name: str = "piece") -> DataFrame:
     """A new piece begins where the value moves by ``step`` or more and over ``spacing`` rows have passed since the last cut."""
-    cut = lambda s, r: (s["at"] > s["since"] + spacing) & (F.abs(r[value] - s["last"]) >= step)
-    grown = F.aggregate(
-        "__rows",
-        F.struct(F.lit(0).alias("at"), F.lit(0).alias("since"), F.lit(None).cast("double").alias("last"), F.lit(0).alias("piece"), F.array().cast("array<int>").alias("out")),
-        lambda s, r: F.struct(
-            (s["at"] + 1).alias("at"),
-            F.when(cut(s, r), s["at"]).otherwise(s["since"]).alias("since"),
-            r[value].cast("double").alias("last"),
-            F.when(cut(s, r), s["piece"] + 1).otherwise(s["piece"]).alias("piece"),
-            F.array_append(s["out"], F.when(cut(s, r), s["piece"] + 1).otherwise(s["piece"])).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    return _labelled(_in_order(df, group, order, value).withColumn("__labels", grown), group, [*order, value], name)
+    return labelled(df, group, order, [value], lambda: Steps(step, spacing), name)
 
 
 def parity(df: DataFrame, group: str, order: list[str], flag: Column, name: str = "phase") -> DataFrame:
@@ -94,6 +86,11 @@ def log_switch(p: Column, shift: float) -> Column:
     return F.ln(F.least(F.lit(0.5), p * F.exp(F.lit(-float(shift)))))
 
 
+def composable_switch(distance: Column, nu: float, shift: float) -> Column:
+    """log of Haldane's law at the rate nu e^-shift, which composes over any binning."""
+    return F.ln(-0.5 * F.expm1(-2 * nu * F.exp(F.lit(-float(shift))) * distance))
+
+
 def moving_sum(df: DataFrame, group: str, order: list[str], value: str, width: int, name: str = "moving") -> DataFrame:
     """Centred sum over ``width`` rows, zero beyond the ends."""
     frame = Window.partitionBy(group).orderBy(*order).rowsBetween(-(width // 2), width - width // 2 - 1)
@@ -106,8 +103,9 @@ def range_sum(df: DataFrame, group: str, at: str, value: str, reach: int, name:
 
 
 def filled(df: DataFrame, group: str, order: list[str], value: str, name: str = "filled") -> DataFrame:
-    """NULLs take the last value before them; leading ones the first after."""
+    """NULLs take the last value before them; leading ones the group's first."""
     along = Window.partitionBy(group).orderBy(*order)
     back = F.last(value, ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(value, ignorenulls=True).over(along.rowsBetween(0, Window.unboundedFollowing))
-    return df.withColumn(name, F.coalesce(back, ahead))
+    # one aggregate of the group, not a frame that reads on from every row
+    head = F.min(F.when(F.col(value).isNotNull(), F.struct(*order, F.col(value).alias("__value")))).over(Window.partitionBy(group))
+    return df.withColumn(name, F.coalesce(back, head["__value"]))

@@ -21,7 +21,7 @@ def numbered(df: DataFrame, *order: str, name: str = "at") -> DataFrame:
         offsets.append(f"({part}, {before}L)")
         before += counts[part]
     if not offsets:
-        return df.withColumn(name, F.lit(None).cast("long"))
+        return df.limit(0).withColumn(name, F.lit(None).cast("long"))
     starts = df.sparkSession.sql(f"SELECT * FROM VALUES {', '.join(offsets)} AS t(__part, __before)")
     own = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
     return dealt.join(F.broadcast(starts), "__part").withColumn(name, (F.col("__before") + own).cast("long")).drop("__part", "__before")
@@ -33,6 +33,11 @@ def top_per_group(df: DataFrame, group: str, k: int, *order) -> DataFrame:
     return df.withColumn("__at", at).where(F.col("__at") <= k).drop("__at")
 
 
+def first_rows(df: DataFrame, group: str, *order) -> DataFrame:
+    """The first row of each group in an order."""
+    return top_per_group(df, group, 1, *order)
+
+
 def densified(df: DataFrame, label: str, name: str) -> DataFrame:
-    """(label, name): distinct labels numbered from 0 in order; there are few of them."""
-    return df.select(label).where(F.col(label).isNotNull()).distinct().select(label, (F.row_number().over(Window.orderBy(label)) - 1).cast("long").alias(name))
+    """(label, name): distinct labels numbered from 0 in order."""
+    return numbered(df.select(label).where(F.col(label).isNotNull()).distinct(), label, name=name)

@@ -1,4 +1,4 @@
 """Queries of the reference's operators; importing this package registers all of them."""
 
-from . import counting, genome, graphs, models, summary  # noqa: F401
+from . import counting, genome, graphs, models, spine, summary  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

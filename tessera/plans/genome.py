@@ -20,14 +20,14 @@ def _days(c):
 
 
 WINDOWS = """
-w AS (SELECT o_orderkey AS id, o_orderkey % 3 AS chr, CAST(epoch(o_orderdate) AS BIGINT) // 86400 AS s, CAST(epoch(o_orderdate) AS BIGINT) // 86400 + 1 + o_custkey % 20 AS e FROM orders WHERE o_orderkey % 40 = 0),
+w AS (SELECT o_orderkey AS id, o_orderkey % 3 AS chr, CAST(epoch(o_orderdate) AS BIGINT) // 86400 AS s, CAST(epoch(o_orderdate) AS BIGINT) // 86400 + 1 + o_custkey % 20 AS e FROM orders),
 p AS (SELECT o_orderkey AS point, o_orderkey % 3 AS chr, CAST(epoch(o_orderdate) AS BIGINT) // 86400 AS day FROM orders)
 """
 
 
 def _windows(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    w = orders.where("o_orderkey % 40 = 0").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 3).alias("chr"), _days("o_orderdate").alias("s"), (_days("o_orderdate") + 1 + F.col("o_custkey") % 20).alias("e"))
+    w = orders.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 3).alias("chr"), _days("o_orderdate").alias("s"), (_days("o_orderdate") + 1 + F.col("o_custkey") % 20).alias("e"))
     return orders.select(F.col("o_orderkey").alias("point"), (F.col("o_orderkey") % 3).alias("chr"), _days("o_orderdate").alias("day")), w
 
 
@@ -37,7 +37,7 @@ SELECT point, id FROM (SELECT point, id, row_number() OVER (PARTITION BY point O
 """)
 def point_in_interval(spark, sf_dir):
     points, ranges = _windows(spark, sf_dir)
-    return intervals.nearest_start(points, ranges, "point", "chr", "day", "s", "e", "id", 16)
+    return intervals.nearest_start(points, ranges, "point", "chr", "day", "s", "e", "id")
 
 
 @query(f"""
@@ -46,7 +46,7 @@ SELECT point, chr, day FROM p WHERE NOT EXISTS (SELECT 1 FROM w WHERE p.chr = w.
 """)
 def range_anti(spark, sf_dir):
     points, ranges = _windows(spark, sf_dir)
-    return intervals.outside(points, ranges, "point", "chr", "day", "s", "e", 16)
+    return intervals.outside(points, ranges, "chr", "day", "s", "e").select("point", "chr", "day")
 
 
 @query(f"""
@@ -55,7 +55,7 @@ SELECT point, coalesce(max_by(id, id), -1) AS id FROM p LEFT JOIN w ON p.chr = w
 """)
 def last_event_wins(spark, sf_dir):
     points, ranges = _windows(spark, sf_dir)
-    return intervals.last_event(points, ranges.withColumn("ord", F.col("id")), "point", "chr", "day", "s", "e", "ord", "id", -1, 16)
+    return intervals.last_event(points, ranges.withColumn("ord", F.col("id")), "point", "chr", "day", "s", "e", "ord", "id", -1)
 
 
 LINES = "l AS (SELECT l_orderkey * 8 + l_linenumber AS item, l_suppkey AS chr, CAST(epoch(l_shipdate) AS BIGINT) // 86400 AS s, CAST(epoch(l_shipdate) AS BIGINT) // 86400 + CAST(l_quantity AS BIGINT) AS e FROM lineitem WHERE l_quantity >= 1)"
@@ -98,7 +98,7 @@ def elementary_segments(spark, sf_dir):
 
 
 @query("""
-WITH m AS (SELECT user_id % 7 AS chr, epoch_us(ts) // 1000000 // 86400 * 86400 AS pos, CAST(count(*) AS DOUBLE) AS cm FROM events WHERE user_id % 7 <> 6 GROUP BY 1, 2),
+WITH m AS (SELECT user_id % 7 AS chr, epoch_us(ts) // 1000000 // 86400 * 86400 AS pos, CAST(count(*) AS DOUBLE) AS cm FROM events GROUP BY 1, 2),
 p AS (SELECT event_id, user_id % 7 AS chr, epoch_us(ts) // 1000000 + 40000 AS here FROM events),
 b AS (SELECT p.*, m.pos AS p0, m.cm AS v0 FROM p ASOF LEFT JOIN m ON p.chr = m.chr AND p.here >= m.pos),
 a AS (SELECT b.*, m.pos AS p1, m.cm AS v1 FROM b ASOF LEFT JOIN m ON b.chr = m.chr AND b.here < m.pos)
@@ -107,7 +107,7 @@ SELECT event_id, round(CASE WHEN p1 IS NULL THEN v0 ELSE coalesce(v0, 0) + (here
 def asof_interp(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     day = (_days("ts") * DAY).alias("pos")
-    markers = events.where("user_id % 7 <> 6").groupBy((F.col("user_id") % 7).alias("chr"), day).agg(F.count(F.lit(1)).alias("cm"))
+    markers = events.groupBy((F.col("user_id") % 7).alias("chr"), day).agg(F.count(F.lit(1)).alias("cm"))
     points = events.select("event_id", (F.col("user_id") % 7).alias("chr"), (_seconds("ts") + 40000).alias("here"))
     return intervals.interpolate(points, markers, "chr", "here", "pos", "cm").select("event_id", F.round("cm", 8).alias("cm"))
 

@@ -57,14 +57,14 @@ def knn_graph(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT c_custkey AS id, c_custkey // 50 AS r, c_custkey % 50 AS c FROM customer WHERE c_custkey % 11 <> 0),
+WITH p AS (SELECT c_custkey AS id, c_custkey // 50 AS r, c_custkey % 50 AS c FROM customer),
 o(dr, dc) AS (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)),
 e AS (SELECT a.id AS src, b.id AS dst FROM p a JOIN o ON true JOIN p b ON b.r = a.r + dr AND b.c = a.c + dc),
 d AS (SELECT src, count(*) AS d FROM e GROUP BY src)
 SELECT e.src, e.dst, round((4.0 / d1.d + 4.0 / d2.d) / 2, 6) AS w FROM e JOIN d d1 ON d1.src = e.src JOIN d d2 ON d2.src = e.dst
 """)
 def lattice_edges(spark, sf_dir):
-    spots = table(spark, sf_dir, "customer").where("c_custkey % 11 <> 0").select(F.col("c_custkey").alias("id"), F.call_function("div", F.col("c_custkey"), F.lit(50)).alias("r"), (F.col("c_custkey") % 50).alias("c"))
+    spots = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.call_function("div", F.col("c_custkey"), F.lit(50)).alias("r"), (F.col("c_custkey") % 50).alias("c"))
     return spatial.lattice_edges(spots, "id", "r", "c", [(0, 1), (0, -1), (1, 0), (-1, 0)]).withColumn("w", F.round("w", 6))
 
 

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from tessera.functions.likelihood import bb_log_pmf, nb_log_pmf
+from tessera.functions.likelihood import bb_log_pmf, nb_log_pmf, once_each
 from tessera.operators import copies, hmm
 
 from .registry import query, table
@@ -20,8 +20,9 @@ def _nb_sql(k, base, mu, alpha):
 
 @query(f"SELECT l_orderkey, l_linenumber, round({_nb_sql('CAST(l_quantity AS BIGINT)', '(l_linenumber * 5.0)', '0.3', '0.2')}, 5) AS ll FROM lineitem")
 def nb_loglik(spark, sf_dir):
-    ll = nb_log_pmf(F.col("l_quantity").cast("long"), F.col("l_linenumber") * 5.0, F.lit(0.3), F.lit(0.2))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(ll, 5).alias("ll"))
+    ll = nb_log_pmf(F.col("k"), F.col("l_linenumber") * 5.0, F.lit(0.3), F.lit(0.2))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("k"))
+    return once_each(rows, F.round(ll, 5), "ll", "k", "l_linenumber").drop("k")
 
 
 @query("""
@@ -30,8 +31,9 @@ SELECT l_orderkey, l_linenumber, round(CASE WHEN k > n THEN 0 ELSE lgamma(n + 1.
   + lgamma(k + a) + lgamma(n - k + b) - lgamma(n + a + b) - lgamma(a) - lgamma(b) + lgamma(a + b) END, 5) AS ll FROM x
 """)
 def bb_loglik(spark, sf_dir):
-    ll = bb_log_pmf(F.col("l_linenumber").cast("long"), F.col("l_quantity").cast("long"), F.lit(0.4), F.lit(12.0))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(ll, 5).alias("ll"))
+    ll = bb_log_pmf(F.col("l_linenumber").cast("long"), F.col("n"), F.lit(0.4), F.lit(12.0))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("n"))
+    return once_each(rows, F.round(ll, 5), "ll", "l_linenumber", "n").drop("n")
 
 
 @query(f"""

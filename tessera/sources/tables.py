@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import numbered
+
 AUTOSOMES = [f"chr{i}" for i in range(1, 23)]
 
 
@@ -23,8 +25,10 @@ def sample_sheet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def barcodes(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, barcode, sample_id) of a headerless file; what follows the last underscore is the sample."""
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), F.col("value").alias("combined_barcode"))
+    """(ord, barcode, sample_id) of a headerless file, ``ord`` being the line's place in it; what follows the last underscore is the sample."""
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("within"))
+    # within a block of the file ids follow the lines
+    rows = numbered(lines, "file", "block", "within", name="ord").select("ord", F.col("value").alias("combined_barcode"))
     parts = F.split("combined_barcode", "_")
     sample = F.when(F.size(parts) > 1, F.element_at(parts, -1))
     return rows.select("ord", "combined_barcode", F.get(parts, F.lit(0)).alias("barcode"), sample.alias("sample_id"))

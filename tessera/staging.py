@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a local folder only where it is unset, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = _FALLBACK
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -52,9 +52,9 @@ def test_pack_merges_a_short_tail(spark):
 def test_intervals_edges(spark):
     points = spark.createDataFrame([(i, 1, i) for i in range(10)] + [(99, 2, 5)], "p long, chr long, x long")
     ranges = spark.createDataFrame([(1, 1, 2, 5), (2, 1, 4, 8), (3, 1, 4, 6)], "id long, chr long, s long, e long")
-    got = dict(tuple(r) for r in intervals.nearest_start(points, ranges, "p", "chr", "x", "s", "e", "id", 3).collect())
+    got = dict(tuple(r) for r in intervals.nearest_start(points, ranges, "p", "chr", "x", "s", "e", "id").collect())
     assert got == {2: 1, 3: 1, 4: 3, 5: 3, 6: 2, 7: 2}
-    kept = {r["p"] for r in intervals.outside(points, ranges, "p", "chr", "x", "s", "e", 3).collect()}
+    kept = {r["p"] for r in intervals.outside(points, ranges, "chr", "x", "s", "e").collect()}
     assert kept == {0, 1, 8, 9, 99}
 
 
