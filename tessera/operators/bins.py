@@ -159,12 +159,12 @@ def bin_ranges(blocks: DataFrame, floors: dict[str, float], longest: float, cuts
         marked = marked.withColumn("__cut", F.lit(None).cast("boolean"))
     # blocks are summaries of the genome, not of its rows: one ordered pass over them
     opens = F.col("__long") | F.coalesce("__cut", F.lit(False)) | F.coalesce(F.lag("__long").over(along), F.lit(False))
-    marked = marked.withColumn("__opens", opens.cast("int")).withColumn("__part", F.sum("__opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = marked.withColumn("__opens", opens.cast("int")).withColumn("__stretch", F.sum("__opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     names = list(floors)
     fold = lambda: Bins(tuple(floors.values()), longest)
-    own = labelled(marked, "__part", [key], ["__length", *names], fold, "__own")
-    named = numbered(own.select("__part", "__own").distinct(), "__part", "__own", name="bin")
-    return own.join(named, ["__part", "__own"]).select(key, "bin")
+    own = labelled(marked, "__stretch", [key], ["__length", *names], fold, "__own")
+    named = numbered(own.select("__stretch", "__own").distinct(), "__stretch", "__own", name="bin")
+    return own.join(named, ["__stretch", "__own"]).select(key, "bin")
 
 
 def floor_bins(blocks: DataFrame, least_length: float, least_weight: float, weight: str, contig: str = "chr", key: str = "bin") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions.likelihood import admixed_depth, admixed_share, bb_log_pmf, nb_log_pmf
 from tessera.functions.special import chi_square_cut
 from tessera.operators import hmm
+from tessera.operators.fitting import listed, state_values
 from tessera.operators.ranking import first_rows
 
 
@@ -104,19 +105,15 @@ def lattice_paths(cells: DataFrame, purities: Sequence[float], shifts: Sequence[
     trans, start = hmm.transitions(k, stay), [-math.log(k)] * k
     names = [f"e{i}" for i in range(k)]
 
-    def scored(rows: DataFrame) -> DataFrame:
-        out = rows
-        for i, (a, b) in enumerate(pairs):
-            depth = F.ln(F.greatest(F.lit(1e-6), admixed_depth(F.lit(a), F.lit(b), F.col("purity")))) + F.col("shift")
-            part = nb_log_pmf(F.col("umi"), F.col("base"), depth, F.lit(alpha)) + F.when(F.col("total") > 0, bb_log_pmf(F.col("a"), F.col("total"), F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), admixed_share(F.lit(a), F.lit(b), F.col("purity")))), F.lit(tau))).otherwise(0.0)
-            out = out.withColumn(f"e{i}", part - parsimony * abs(a + b - 2))
-        return out
-
-    # emissions of each distinct cell and setting once
+    # emissions of each distinct cell, setting and pair once
     settings = cells.sparkSession.createDataFrame([(float(p), float(s)) for p in purities for s in shifts], "purity double, shift double")
-    codes = cells.select("umi", "base", "a", "total").distinct().join(F.broadcast(settings), how="cross")  # a short list of settings
-    known = scored(codes)
-    tried = cells.join(F.broadcast(settings), how="cross").join(known, ["umi", "base", "a", "total", "purity", "shift"])
+    tried = cells.join(F.broadcast(settings), how="cross")  # a short list of settings
+    a, b = F.col("s.a"), F.col("s.b")
+    depth = F.ln(F.greatest(F.lit(1e-6), admixed_depth(a, b, F.col("purity")))) + F.col("shift")
+    share = F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), admixed_share(a, b, F.col("purity"))))
+    level = nb_log_pmf(F.col("umi"), F.col("base"), depth, F.lit(alpha)) + F.when(F.col("total") > 0, bb_log_pmf(F.col("a"), F.col("total"), share, F.lit(tau))).otherwise(0.0) - parsimony * F.abs(a + b - 2)
+    options = listed([{"k": i, "a": x, "b": y} for i, (x, y) in enumerate(pairs)], "k: int, a: int, b: int")
+    tried = state_values(tried, ["umi", "base", "a", "total", "purity", "shift"], options, level, "__e").withColumns({n: F.get("__e", F.lit(i)) for i, n in enumerate(names)}).drop("__e")
     tried = tried.withColumn("__chain", F.concat_ws("/", *(F.col(c).cast("string") for c in ("clone", "contig", "purity", "shift"))))
     levels = hmm.forward(tried, "__chain", ["bin"], names, trans, start)
     chains = tried.select("__chain", "clone", "purity", "shift").distinct()

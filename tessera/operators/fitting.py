@@ -7,14 +7,15 @@ for the first and a share and a concentration for the second.
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.likelihood import bb_log_pmf, nb_log_pmf, once_each
+from tessera.functions.likelihood import bb_log_pmf, nb_log_pmf
 from tessera.functions.special import bb_partials, nb_partials
 from tessera.operators import hmm
 from tessera.staging import stage
@@ -86,6 +87,31 @@ def observed_errors(objective, theta: np.ndarray, step: float = 1e-4, rcond: flo
     return np.linalg.pinv(-hessian, rcond=rcond, hermitian=True)
 
 
+def listed(rows: list[dict], fields: str) -> Column:
+    """A short list of settings as an array of structs in the plan."""
+    return F.from_json(F.lit(json.dumps(rows)), F.lit(f"array<struct<{fields}>>"))
+
+
+def state_values(df: DataFrame, columns: list[str], settings: Column, value: Column, name: str) -> DataFrame:
+    """``df`` with an array of one value for each setting, computed once for each distinct tuple of ``columns``.
+
+    ``settings`` is an array of structs that begin with ``k``; ``value`` refers
+    to it as ``s`` and is written out once, however many settings there are.
+    """
+    each = df.select(*columns).distinct().withColumn("s", F.explode(settings)).withColumn("v", value)
+    known = each.groupBy(*columns).agg(F.transform(F.array_sort(F.collect_list(F.struct("s.k", "v"))), lambda x: x["v"]).alias(name)).withColumnsRenamed({c: f"__{c}" for c in columns})
+    return df.join(known, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns]).drop(*(f"__{c}" for c in columns))
+
+
+DEPTH, SHARE = "k: int, log_mu: double, alpha: double", "k: int, p: double, tau: double"
+
+
+def _settings(params: Params, nb: bool) -> list[dict]:
+    if nb:
+        return [{"k": k, "log_mu": m, "alpha": a} for k, (m, a) in enumerate(zip(params.log_mu, params.alpha))]
+    return [{"k": k, "p": p, "tau": t} for k, (p, t) in enumerate(zip(params.p, params.tau))]
+
+
 def emissions(cells: DataFrame, params: Params, nb: bool = True, bb: bool = True, shift: str | None = None) -> DataFrame:
     """``cells`` with e0, e1 ...: each state's log-likelihood of each cell, computed once for each distinct tuple of counts.
 
@@ -93,17 +119,13 @@ def emissions(cells: DataFrame, params: Params, nb: bool = True, bb: bool = True
     allele reads nothing by their share.  ``shift`` is a column taken off the
     log-rate.
     """
-    out = cells
-    depth, share = ["umi", "base", *([shift] if shift else [])], ["a", "total"]
-    for on, columns, term in (
-        (nb, depth, lambda k: nb_log_pmf(F.col("umi"), F.col("base"), F.lit(params.log_mu[k]) - (F.col(shift) if shift else F.lit(0.0)), F.lit(params.alpha[k]))),
-        (bb, share, lambda k: F.when(F.col("total") > 0, bb_log_pmf(F.col("a"), F.col("total"), F.lit(params.p[k]), F.lit(params.tau[k]))).otherwise(0.0)),
-    ):
-        if on:
-            name = "__nb" if columns is depth else "__bb"
-            out = once_each(out, F.array(*(term(k) for k in range(params.states))), name, *columns)
-    part = lambda name, on, k: F.coalesce(F.get(name, F.lit(k)), F.lit(0.0)) if on else F.lit(0.0)
-    return out.withColumns({f"e{k}": part("__nb", nb, k) + part("__bb", bb, k) for k in range(params.states)}).drop("__nb", "__bb")
+    out, zero = cells, F.array(*(F.lit(0.0) for _ in range(params.states)))
+    rate = F.col("s.log_mu") - (F.col(shift) if shift else F.lit(0.0))
+    out = state_values(out, ["umi", "base", *([shift] if shift else [])], listed(_settings(params, True), DEPTH), nb_log_pmf(F.col("umi"), F.col("base"), rate, F.col("s.alpha")), "__nb") if nb else out.withColumn("__nb", zero)
+    share = F.when(F.col("total") > 0, bb_log_pmf(F.col("a"), F.col("total"), F.col("s.p"), F.col("s.tau"))).otherwise(0.0)
+    out = state_values(out, ["a", "total"], listed(_settings(params, False), SHARE), share, "__bb") if bb else out.withColumn("__bb", zero)
+    part = lambda name, k: F.coalesce(F.get(name, F.lit(k)), F.lit(0.0))
+    return out.withColumns({f"e{k}": part("__nb", k) + part("__bb", k) for k in range(params.states)}).drop("__nb", "__bb")
 
 
 def responsibilities(cells: DataFrame, params: Params, stay: float, group: str, order: list[str], nb: bool = True, bb: bool = True) -> tuple[DataFrame, float]:
@@ -117,39 +139,37 @@ def responsibilities(cells: DataFrame, params: Params, stay: float, group: str,
     return cells.join(post, [group, *order]), float(level or 0.0)
 
 
-def _best_of(codes: DataFrame, tries: list[Params], value) -> int:
-    """Which of some parameters has the greatest expected log-likelihood, all tried in one pass over the distinct counts."""
-    row = codes.agg(*(F.sum(value(p)).alias(f"v{i}") for i, p in enumerate(tries))).first()
-    got = [row[f"v{i}"] if row[f"v{i}"] is not None else float("-inf") for i in range(len(tries))]
-    return max(range(len(tries)), key=lambda i: (got[i], -i))
+STEPS = (0.0, 1.0, 0.3, 0.1, 0.03, 0.01, 0.003)
 
 
-STEPS = (0.0, 1.0, 0.3, 0.1, 0.03, 0.01, 0.003)
+def _term(nb: bool) -> Column:
+    if nb:
+        return nb_log_pmf(F.col("umi"), F.col("base"), F.col("s.log_mu"), F.col("s.alpha"))
+    return bb_log_pmf(F.col("a"), F.col("total"), F.col("s.p"), F.col("s.tau"))
+
+
+def _best_of(codes: DataFrame, tries: list[Params], nb: bool) -> int:
+    """Which of some parameters has the greatest expected log-likelihood, all tried in one pass over the distinct counts."""
+    rows = [{"t": t, **s} for t, p in enumerate(tries) for s in _settings(p, nb)]
+    each = codes.withColumn("s", F.explode(listed(rows, "t: int, " + (DEPTH if nb else SHARE))))
+    got = {r["t"]: r["v"] for r in each.groupBy("s.t").agg(F.sum(F.get("w", F.col("s.k")) * _term(nb)).alias("v")).collect()}
+    return max(range(len(tries)), key=lambda i: (got.get(i, float("-inf")), -i))
 
 
 def _climbed(codes: DataFrame, params: Params, nb: bool, free_dispersion: bool, share_dispersion: bool, rounds: int) -> Params:
     """Gradient steps of the expected log-likelihood; the best of several lengths, none included, is taken, so it never falls."""
     k = params.states
-    weight = lambda i: F.get("w", F.lit(i))
-
-    def value(p: Params):
+    for _ in range(rounds):
+        each = codes.withColumn("s", F.explode(listed(_settings(params, nb), DEPTH if nb else SHARE)))
+        weight = F.get("w", F.col("s.k"))
         if nb:
-            each = lambda i: nb_log_pmf(F.col("umi"), F.col("base"), F.lit(p.log_mu[i]), F.lit(p.alpha[i]))
+            part, scale = nb_partials(F.col("umi"), F.col("base"), F.col("s.log_mu"), F.col("s.alpha")), F.col("umi")
+            main_by, spread_by = part["log_mu"], part["log_alpha"]
         else:
-            each = lambda i: bb_log_pmf(F.col("a"), F.col("total"), F.lit(p.p[i]), F.lit(p.tau[i]))
-        return sum((weight(i) * each(i) for i in range(k)), F.lit(0.0))
-
-    for _ in range(rounds):
-        sums = []
-        for i in range(k):
-            if nb:
-                part = nb_partials(F.col("umi"), F.col("base"), F.lit(params.log_mu[i]), F.lit(params.alpha[i]))
-                sums += [F.sum(weight(i) * part["log_mu"]).alias(f"m{i}"), F.sum(weight(i) * part["log_alpha"]).alias(f"d{i}"), F.sum(weight(i) * F.col("umi")).alias(f"s{i}")]
-            else:
-                part = bb_partials(F.col("a"), F.col("total"), F.lit(params.p[i]), F.lit(params.tau[i]))
-                sums += [F.sum(weight(i) * part["logit_p"]).alias(f"m{i}"), F.sum(weight(i) * part["log_tau"]).alias(f"d{i}"), F.sum(weight(i) * F.col("total") / 4).alias(f"s{i}")]
-            sums.append(F.sum(weight(i)).alias(f"n{i}"))
-        g = codes.agg(*sums).first()
+            part, scale = bb_partials(F.col("a"), F.col("total"), F.col("s.p"), F.col("s.tau")), F.col("total") / 4
+            main_by, spread_by = part["logit_p"], part["log_tau"]
+        sums = {r["k"]: r for r in each.groupBy("s.k").agg(F.sum(weight * main_by).alias("m"), F.sum(weight * spread_by).alias("d"), F.sum(weight * scale).alias("s"), F.sum(weight).alias("n")).collect()}
+        g = {f"{c}{i}": (sums[i][c] if i in sums else 0.0) for i in range(k) for c in "mdsn"}
         # scaled by what the counts and the cells can say at most
         main = [(g[f"m{i}"] or 0.0) / max(1.0, g[f"s{i}"] or 0.0) for i in range(k)]
         spread = [(g[f"d{i}"] or 0.0) / max(1.0, g[f"n{i}"] or 0.0) for i in range(k)]
@@ -163,7 +183,7 @@ def _climbed(codes: DataFrame, params: Params, nb: bool, free_dispersion: bool,
             return replace(params, p=tuple(min(1 - 1e-6, max(1e-6, _expit(_logit(p) + t * clip(4 * d)))) for p, d in zip(params.p, main)), tau=tuple(min(1e6, max(0.1, x * math.exp(u * clip(8 * d)))) for x, d in zip(params.tau, spread)))
 
         tries = [moved(t, u) for t in STEPS for u in (STEPS if free_dispersion else (0.0,))]
-        best = _best_of(codes, tries, value)
+        best = _best_of(codes, tries, nb)
         if best == 0:
             break
         params = tries[best]

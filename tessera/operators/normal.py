@@ -11,10 +11,10 @@ from tessera.operators.summaries import balanced_group
 
 
 def spread_of_logs(cells: DataFrame, spots: DataFrame, bins: int, spot: str = "spot", count: str = "umi") -> DataFrame:
-    """(spot, spread): population standard deviation of log(1 + count) over all bins; bins that the table lacks count 0."""
+    """(spot, spread): population standard deviation of log(1 + count) over all bins, to nine digits, so that equal counts tie; bins that the table lacks count 0."""
     logs = cells.groupBy(spot).agg(F.sum(F.log1p(count)).alias("s"), F.sum(F.log1p(count) * F.log1p(count)).alias("s2"))
     mean = F.coalesce("s", F.lit(0.0)) / bins
-    return spots.select(spot).distinct().join(logs, spot, "left").select(spot, F.sqrt(F.greatest(F.lit(0.0), F.coalesce("s2", F.lit(0.0)) / bins - mean * mean)).alias("spread"))
+    return spots.select(spot).distinct().join(logs, spot, "left").select(spot, F.round(F.sqrt(F.greatest(F.lit(0.0), F.coalesce("s2", F.lit(0.0)) / bins - mean * mean)), 9).alias("spread"))
 
 
 def by_balance(profiles: DataFrame, labels: DataFrame, spreads: DataFrame, slack: float = 0.05, start: int = 40) -> DataFrame:

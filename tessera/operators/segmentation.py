@@ -20,7 +20,7 @@ def violations(labels: DataFrame, contig: str = "contig", order: str = "ord", la
     Dropped rows do not interrupt a segment, so places are counted among kept rows.
     """
     kept = labels.where(F.col(label).isNotNull()).withColumn("__at", F.row_number().over(Window.partitionBy(contig).orderBy(order)))
-    shape = kept.groupBy(label).agg(F.count_distinct(contig).alias("contigs"), F.count(F.lit(1)).alias("rows"), (F.max("__at") - F.min("__at") + 1).alias("span"))
+    shape = kept.groupBy(label).agg(F.count_distinct(contig).alias("contigs"), F.count(F.lit(1)).alias("rows"), (F.max("__at") - F.min("__at") + 1).cast("long").alias("span"))
     return shape.where("contigs > 1 OR span > rows")
 
 

@@ -194,7 +194,7 @@ def contig_runs(spark, sf_dir):
 
 
 @query("""
-WITH x AS (SELECT p_partkey % 3 AS chr, p_partkey * 50 AS s, p_partkey * 50 + 1 + p_size * 3 AS e, p_size // 20 AS state FROM part),
+WITH x AS (SELECT p_partkey % 3 AS chr, p_partkey * 50 AS s, p_partkey * 50 + 1 + p_size * 3 AS e, CAST(p_size // 20 AS BIGINT) AS state FROM part),
 m AS (SELECT *, CASE WHEN state IS NOT DISTINCT FROM lag(state) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM x WINDOW w AS (PARTITION BY chr ORDER BY s, e)),
 r AS (SELECT *, sum(new) OVER (PARTITION BY chr ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run FROM m),
 c AS (SELECT chr, state, min(s) AS s, max(e) AS e FROM r GROUP BY chr, run, state)

@@ -25,6 +25,50 @@ def wide(df: DataFrame, keys: list[str], clone: str, clones: list[int], values:
     return spread.select(*keys, *(F.col(f"`{name(c, v)}`").alias(f"clone{c} {v}") for c in clones for v in values))
 
 
+def segment_table(paths: DataFrame, states: DataFrame, clones: list[int], key: str = "bin") -> DataFrame:
+    """One row a bin: every clone's state with all that the state table (state, ...) says of it."""
+    values = [c for c in states.columns if c != "state"]
+    return wide(paths.join(F.broadcast(states), "state"), [key], "clone", clones, ["state", *values])
+
+
+def state_table(states: DataFrame, clones: list[int], values: list[str]) -> DataFrame:
+    """One row a state that every clone has: its parameters and copies in each."""
+    n = len(clones)
+    held = states.where(F.col("clone").isin(clones)).groupBy("state").agg(F.count_distinct("clone").alias("__n")).where(F.col("__n") == n).select("state")
+    return wide(states.join(held, "state"), ["state"], "clone", clones, values)
+
+
+def gene_table(genes: DataFrame, copies: DataFrame, clones: list[int], key: str = "bin") -> DataFrame:
+    """One row a gene that lies in a bin: every clone's copies there."""
+    placed = genes.where(F.col(key).isNotNull()).select("gene", key).distinct()
+    return wide(placed.join(copies, key), ["gene"], "clone", clones, ["A", "B"])
+
+
+def ledger_markdown(ledger: DataFrame, metrics: list[str]) -> str:
+    """The ledger's runs as a table in Markdown, one line each, ``—`` where a metric is missing; runs are some hundreds of lines."""
+    rows = ledger.groupBy("run_id", "fixture").pivot("metric", metrics).agg(F.max("value")).orderBy("run_id", "fixture").collect()
+    head = ["run_id", "fixture", *metrics]
+    text = lambda x: "—" if x is None else f"{x:.4g}" if isinstance(x, float) else str(x)
+    return "\n".join(["| " + " | ".join(head) + " |", "|" + "---|" * len(head), *("| " + " | ".join(text(r[c]) for c in head) + " |" for r in rows)])
+
+
+def append_run(run: DataFrame, metrics: DataFrame, path: str) -> None:
+    """Append a run and its metrics to the ledger under ``path``; a run id that is there, or a metric without a run, is refused."""
+    spark = run.sparkSession
+    try:
+        old = spark.read.parquet(f"{path}/runs").select("run_id")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        old = run.select("run_id").limit(0)
+    if not run.join(old, "run_id", "left_semi").isEmpty():
+        raise ValueError("the run is in the ledger")
+    if not metrics.join(run.select("run_id"), "run_id", "left_anti").isEmpty():
+        raise ValueError("a metric is of no run")
+    metrics.write.mode("append").parquet(f"{path}/metrics")
+    run.write.mode("append").parquet(f"{path}/runs")
+
+
 def long_profile(df: DataFrame, keys: list[str], clones: list[str]) -> DataFrame:
     """(keys, clone, a, b) from columns ``{clone}_A_copy`` and ``{clone}_B_copy``."""
     parts = F.array(*(F.struct(F.lit(c).alias("clone"), F.col(f"`{c}_A_copy`").cast("int").alias("a"), F.col(f"`{c}_B_copy`").cast("int").alias("b")) for c in clones))
