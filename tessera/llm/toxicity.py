@@ -95,21 +95,37 @@ class Model:
 
 def terms(text: str) -> set[str]:
     """The words of a text and, marked by ``*``, their beginnings."""
-    found = set(WORD.findall(text.lower()))
+    found = words_of(text)
     return found.union(*({f"{w[:n]}*" for w in found if len(w) > n} for n in BEGINNINGS))
 
 
+BEYOND_ASCII = re.compile(r"[^\x00-\x7f]+")
+
+
+def capitals(text: str) -> bool:
+    """Whether a text has more than 20 letters and over 60 % of them are capitals; ASCII is counted by bytes."""
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    upper = int(np.count_nonzero(data - np.uint8(65) < 26))
+    letters = upper + int(np.count_nonzero(data - np.uint8(97) < 26))
+    if len(data) > len(text):
+        rest = "".join(BEYOND_ASCII.findall(text))
+        letters, upper = letters + sum(map(str.isalpha, rest)), upper + sum(map(str.isupper, rest))
+    return letters > 20 and upper > 0.6 * letters
+
+
 def patterns(text: str) -> list[bool]:
-    letters = sum(map(str.isalpha, text))
-    return [bool(SHOUTING.search(text)), letters > 20 and sum(map(str.isupper, text)) > 0.6 * letters, bool(AT_SOMEONE.search(text)), bool(LINK.search(text))]
+    return [bool(SHOUTING.search(text)), capitals(text), bool(AT_SOMEONE.search(text)), bool(LINK.search(text))]
 
 
 N_PATTERNS = 4
 
 
-def entries_of(text: str, entries: dict[str, int]) -> list[int]:
-    """Numbers of the lexicon entries in a text."""
-    found = set(WORD.findall(text.lower()))
+def words_of(text: str) -> set[str]:
+    return set(WORD.findall(text.lower()))
+
+
+def entries_of(found: set[str], entries: dict[str, int]) -> list[int]:
+    """Numbers of the lexicon entries among the words of a text."""
     hits = [entries[w] for w in found & entries.keys()]
     for n in BEGINNINGS:
         hits += [entries[p] for p in {f"{w[:n]}*" for w in found if len(w) > n} & entries.keys()]
@@ -118,17 +134,17 @@ def entries_of(text: str, entries: dict[str, int]) -> list[int]:
 
 def features(text: str, entries: dict[str, int]) -> list[int]:
     """The classifier's features: entries, then patterns, then how many entries there are (up to 4)."""
-    hits, base = entries_of(text, entries), len(entries)
+    hits, base = entries_of(words_of(text), entries), len(entries)
     out = hits + [base + i for i, p in enumerate(patterns(text)) if p]
     return out + [base + N_PATTERNS + i for i in range(min(4, len(hits)))]
 
 
 def votes(text: str, entries: dict[str, int]) -> list[int]:
     """1 toxic, -1 clean, 0 no vote, for each voter."""
-    found = set(WORD.findall(text.lower()))
-    hits = entries_of(text, entries)
+    found = words_of(text)
+    hits = entries_of(found, entries)
     parts = Counter(i % PARTS for i in hits)
-    shouting, capitals, at_someone, link = patterns(text)
+    shouting, loud, at_someone, link = patterns(text)
     return [
         1 if found & SEED else -1,
         *(1 if parts[p] else -1 for p in range(PARTS)),
@@ -136,7 +152,7 @@ def votes(text: str, entries: dict[str, int]) -> list[int]:
         1 if shouting and found & SEED else 0,
         1 if at_someone and hits else 0,
         -1 if link and not hits else 0,
-        -1 if capitals and not hits else 0,
+        -1 if loud and not hits else 0,
     ]
 
 

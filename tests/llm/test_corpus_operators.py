@@ -71,6 +71,11 @@ def test_toxicity_label_model_ranks_voters():
 def test_toxicity_capitals_count_over_the_whole_text():
     assert toxicity.patterns("a" * 4000 + "B" * 8000)[1]
     assert not toxicity.patterns("A" * 4000 + "b" * 8000)[1]
+    rng = random.Random(8)
+    for _ in range(300):
+        text = "".join(rng.choice("aBcDÉéßΩω𝔘 1.") for _ in range(rng.randrange(60)))
+        letters = sum(map(str.isalpha, text))
+        assert toxicity.capitals(text) == (letters > 20 and sum(map(str.isupper, text)) > 0.6 * letters)
 
 
 def test_toxicity_odd_rows(spark, odd):
