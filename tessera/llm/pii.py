@@ -194,7 +194,8 @@ def sanitise(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
     row; an empty table gives an empty one.
     """
     kinds = dict(docs.select(*(F.col(f"`{k}`") for k in keep)).dtypes)
-    known = disclosing(docs, text, threshold, support)
+    # counted, and then read in lists
+    known = stage(disclosing(docs, text, threshold, support), "terms")
     found_type = "array<struct<s: int, e: int, full: boolean>>"
     rows = docs.select(*(F.col(f"`{k}`") for k in keep), F.col(f"`{text}`").alias("__text"), F.lit(None).cast(found_type).alias("__terms"))
     held = None
