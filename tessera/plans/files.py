@@ -23,9 +23,10 @@ def matrix_market_round_trip(spark, sf_dir):
     path = _folder(spark, "mtx")
     cells = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").cast("double").alias("v"))
     lines = cells.select(F.concat_ws(" ", (F.col("l_suppkey") + 1).cast("string"), (F.col("l_partkey") + 1).cast("string"), F.col("v").cast("string")).alias("value"))
-    head = spark.createDataFrame([("%%MatrixMarket matrix coordinate real general",), ("% entries from 1",), ("1000 1000 1",)], "value string")
+    head = spark.createDataFrame([(0, "%%MatrixMarket matrix coordinate real general"), (1, "% entries from 1"), (2, "1000 1000 1")], "at int, value string")
     # the form is one file, its sizes before its entries
-    head.coalesce(1).union(lines).coalesce(1).write.text(path)
+    whole = head.unionByName(lines.withColumn("at", F.lit(3)))
+    whole.repartition(1).sortWithinPartitions("at").select("value").write.text(path)
     return arrays.matrix_market(spark, path)
 
 

@@ -108,16 +108,52 @@ def viterbi(spark, sf_dir):
     return hmm.viterbi(_chain(spark, sf_dir), "user_id", ["ts", "event_id"], ["e0", "e1"], [[STAY, MOVE], [MOVE, STAY]], [HALF, HALF]).select("event_id", "state")
 
 
-@query()
+def _log_add(p, q):
+    return f"(greatest({p}, {q}) + ln(1 + exp(-abs(({p}) - ({q})))))"
+
+
+@query(f"""
+WITH RECURSIVE {CHAIN},
+f(user_id, rn, a0, a1) AS (
+  SELECT user_id, rn, {HALF!r} + e0, {HALF!r} + e1 FROM x WHERE rn = 1
+  UNION ALL
+  SELECT x.user_id, x.rn, {_log_add(f"a0 + {STAY!r}", f"a1 + {MOVE!r}")} + e0, {_log_add(f"a0 + {MOVE!r}", f"a1 + {STAY!r}")} + e1
+  FROM f JOIN x ON x.user_id = f.user_id AND x.rn = f.rn + 1),
+g(user_id, rn, b0, b1) AS (
+  SELECT user_id, max(rn), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM x GROUP BY user_id
+  UNION ALL
+  SELECT g.user_id, g.rn - 1, {_log_add(f"{STAY!r} + e0 + b0", f"{MOVE!r} + e1 + b1")}, {_log_add(f"{MOVE!r} + e0 + b0", f"{STAY!r} + e1 + b1")}
+  FROM g JOIN x ON x.user_id = g.user_id AND x.rn = g.rn WHERE g.rn > 1)
+SELECT event_id, CAST(CASE WHEN a0 + b0 >= a1 + b1 THEN 0 ELSE 1 END AS BIGINT) AS state, round(exp(a0 + b0 - {_log_add("a0 + b0", "a1 + b1")}), 6) AS p0
+FROM f JOIN g USING (user_id, rn) JOIN x USING (user_id, rn)
+""")
 def state_posteriors(spark, sf_dir):
     found = hmm.posteriors(_chain(spark, sf_dir), "user_id", ["ts", "event_id"], ["e0", "e1"], [[STAY, MOVE], [MOVE, STAY]], [HALF, HALF])
     return found.select("event_id", "state", F.round(F.get("posterior", F.lit(0)), 6).alias("p0"))
 
 
-@query()
+def _em_sql(rounds=10, states=3, alpha="0.1"):
+    """One row of parameters after each round, from the sums over distinct counts."""
+    each = range(states)
+    parts = [
+        "c AS MATERIALIZED (SELECT CAST(CAST(l_quantity AS BIGINT) AS DOUBLE) AS k, CAST(l_linenumber AS DOUBLE) AS b, CAST(count(*) AS DOUBLE) AS n FROM lineitem WHERE l_linenumber > 0 GROUP BY 1, 2)",
+        "p0 AS MATERIALIZED (SELECT " + ", ".join(f"ln(sum(n * k) / sum(n * b)) + {0.5 * (i - (states - 1) / 2)!r} AS m{i}, 1 / {float(states)!r} AS w{i}" for i in each) + " FROM c)",
+    ]
+    for r in range(1, rounds + 1):
+        parts.append(f"e{r} AS (SELECT k, b, n, " + ", ".join(f"ln(greatest(1e-300, w{i})) + {_nb_sql('k', 'b', f'm{i}', alpha)} AS l{i}" for i in each) + f" FROM c, p{r - 1})")
+        parts.append(f"h{r} AS (SELECT *, greatest({', '.join(f'l{i}' for i in each)}) AS top FROM e{r})")
+        parts.append(f"t{r} AS (SELECT *, top + ln({' + '.join(f'exp(l{i} - top)' for i in each)}) AS whole FROM h{r})")
+        parts.append(f"s{r} AS (SELECT " + ", ".join(f"sum({by} * n * exp(l{i} - whole)) AS {name}{i}" for i in each for name, by in (("n", "1"), ("k", "k"), ("b", "b"))) + f" FROM t{r})")
+        total = " + ".join(f"n{i}" for i in each)
+        parts.append(f"p{r} AS MATERIALIZED (SELECT " + ", ".join(f"ln(greatest(1e-9, k{i}) / greatest(1e-9, b{i})) AS m{i}, n{i} / ({total}) AS w{i}" for i in each) + f" FROM s{r})")
+    out = " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS state, round(w{i}, 5) AS weight, round(m{i}, 5) AS log_mu FROM p{rounds}" for i in each)
+    return f"WITH {', '.join(parts)} {out}"
+
+
+@query(_em_sql())
 def em_fit(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("long").alias("k"), F.col("l_linenumber").alias("b"))
-    return hmm.count_mixture(items, "k", "b", 3, 0.1)
+    return hmm.count_mixture(items, "k", "b", 3, 0.1).withColumns({"weight": F.round("weight", 5), "log_mu": F.round("log_mu", 5)})
 
 
 @query()

@@ -217,10 +217,23 @@ def label_components(spark, sf_dir):
     return components(edges)
 
 
-@query()
+def _logistic_sql(rounds=12):
+    """Newton's steps unrolled, each from five sums over the distinct values."""
+    parts = [
+        "c AS MATERIALIZED (SELECT l_quantity / 10 AS x, CASE WHEN l_quantity + l_orderkey % 30 > 40 THEN 1.0 ELSE 0.0 END AS y, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY 1, 2)",
+        "p0 AS MATERIALIZED (SELECT CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b)",
+    ]
+    for r in range(1, rounds + 1):
+        parts.append(f"q{r} AS (SELECT *, 1 / (1 + exp(-(a + b * x))) AS p FROM c, p{r - 1})")
+        parts.append(f"s{r} AS (SELECT sum(n * p * (1 - p)) AS w, sum(n * p * (1 - p) * x) AS wx, sum(n * p * (1 - p) * x * x) AS wxx, sum(n * (y - p)) AS r, sum(n * (y - p) * x) AS rx FROM q{r})")
+        parts.append(f"p{r} AS MATERIALIZED (SELECT a + (wxx * r - wx * rx) / (w * wxx - wx * wx) AS a, b + (w * rx - wx * r) / (w * wxx - wx * wx) AS b FROM s{r}, p{r - 1})")
+    return f"WITH {', '.join(parts)} SELECT round(a, 6) AS intercept, round(b, 6) AS slope, round(-a / b, 6) AS half FROM p{rounds}"
+
+
+@query(_logistic_sql())
 def logistic_half_point(spark, sf_dir):
     """Intercept, slope and half point of a rate against a scale."""
     items = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / 10).alias("x"), F.when((F.col("l_quantity") + F.col("l_orderkey") % 30) > 40, 1).otherwise(0).alias("y"))
     found = summaries.logistic_fit(items, "x", "y")
     a, b = found or (float("nan"), float("nan"))
-    return spark.range(1).select(F.lit(a).alias("intercept"), F.lit(b).alias("slope"), F.lit(-a / b if b else None).cast("double").alias("half"))
+    return spark.range(1).select(F.round(F.lit(a), 6).alias("intercept"), F.round(F.lit(b), 6).alias("slope"), F.round(F.lit(-a / b if b else None).cast("double"), 6).alias("half"))
