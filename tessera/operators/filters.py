@@ -53,12 +53,14 @@ def is_numeric(text: Column) -> Column:
     return text.try_cast("double").isNotNull()
 
 
-def admissible(states: Column) -> Column:
-    """Whether copy states (a, b) along a lineage's pieces are possible: a lost haplotype stays lost, and something changes."""
-    pairs = F.zip_with(F.slice(states, F.lit(1), F.size(states) - 1), F.slice(states, F.lit(2), F.size(states) - 1), lambda s, t: F.struct(s.alias("s"), t.alias("t")))
-    kept = F.forall(pairs, lambda p: ~((p["s"]["a"] == 0) & (p["t"]["a"] > 0)) & ~((p["s"]["b"] == 0) & (p["t"]["b"] > 0)))
-    changes = F.exists(pairs, lambda p: (p["s"]["a"] != p["t"]["a"]) | (p["s"]["b"] != p["t"]["b"]))
-    return F.when(F.size(states) > 1, kept & changes).otherwise(F.lit(False))
+def admissible(state: Column, pieces: Column) -> Column:
+    """Whether an event may set the copies ``state`` (a, b) over the lineage's ``pieces``, an array of such states.
+
+    A haplotype that any piece has lost stays lost, and at least one piece
+    changes; over no pieces nothing does.
+    """
+    kept = F.forall(pieces, lambda p: ((p["a"] > 0) | (state["a"] == 0)) & ((p["b"] > 0) | (state["b"] == 0)))
+    return kept & F.exists(pieces, lambda p: (p["a"] != state["a"]) | (p["b"] != state["b"]))
 
 
 def masked(df: DataFrame, mask: str, reads: str = "reads", error: str = "error", most_error: float = 0.1, top: float = 0.5) -> DataFrame:

@@ -69,10 +69,15 @@ def outside(points: DataFrame, ranges: DataFrame, contig: str, at: str, start: s
 
 
 def most_overlap(items: DataFrame, ranges: DataFrame, key: str, contig: str, first: str, last: str, start: str, end: str, ident: str, width: int) -> DataFrame:
-    """(key, ident, overlap): the range that overlaps each item most, ties to the smaller id; none where nothing overlaps."""
-    pairs = overlap_join(items, ranges, contig, first, last, start, end, width)
+    """(key, ident, overlap): the range that overlaps each item most, ties to the smaller id; items that overlap none are left out.
+
+    Items keep their rows, whether or not their keys repeat: places are looked up once each.
+    """
+    place = [contig, first, last]
+    pairs = overlap_join(items.select(*place).distinct(), ranges, contig, first, last, start, end, width)
     shared = (F.least(F.col(last), F.col(end)) - F.greatest(F.col(first), F.col(start))).alias("overlap")
-    return pairs.select(key, ident, shared).groupBy(key).agg(F.max_by(ident, F.struct(F.col("overlap"), -F.col(ident))).alias(ident), F.max("overlap").alias("overlap"))
+    best = pairs.select(*place, ident, shared).groupBy(*place).agg(F.max_by(ident, F.struct(F.col("overlap"), -F.col(ident))).alias(ident), F.max("overlap").alias("overlap"))
+    return items.join(best, place).select(key, ident, "overlap")
 
 
 def merged(ranges: DataFrame, contig: str, start: str, end: str) -> DataFrame:

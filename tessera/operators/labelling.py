@@ -49,12 +49,16 @@ def folded(field: DataFrame, prior: DataFrame | None = None, allowed: DataFrame
 
 
 def finite(field: DataFrame, edges: DataFrame, weight: float) -> DataFrame:
-    """``field`` with a finite penalty for -infinity that no gain can pay: the span of all values and all edges together."""
+    """``field`` with a finite penalty for -infinity that no gain can pay: each spot's least value less the weight of its own edges, less 1.
+
+    Edges that run one way count half at either end.  A spot without any
+    finite value has no labelling: the row fails when it is read.
+    """
     fine = F.col("value") > float("-inf")
-    reach = edges.agg(F.coalesce(F.sum(F.abs("w")), F.lit(0.0)).alias("w"))
-    span = field.where(fine).groupBy("spot").agg((F.max("value") - F.min("value")).alias("s"), F.min("value").alias("low")).agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"), F.coalesce(F.min("low"), F.lit(0.0)).alias("low"))
-    price = span.join(reach, how="cross").select((F.col("low") - F.col("s") - weight * F.col("w") - 1).alias("__price"))  # one row
-    return field.join(F.broadcast(price), how="cross").withColumn("value", F.when(fine, F.col("value")).otherwise(F.col("__price"))).drop("__price")
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("spot"), (F.abs("w") / 2).alias("w")).groupBy("spot").agg(F.sum("w").alias("__reach"))
+    least = field.groupBy("spot").agg(F.min(F.when(fine, F.col("value"))).alias("__least"))
+    price = least.join(ends, "spot", "left").select("spot", (F.coalesce("__least", F.raise_error(F.concat(F.lit("every label is forbidden at spot "), F.col("spot").cast("string"))).cast("double")) - weight * F.coalesce("__reach", F.lit(0.0)) - 1).alias("__price"))
+    return field.join(price, "spot").withColumn("value", F.when(fine, F.col("value")).otherwise(F.col("__price"))).select(*field.columns)
 
 
 def floor_labels(field: DataFrame, labels: DataFrame, floor: int, most_rounds: int = 100) -> DataFrame:
@@ -230,14 +234,12 @@ def aligned_spots(weights: DataFrame, significance: float) -> DataFrame:
 
 
 def lattice_kind(spots: DataFrame) -> DataFrame:
-    """One row (kind): ``triangular`` where spots have neighbours one row and one column off, ``square`` where beside them, else ``none``."""
-    held = spots.select("x", "y").distinct()
-
-    def neighbours(dx: int, dy: int) -> Column:
-        met = held.join(held.select((F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y")), ["x", "y"], "left_semi")
-        return met.agg((F.count(F.lit(1)) > 0).alias("found")).scalar()
-
-    return spots.sparkSession.range(1).select(F.when(neighbours(1, 0) & neighbours(0, 1), "square").when(neighbours(1, 1) & neighbours(1, -1), "triangular").otherwise("none").alias("kind"))
+    """(slice, kind): ``square`` where any spot of a slice has one beside it along an axis, else ``triangular`` where any has one diagonally or two columns off, else ``none``."""
+    held = spots.select("slice", "x", "y").distinct()
+    steps = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(axis).alias("axis")) for dx, dy, axis in ((1, 0, True), (0, 1, True), (1, 1, False), (-1, 1, False), (2, 0, False))))
+    asked = held.select("slice", "x", "y", F.explode(steps).alias("s")).select("slice", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"), "s.axis")
+    met = asked.join(held, ["slice", "x", "y"]).groupBy("slice").agg(F.bool_or("axis").alias("axis"))
+    return held.select("slice").distinct().join(met, "slice", "left").select("slice", F.when(F.col("axis"), "square").when(~F.col("axis"), "triangular").otherwise("none").alias("kind"))
 
 
 def edge_faults(edges: DataFrame, degree: int | None = None, reciprocity: float = 0.6) -> DataFrame:
@@ -254,6 +256,24 @@ def edge_faults(edges: DataFrame, degree: int | None = None, reciprocity: float
     return out.where("n > 0")
 
 
+def lattice_faults(edges: DataFrame, degree: int | None = None, tolerance: float = 1e-9) -> DataFrame:
+    """(fault, n): what keeps an edge table from being a lattice's: loops, repeats, edges without an equal one back, and weights that are not the boundary's.
+
+    Inner spots have ``degree`` neighbours (the most that any has, if not
+    given); an edge weighs the mean of degree / d over its ends' own degrees d.
+    """
+    loops = edges.where("src = dst").agg(F.count(F.lit(1)).alias("n")).select(F.lit("loops").alias("fault"), "n")
+    repeats = edges.groupBy("src", "dst").count().where("count > 1").agg(F.count(F.lit(1)).alias("n")).select(F.lit("repeats").alias("fault"), "n")
+    back = edges.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("w").alias("__back"))
+    one_way = edges.join(back, ["src", "dst"], "left").where("__back IS NULL OR __back <> w").select("src", "dst").distinct().agg(F.count(F.lit(1)).alias("n")).select(F.lit("one way").alias("fault"), "n")
+    degrees = edges.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
+    most = degrees.agg((F.max("d") if degree is None else F.lit(degree)).alias("z"))  # one row
+    side = lambda c: degrees.select(F.col("src").alias(c), F.col("d").alias(f"d_{c}"))
+    due = (F.col("z") / F.col("d_src") + F.col("z") / F.coalesce("d_dst", F.lit(1))) / 2
+    wrong = edges.join(side("src"), "src").join(side("dst"), "dst", "left").join(F.broadcast(most), how="cross").where(F.abs(F.col("w") - due) > tolerance)
+    return loops.unionByName(repeats).unionByName(one_way).unionByName(wrong.agg(F.count(F.lit(1)).alias("n")).select(F.lit("weights").alias("fault"), "n")).where("n > 0")
+
+
 def cluster_costs(field: DataFrame, edges: DataFrame, cluster: DataFrame, labels: DataFrame) -> DataFrame:
     """(label, node, edge): for each label, the cluster's field and the weight of its edges to spots with it; edges inside add half to every label."""
     inside = cluster.select("spot").distinct()

@@ -21,25 +21,24 @@ def by_balance(profiles: DataFrame, labels: DataFrame, spreads: DataFrame, slack
     """(spot): spots of the most balanced clone whose spread is below the last percentile of a rising series.
 
     ``profiles`` is (clone, bin, baf).  Percentiles rise by tens from ``start``
-    to 100; the first that is over 1.5 times the one before ends the series.
+    to 100.  A jump is meant to end the series, but it is sought against a
+    threshold that starts, and stays, without bound, so the last step is always
+    the one taken; ``start`` beyond it takes no part.
     """
     clone = balanced_group(profiles, "clone", "baf", slack).select("clone")  # one row
     own = labels.join(F.broadcast(clone), "clone", "left_semi").join(spreads, "spot")
-    steps = list(range(start, 101, 10))
-    cuts = own.agg(F.percentile("spread", F.array(*(F.lit(p / 100) for p in steps))).alias("q")).first()["q"]  # a handful of numbers
-    if cuts is None:
-        return own.select("spot")
-    # the series as it stands never compares with a finite predecessor, so it ends at its last step
-    return own.where(F.col("spread") < cuts[-1]).select("spot")
+    last = max(range(start, 101, 10)) / 100
+    cut = own.agg(F.percentile("spread", F.lit(last)).alias("__cut"))  # one row
+    return own.join(F.broadcast(cut), F.col("spread") < F.col("__cut")).select("spot")
 
 
 def by_proportion(proportions: DataFrame, totals: DataFrame, needed: float) -> DataFrame:
-    """(spot): spots whose tumour proportion is below the least of 0.05, 0.1 ... 0.55 at which they hold more than ``needed`` reads; none otherwise."""
+    """(spot): spots whose tumour proportion is below the least of 0.05, 0.1 ... 0.55 at which they hold more than ``needed`` reads, and below 0.55 where they never do."""
     steps = [round(0.05 * i, 2) for i in range(1, 12)]
     met = proportions.join(totals, "spot")
     sums = met.agg(*(F.sum(F.when(F.col("proportion") < s, F.col("total"))).alias(f"s{i}") for i, s in enumerate(steps))).first()
-    cut = next((s for i, s in enumerate(steps) if (sums[f"s{i}"] or 0) > needed), None)
-    return met.where(F.lit(False) if cut is None else F.col("proportion") < cut).select("spot")
+    cut = next((s for i, s in enumerate(steps) if (sums[f"s{i}"] or 0) > needed), steps[-1])
+    return met.where(F.col("proportion") < cut).select("spot")
 
 
 def differential_genes(counts: DataFrame, groups: DataFrame, change: float, quantile: float) -> DataFrame:

@@ -25,10 +25,14 @@ p AS (SELECT o_orderkey AS point, o_orderkey % 3 AS chr, CAST(epoch(o_orderdate)
 """
 
 
-def _windows(spark, sf_dir):
+#: Points that come up to 3,000 days after their orders, so that many lie in no window.
+LATER = "q AS (SELECT o_orderkey AS point, o_orderkey % 3 AS chr, CAST(epoch(o_orderdate) AS BIGINT) // 86400 + o_custkey % 1000 * 3 AS day FROM orders)"
+
+
+def _windows(spark, sf_dir, later=False):
     orders = table(spark, sf_dir, "orders")
     w = orders.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 3).alias("chr"), _days("o_orderdate").alias("s"), (_days("o_orderdate") + 1 + F.col("o_custkey") % 20).alias("e"))
-    return orders.select(F.col("o_orderkey").alias("point"), (F.col("o_orderkey") % 3).alias("chr"), _days("o_orderdate").alias("day")), w
+    return orders.select(F.col("o_orderkey").alias("point"), (F.col("o_orderkey") % 3).alias("chr"), (_days("o_orderdate") + (F.col("o_custkey") % 1000 * 3 if later else 0)).alias("day")), w
 
 
 @query(f"""
@@ -41,20 +45,20 @@ def point_in_interval(spark, sf_dir):
 
 
 @query(f"""
-WITH {WINDOWS}
-SELECT point, chr, day FROM p WHERE NOT EXISTS (SELECT 1 FROM w WHERE p.chr = w.chr AND day >= s AND day < e)
+WITH {WINDOWS}, {LATER}
+SELECT point, chr, day FROM q p WHERE NOT EXISTS (SELECT 1 FROM w WHERE p.chr = w.chr AND day >= s AND day < e)
 """)
 def range_anti(spark, sf_dir):
-    points, ranges = _windows(spark, sf_dir)
+    points, ranges = _windows(spark, sf_dir, later=True)
     return intervals.outside(points, ranges, "chr", "day", "s", "e").select("point", "chr", "day")
 
 
 @query(f"""
-WITH {WINDOWS}
-SELECT point, coalesce(max_by(id, id), -1) AS id FROM p LEFT JOIN w ON p.chr = w.chr AND day >= s AND day < e GROUP BY point
+WITH {WINDOWS}, {LATER}
+SELECT point, coalesce(max_by(id, id), -1) AS id FROM q p LEFT JOIN w ON p.chr = w.chr AND day >= s AND day < e GROUP BY point
 """)
 def last_event_wins(spark, sf_dir):
-    points, ranges = _windows(spark, sf_dir)
+    points, ranges = _windows(spark, sf_dir, later=True)
     return intervals.last_event(points, ranges.withColumn("ord", F.col("id")), "point", "chr", "day", "s", "e", "ord", "id", -1)
 
 
@@ -67,10 +71,10 @@ def _lines(spark, sf_dir):
 
 
 @query(f"""
-WITH {LINES},
+WITH {LINES}, m AS MATERIALIZED (SELECT *, row_number() OVER () AS rid FROM l),
 t AS (SELECT i AS tile, i * 30 AS ts, i * 30 + 30 AS te FROM range(0, 1000) r(i)),
-o AS (SELECT item, tile, least(e, te) - greatest(s, ts) AS overlap FROM l JOIN t ON s < te AND ts < e)
-SELECT item, tile, overlap FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY overlap DESC, tile) AS nth FROM o) WHERE nth = 1
+o AS (SELECT rid, item, tile, least(e, te) - greatest(s, ts) AS overlap FROM m JOIN t ON s < te AND ts < e)
+SELECT item, tile, overlap FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY overlap DESC, tile) AS nth FROM o) WHERE nth = 1
 """)
 def max_overlap_join(spark, sf_dir):
     tiles = spark.range(1000).select(F.col("id").alias("tile"), (F.col("id") * 30).alias("ts"), (F.col("id") * 30 + 30).alias("te"), F.lit(0).alias("chr"))

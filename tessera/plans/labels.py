@@ -80,9 +80,23 @@ def slices_graph(spark, sf_dir):
     return labelling.slices_graph(spots, offsets=[(0, 1), (0, -1), (1, 0), (-1, 0)], across=across).withColumn("w", F.round("w", 6))
 
 
-@query("SELECT 'square' AS kind")
+@query("""
+WITH p AS (SELECT slice, s * dx AS x, t AS y FROM (
+  SELECT c_nationkey % 3 AS slice, c_custkey % 37 AS s, c_custkey // 37 AS t, CASE WHEN c_nationkey % 3 = 1 THEN 5 ELSE 1 END AS dx, c_nationkey % 3 AS r FROM customer) WHERE r < 2
+  UNION SELECT 2, 2 * (c_custkey % 37) + c_custkey // 37 % 2, c_custkey // 37 FROM customer WHERE c_nationkey % 3 = 2
+  UNION SELECT 3, 5 * (c_custkey % 37), 5 * (c_custkey // 37) FROM customer),
+a AS (SELECT DISTINCT p.slice FROM p JOIN p q ON q.slice = p.slice AND (q.x = p.x + 1 AND q.y = p.y OR q.x = p.x AND q.y = p.y + 1)),
+d AS (SELECT DISTINCT p.slice FROM p JOIN p q ON q.slice = p.slice AND (q.x = p.x + 1 AND q.y = p.y + 1 OR q.x = p.x - 1 AND q.y = p.y + 1 OR q.x = p.x + 2 AND q.y = p.y))
+SELECT DISTINCT slice, CASE WHEN slice IN (FROM a) THEN 'square' WHEN slice IN (FROM d) THEN 'triangular' ELSE 'none' END AS kind FROM p
+""")
 def lattice_kind(spark, sf_dir):
-    return labelling.lattice_kind(_spots(spark, sf_dir))
+    """Four slices of customers on unlike lattices: unit steps, wide steps along x, offset rows, and spots too far apart."""
+    key, nation = F.col("c_custkey"), F.col("c_nationkey") % 3
+    spots = table(spark, sf_dir, "customer").select(nation.alias("slice"), (key % 37).alias("s"), F.call_function("div", key, F.lit(37)).alias("t"))
+    plain = spots.where("slice < 2").select("slice", (F.col("s") * F.when(F.col("slice") == 1, 5).otherwise(1)).alias("x"), F.col("t").alias("y"))
+    offset = spots.where("slice = 2").select("slice", (2 * F.col("s") + F.col("t") % 2).alias("x"), F.col("t").alias("y"))
+    sparse = spots.select(F.lit(3).alias("slice"), (5 * F.col("s")).alias("x"), (5 * F.col("t")).alias("y"))
+    return labelling.lattice_kind(plain.union(offset).union(sparse))
 
 
 @query("""
@@ -97,6 +111,24 @@ def edge_faults(spark, sf_dir):
     return labelling.edge_faults(edges, degree=30)
 
 
+@query(f"""
+WITH {SPOTS}, o(dx, dy) AS (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)),
+e AS (SELECT a.spot AS src, b.spot AS dst, CASE WHEN a.spot % 50 = 0 THEN 3.0 ELSE 1.0 END AS w FROM p a JOIN o ON true JOIN p b ON b.slice = a.slice AND b.x = a.x + dx AND b.y = a.y + dy WHERE a.spot % 31 <> 0 OR dx >= 0),
+d AS (SELECT src, count(*) AS d FROM e GROUP BY src), z AS (SELECT max(d) AS z FROM d)
+SELECT * FROM (
+  SELECT 'one way' AS fault, count(*) AS n FROM e LEFT JOIN (SELECT dst AS src, src AS dst, w AS back FROM e) USING (src, dst) WHERE back IS NULL OR back <> w
+  UNION ALL SELECT 'weights', count(*) FROM e JOIN d s ON s.src = e.src LEFT JOIN d t ON t.src = e.dst, z WHERE abs(w - (z / CAST(s.d AS DOUBLE) + z / CAST(coalesce(t.d, 1) AS DOUBLE)) / 2) > 1e-9) WHERE n > 0
+""")
+def lattice_faults(spark, sf_dir):
+    """A lattice with some edges left out and some of another weight."""
+    spots = _spots(spark, sf_dir)
+    steps = F.array(*(F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in ((0, 1), (0, -1), (1, 0), (-1, 0))))
+    asked = spots.select(F.col("spot").alias("src"), "slice", "x", "y", F.explode(steps).alias("s")).where("src % 31 <> 0 OR s.dx >= 0")
+    asked = asked.select("src", "slice", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"))
+    edges = asked.join(spots.select(F.col("spot").alias("dst"), "slice", "x", "y"), ["slice", "x", "y"])
+    return labelling.lattice_faults(edges.select("src", "dst", F.when(F.col("src") % 50 == 0, 3.0).otherwise(1.0).alias("w")))
+
+
 @query("SELECT src, dst, w FROM (SELECT o_custkey AS src, o_orderkey AS dst, o_totalprice AS w, max(o_totalprice) OVER (PARTITION BY o_custkey) AS m FROM orders) WHERE w > 0 AND w >= 0.8 * m")
 def aligned_spots(spark, sf_dir):
     weights = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"), F.col("o_totalprice").alias("w"))
@@ -172,25 +204,32 @@ def mergeable_clones(spark, sf_dir):
 
 
 @query("""
-SELECT p_partkey, NOT (a1 = 0 AND a2 > 0) AND NOT (b1 = 0 AND b2 > 0) AND (a1 <> a2 OR b1 <> b2) AS admissible
-FROM (SELECT p_partkey, p_size % 3 AS a1, p_size % 2 AS b1, p_partkey % 3 AS a2, p_partkey % 2 AS b2 FROM part)
+WITH s AS (SELECT l_orderkey, max(CAST(l_quantity AS BIGINT)) % 3 AS a, max(CAST(l_quantity AS BIGINT)) % 4 % 3 AS b FROM lineitem GROUP BY 1),
+p AS (SELECT l_orderkey, l_partkey % 3 AS pa, l_partkey % 5 % 3 AS pb FROM lineitem)
+SELECT l_orderkey, bool_and((pa > 0 OR a = 0) AND (pb > 0 OR b = 0)) AND bool_or(a <> pa OR b <> pb) AS admissible FROM s JOIN p USING (l_orderkey) GROUP BY 1
 """)
 def admissible_states(spark, sf_dir):
+    """Each order's state over the pieces that its lines are."""
     pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
-    size, key = F.col("p_size"), F.col("p_partkey")
-    states = F.array(pair((size % 3).cast("long"), (size % 2).cast("long")), pair(key % 3, key % 2))
-    return table(spark, sf_dir, "part").select("p_partkey", filters.admissible(states).alias("admissible"))
+    size, key = F.max(F.col("l_quantity").cast("long")), F.col("l_partkey")
+    orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(pair(size % 3, size % 4 % 3).alias("state"), F.collect_set(pair(key % 3, key % 5 % 3)).alias("pieces"))
+    return orders.select("l_orderkey", filters.admissible(F.col("state"), F.col("pieces")).alias("admissible"))
 
 
-@query("SELECT a, b, (a + b) / 2.0 AS depth, b / CAST(a + b AS DOUBLE) AS share FROM range(6) r(a), range(6) q(b) WHERE a + b BETWEEN 1 AND 6 AND a >= b")
+@query("""
+SELECT p_partkey, a, b, (a + b) / 2.0 AS depth, b / CAST(a + b AS DOUBLE) AS share
+FROM part JOIN (SELECT a, b FROM range(6) r(a), range(6) q(b) WHERE a + b BETWEEN 1 AND 6 AND a >= b) ON a + b = p_size % 7
+""")
 def unphased_lattice(spark, sf_dir):
+    """The pairs that each part's total of copies allows."""
     pairs = copies.lattice(spark, 6, 5, phased=False).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     depth, share = copies.depth_and_share(F.col("a"), F.col("b"))
-    return pairs.select("a", "b", depth.alias("depth"), share.alias("share"))
+    met = table(spark, sf_dir, "part").join(F.broadcast(pairs), F.col("p_size") % 7 == F.col("a") + F.col("b"))  # some twenty pairs
+    return met.select("p_partkey", "a", "b", depth.alias("depth"), share.alias("share"))
 
 
 @query("""
-WITH s AS (SELECT i AS state, 0.1 * i AS mu, 0.2 + 0.05 * i AS p, i % 3 AS a, i % 2 + 1 AS b FROM range(6) r(i)),
+WITH s AS (SELECT i AS state, CAST(0.1 AS DOUBLE) * i AS mu, CAST(0.2 AS DOUBLE) + CAST(0.05 AS DOUBLE) * i AS p, i % 3 AS a, i % 2 + 1 AS b FROM range(6) r(i)),
 b AS (SELECT p_partkey % 4 AS clone, p_partkey // 4 AS bin, (p_partkey * 7 + p_size) % 6 AS state FROM part)
 SELECT bin, max(CASE WHEN clone = 0 THEN a END) AS clone0_a, max(CASE WHEN clone = 0 THEN b.state END) AS clone0_state, max(CASE WHEN clone = 3 THEN s.b END) AS clone3_b, round(max(CASE WHEN clone = 1 THEN p END), 6) AS clone1_p
 FROM b JOIN s USING (state) GROUP BY bin

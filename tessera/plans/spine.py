@@ -304,7 +304,7 @@ def unbalanced_bins(spark, sf_dir):
 @query("""
 WITH p AS (SELECT s_suppkey AS spot, (s_suppkey % 20) / 20.0 AS proportion FROM supplier), q AS (SELECT l_suppkey AS spot, sum(CAST(l_quantity AS BIGINT)) AS total FROM lineitem GROUP BY 1),
 m AS (SELECT * FROM p JOIN q USING (spot)), s AS (SELECT i, sum(total) AS s FROM m, range(1, 12) r(i) WHERE proportion < round(0.05 * i, 2) GROUP BY i),
-c AS (SELECT min(i) AS i FROM s WHERE s > (SELECT sum(total) * 0.2 FROM q))
+c AS (SELECT coalesce(min(i), 11) AS i FROM s WHERE s > (SELECT sum(total) * 0.2 FROM q))
 SELECT spot FROM m, c WHERE proportion < round(0.05 * i, 2)
 """)
 def normal_by_proportion(spark, sf_dir):

@@ -168,13 +168,15 @@ def altered_share(spark, sf_dir):
 
 
 @query("""
-SELECT a, b, p AS purity, round(p * (a + b) / 2 + 1 - p, 9) AS depth, round((p * a + 1 - p) / (p * (a + b) + 2 * (1 - p)), 9) AS share
-FROM range(5) x(a), range(5) y(b), (VALUES (CAST(0.25 AS DOUBLE)), (CAST(0.75 AS DOUBLE))) z(p) WHERE a + b BETWEEN 1 AND 6
+SELECT s_suppkey, a, b, round(p * (a + b) / 2 + 1 - p, 9) AS depth, round((p * a + 1 - p) / (p * (a + b) + 2 * (1 - p)), 9) AS share
+FROM range(5) x(a), range(5) y(b), (SELECT s_suppkey, (s_suppkey % 20 + 1) / CAST(20 AS DOUBLE) AS p FROM supplier) WHERE a + b BETWEEN 1 AND 6
 """)
 def copy_lattice(spark, sf_dir):
-    pairs = copies.lattice(spark, 6, 4).withColumn("purity", F.explode(F.array(F.lit(0.25), F.lit(0.75))))
+    """Depth and share of every pair at each supplier's purity."""
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", ((F.col("s_suppkey") % 20 + 1) / 20.0).alias("purity"))
+    pairs = suppliers.join(F.broadcast(copies.lattice(spark, 6, 4)), how="cross")  # some twenty pairs
     a, b, p = F.col("a").cast("long"), F.col("b").cast("long"), F.col("purity")
-    return pairs.select(a.alias("a"), b.alias("b"), "purity", F.round(admixed_depth(a, b, p), 9).alias("depth"), F.round(admixed_share(a, b, p), 9).alias("share"))
+    return pairs.select("s_suppkey", a.alias("a"), b.alias("b"), F.round(admixed_depth(a, b, p), 9).alias("depth"), F.round(admixed_share(a, b, p), 9).alias("share"))
 
 
 @query("""

@@ -14,18 +14,34 @@ from tessera.sources.tables import barcodes
 
 
 def matrix_market(spark: SparkSession, path: str) -> DataFrame:
-    """(row, col, value) of a coordinate Matrix Market file, from 0; comments and the line of sizes are passed over."""
-    lines = spark.read.text(path).select("value", F.input_file_block_start().alias("block"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
-    head = spark.read.text(path).limit(1000).collect()
-    sizes = next((i for i, r in enumerate(head) if r["value"].strip() and not r["value"].startswith("%")), None)
-    if sizes is None:
-        raise ValueError(f"{path} has no line of sizes")
-    entries = lines.where(~F.col("value").startswith("%") & (F.trim("value") != "") & ~((F.col("block") == 0) & (F.col("at") == sizes)))
+    """(row, col, value) of coordinate Matrix Market files, from 0; comments and each file's line of sizes are passed over."""
+    lines, first = _market_lines(spark, path)
+    entries = lines.join(F.broadcast(first.select("file", "at")), ["file", "at"], "left_anti")
     parts = F.split(F.trim("value"), r"\s+")
     number = lambda i: F.get(parts, F.lit(i))
     return entries.select((number(0).cast("long") - 1).alias("row"), (number(1).cast("long") - 1).alias("col"), F.coalesce(number(2).try_cast("double"), F.lit(1.0)).alias("value"))
 
 
+def _market_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """((file, at, value), (file, at, value)): lines that are no comments, and the first such line of each file, which has its sizes."""
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.struct(F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("id")).alias("at"), "value")
+    lines = lines.where(~F.col("value").startswith("%") & (F.trim("value") != ""))
+    # ids rise along a block, whatever else its partition holds, so the least of a file is its first line
+    return lines, lines.groupBy("file").agg(F.min(F.struct("at", "value")).alias("f")).select("file", "f.at", "f.value")
+
+
+def matrix_market_faults(spark: SparkSession, path: str) -> DataFrame:
+    """(file, rows, cols, entries, found, beyond): files whose entries are not as many as their line of sizes says, or lie outside it."""
+    lines, first = _market_lines(spark, path)
+    part = lambda c, i: F.get(F.split(F.trim(c), r"\s+"), F.lit(i)).try_cast("long")
+    sizes = first.select("file", F.col("at").alias("__first"), part("value", 0).alias("rows"), part("value", 1).alias("cols"), part("value", 2).alias("entries"))
+    met = lines.join(F.broadcast(sizes), "file")
+    entry = F.col("at") != F.col("__first")
+    outside = entry & ~F.coalesce(part("value", 0).between(1, F.col("rows")) & part("value", 1).between(1, F.col("cols")), F.lit(False))
+    sums = met.groupBy("file", "rows", "cols", "entries").agg(F.count_if(entry).alias("found"), F.count_if(outside).alias("beyond"))
+    return sums.where(~F.col("entries").eqNullSafe(F.col("found")) | (F.col("beyond") > 0))
+
+
 def _of_files(spark: SparkSession, path: str, read, schema: str) -> DataFrame:
     """Rows that ``read`` yields, in batches, of each file's bytes; a file is one task."""
 
