@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.likelihood import SHIFT, SMALL, lgamma
+from tessera.functions.likelihood import HALF_LOG_TWO_PI, SHIFT, SMALL, STIRLING, lgamma
 
 #: Coefficients of the asymptotic series of digamma, from 1/x^2 on.
 DIGAMMA = [-1 / 12, 1 / 120, -1 / 252, 1 / 240, -1 / 132]
@@ -94,3 +94,19 @@ def bb_partials(k: Column, n: Column, share: Column, tau: Column) -> dict[str, C
     by_p = tau * (by_a - by_b) * share * (1 - share)
     by_tau = tau * (share * by_a + (1 - share) * by_b - whole)
     return {"logit_p": F.when(scored, by_p).otherwise(0.0), "log_tau": F.when(scored, by_tau).otherwise(0.0)}
+
+
+def log_gamma(x):
+    """log Gamma of an array of positive numbers: the same recurrence and series as the Column."""
+    import numpy as np
+
+    x = np.asarray(x, np.float64)
+    product = x.copy()
+    for i in range(1, SHIFT):
+        product = product * (x + i)
+    y = x + SHIFT
+    inverse = 1 / y
+    square, series = inverse * inverse, 0.0
+    for c in reversed(STIRLING):
+        series = series * square + c
+    return (y - 0.5) * np.log(y) - y + HALF_LOG_TWO_PI + series * inverse - np.log(product)
