@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 #: Bytes of a leaf, and ids that decoding joins at once.
 LEAF, JOINED = 64, 4096
-#: Pieces and pairs of tokens whose encodings a worker remembers; beyond that it starts anew. Longer pieces are not remembered.
-REMEMBERED, LONGEST_REMEMBERED = 1 << 19, 64
+#: Pieces, of a leaf at most, and pairs of tokens whose encodings a worker remembers; beyond that it starts anew.
+REMEMBERED = 1 << 20
 #: Characters of texts whose pieces are encoded together, and pieces of a longer text that are held at once.
-TOGETHER, HELD = 1 << 21, 1 << 18
+TOGETHER, HELD = 1 << 20, 1 << 17
 #: Bytes of a rank file, at most: it is broadcast.
 MOST_BYTES = 1 << 26
 
@@ -49,7 +49,7 @@ class Vocabulary:
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.pieces = regex.compile(pattern)
         self.stable_pairs: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, list[int]] = {}
+        self._forget()
         # each way in which a token is two tokens: what merges into what
         rank = self.ranks.get
         ways = [(a, b, r) for token, r in self.ranks.items() for k in range(1, len(token)) if (a := rank(token[:k])) is not None and (b := rank(token[k:])) is not None]
@@ -66,8 +66,8 @@ class Vocabulary:
         at = np.searchsorted(self.keys, keys)
         return np.where(self.keys[at] == keys, self.merged[at], self.span)
 
-    def merge_all(self, pieces: list[bytes]) -> list[list[int]]:
-        """``merge`` of many short pieces side by side: in each round every piece has its next merge."""
+    def merge_all(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, edges): ``merge`` of many short pieces side by side, end to end; in each round every piece has its next merge."""
         sizes = np.array([len(p) for p in pieces], np.int64)
         ids = self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
         piece = np.repeat(np.arange(len(pieces)), sizes)
@@ -97,9 +97,8 @@ class Vocabulary:
                 rank[i] = np.where((after > i) & (piece[after] == piece[i]), self.merged_rank(ids[i], ids[after]), self.span)
         owner = np.concatenate([d[0] for d in done]) if done else np.zeros(0, np.int64)
         order = np.argsort(owner, kind="stable")
-        flat = np.concatenate([d[1] for d in done])[order].tolist() if done else []
-        edges = np.searchsorted(owner[order], np.arange(len(pieces) + 1)).tolist()
-        return [flat[i:j] for i, j in zip(edges, edges[1:])]
+        flat = np.concatenate([d[1] for d in done])[order] if done else np.zeros(0, np.int64)
+        return flat.astype(np.int32), np.searchsorted(owner[order], np.arange(len(pieces) + 1))
 
     def merge(self, piece: bytes) -> list[int]:
         """The direct encoding: the pair of least rank is merged, the leftmost of equals, until none is left."""
@@ -164,29 +163,57 @@ class Vocabulary:
         half = -(-len(leaves) // 2)
         return self.join(self.reduce(leaves[:half]), self.reduce(leaves[half:]))
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        """Each piece's ids; one that is a token is that token, even where merging would not reach it."""
-        out = self.merge_all([p[:LEAF] for p in pieces])
-        for i, p in enumerate(pieces):
-            if p in self.ranks:
-                out[i] = [self.ranks[p]]
-            elif len(p) > LEAF:
-                out[i] = self.reduce([out[i], *self.merge_all([p[k : k + LEAF] for k in range(LEAF, len(p), LEAF)])])
-        return out
+    def encode_long(self, piece: bytes) -> list[int]:
+        """A piece of several leaves."""
+        ids, edges = self.merge_all([piece[i : i + LEAF] for i in range(0, len(piece), LEAF)])
+        flat, edges = ids.tolist(), edges.tolist()
+        return self.reduce([flat[i:j] for i, j in zip(edges, edges[1:])])
+
+    def encode_pieces(self, pieces: Iterable[str]) -> tuple[list[str], int, np.ndarray, np.ndarray]:
+        """(pieces, how many are short, ids, sizes): the pieces anew with the long ones last, and their ids end to end.
+
+        A piece that is a token is that token, even where merging would not reach it.
+        """
+        tokens, short, long = [], [], []
+        for p in pieces:
+            body = p.encode()
+            kind = tokens if body in self.ranks else short if len(body) <= LEAF else long
+            kind.append((p, body))
+        merged, edges = self.merge_all([body for _, body in short])
+        of_long = [self.encode_long(body) for _, body in long]
+        ids = np.concatenate([np.array([self.ranks[body] for _, body in tokens], np.int32), merged, np.array(list(chain.from_iterable(of_long)), np.int32)])
+        sizes = np.concatenate([np.ones(len(tokens), np.int64), np.diff(edges), np.array(list(map(len, of_long)), np.int64)])
+        return [p for p, _ in chain(tokens, short, long)], len(tokens) + len(short), ids, sizes
+
+    def _forget(self) -> None:
+        """Pieces that were met have a number, by which ``sizes`` and ``at`` tell where in ``flat`` their ids lie."""
+        self.known: dict[str, int] = {}
+        self.flat, self.at, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _ids(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """The ids of each text's pieces end to end; pieces not met before are encoded together."""
+        """The ids of each text's pieces end to end; pieces not met before are encoded together, and the short ones remembered."""
         met = set(chain.from_iterable(texts))
-        new = list(met.difference(self.known))
+        new = met.difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(met)
-        self.known.update(zip(new, self.encode_pieces([p.encode() for p in new])))
-        ids = [np.fromiter(chain.from_iterable(map(self.known.__getitem__, pieces)), np.int32) for pieces in texts]
-        for p in new:
-            if len(p) > LONGEST_REMEMBERED:
-                del self.known[p]
-        return ids
+            self._forget()
+            new = met
+        new, stay, ids, sizes = self.encode_pieces(new)
+        first = len(self.known)
+        flat = np.concatenate([self.flat, ids])
+        at = np.concatenate([self.at, len(self.flat) + np.cumsum(sizes) - sizes])
+        sizes = np.concatenate([self.sizes, sizes])
+        self.known.update(zip(new, range(first, first + len(new))))
+        asked = np.fromiter(map(self.known.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
+        own = sizes[asked]
+        ends = np.append(0, np.cumsum(own))
+        out = flat[np.repeat(at[asked] - ends[:-1], own) + np.arange(ends[-1])]
+        for p in new[stay:]:
+            del self.known[p]
+        stay += first
+        self.at, self.sizes = at[:stay], sizes[:stay]
+        self.flat = flat[: int(self.sizes.sum())]
+        cuts = ends[np.cumsum([0, *map(len, texts)])]
+        return [out[i:j] for i, j in zip(cuts, cuts[1:])]
 
     def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """The ids of each text: its pieces' ids, end to end."""
