@@ -133,6 +133,93 @@ def local_normal(profiles: DataFrame, width: int, slack: float, margin: float) -
     return windowed.join(least, ["contig", "bin"]).select("clone", "contig", "bin", (F.col("local") <= F.col("least") + margin).alias("normal"))
 
 
+#: Shares of the pool at which the relaxation stops to compare, as running sums.
+PERCENTILES = [0.4]
+while PERCENTILES[-1] + 0.05 <= 0.95:
+    PERCENTILES.append(PERCENTILES[-1] + 0.05)
+
+
+def kept_of_pool(pool: Column, ratio: float = 1.1) -> Column:
+    """How many of a pool of spreads (the anchor's, then the others' by size) stay: the first split whose parts differ by over ``ratio`` times what they spread within.
+
+    Pools of up to three stay whole, and so does one without such a split.
+    """
+    n = F.size(pool)
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    around = lambda xs, m: F.aggregate(xs, F.lit(0.0), lambda a, x: a + (x - m) * (x - m))
+
+    def split(p: Column) -> Column:
+        k = F.least(F.greatest(F.floor(p * n).cast("int"), F.lit(1)), n - 2) + 1
+        low, high = F.slice(pool, F.lit(1), k), F.slice(pool, k + 1, n - k)
+        whole, first, second = total(pool) / n, total(low) / k, total(high) / (n - k)
+        within = around(low, first) + around(high, second)
+        between = k * (first - whole) * (first - whole) + (n - k) * (second - whole) * (second - whole)
+        return F.when((within > 1e-12) & (between > ratio * within), k)
+
+    found = F.filter(F.transform(F.array(*map(F.lit, PERCENTILES)), split), lambda k: k.isNotNull())
+    return F.when(n > 3, F.coalesce(F.get(found, F.lit(0)), n)).otherwise(n)
+
+
+def local_mask(
+    profiles: DataFrame, labels: DataFrame, cells: DataFrame, width: int, slack: float = 0.05, margin: float = 0.01, ratio: float = 1.1, amplitude: tuple[float, float] = (0.8, 1.25)
+) -> DataFrame:
+    """(clone, bin, normal): the clones whose spots are a bin's normal ones.
+
+    ``profiles`` is (clone, bin, baf) with bins numbered through, ``labels``
+    (spot, clone), ``cells`` (spot, bin, umi).  The clone that deviates least
+    from balance over all bins, ties to the smaller, is the anchor and always
+    normal.  Another is a candidate at a bin where, within ``width`` bins on
+    either side, its deviation is within ``margin`` of the least of all clones
+    and its share of reads, regressed on the anchor's through the origin with
+    weights of one over the anchor's, has a slope within ``amplitude``.  Of the
+    candidates those stay, by rising spread of their log reads, that
+    ``kept_of_pool`` says.  Clones without spots are never normal; a NULL baf
+    is balanced.  All tables here are clones times bins.
+    """
+    deviation = F.coalesce(F.greatest(F.abs(F.col("baf") - 0.5) - slack, F.lit(0.0)), F.lit(0.0))
+    spots = labels.groupBy("clone").agg(F.count_distinct("spot").alias("spots"))
+    reads = cells.join(labels, "spot").groupBy("clone", "bin").agg(F.sum("umi").cast("double").alias("x"))
+    library = reads.groupBy("clone").agg(F.sum("x").alias("library"))
+    grid = profiles.select("clone", "bin", deviation.alias("dev")).join(reads, ["clone", "bin"], "left").join(spots, "clone", "left").join(library, "clone", "left")
+    x = F.coalesce("x", F.lit(0.0))
+    held = grid.select("clone", "bin", "dev", F.coalesce("spots", F.lit(0)).alias("spots"), F.coalesce(F.try_divide(x, F.col("library")), F.lit(0.0)).alias("y"), F.coalesce(F.log1p(F.try_divide(x, F.col("spots"))), F.lit(0.0)).alias("log"))
+    anchor = held.groupBy("clone").agg(F.sum("dev").alias("dev")).agg(F.min(F.struct("dev", "clone")).alias("a")).select(F.col("a.clone").alias("clone"))  # one row
+    own = held.join(F.broadcast(anchor), "clone", "left_semi").select("bin", F.col("y").alias("__xa"), F.lit(True).alias("__met"))
+    met = held.join(own, "bin", "left").join(F.broadcast(anchor.withColumnRenamed("clone", "__anchor")), how="cross").withColumn("__xa", F.coalesce("__xa", F.lit(0.0)))
+    near = Window.partitionBy("clone").orderBy("bin").rangeBetween(-width, width)
+    weight = 1 / (F.col("__xa") + 1e-8)
+    seen = met.select(
+        "clone", "bin", "spots", (F.col("clone") == F.col("__anchor")).alias("anchor"), F.avg("dev").over(near).alias("local"),
+        F.sum(weight * F.col("__xa") * F.col("y")).over(near).alias("xy"), F.sum(weight * F.col("__xa") * F.col("__xa")).over(near).alias("xx"), F.stddev_pop("log").over(near).alias("spread"),
+    )
+    least = F.min(F.when(F.col("spots") > 0, F.col("local"))).over(Window.partitionBy("bin"))
+    slope = F.when(F.col("xx") > 1e-12, F.col("xy") / F.col("xx")).otherwise(0.0)
+    fits = (F.col("spots") > 0) & ~F.col("anchor") & (F.col("local") <= F.col("__least") + margin) & slope.between(*amplitude)
+    judged = seen.withColumn("__least", least).withColumn("fits", F.coalesce(fits, F.lit(False)))
+    pools = judged.groupBy("bin").agg(
+        F.max(F.when(F.col("anchor"), F.col("spread"))).alias("__own"),
+        F.array_sort(F.collect_list(F.when(F.col("fits"), F.struct("spread", "clone")))).alias("__fit"),
+    )
+    pool = F.concat(F.array(F.coalesce("__own", F.lit(0.0))), F.transform("__fit", lambda c: c["spread"]))
+    chosen = pools.withColumn("__pool", pool).select("bin", F.transform(F.slice("__fit", F.lit(1), kept_of_pool(F.col("__pool"), ratio) - 1), lambda c: c["clone"]).alias("__clones"))
+    return judged.join(chosen, "bin").select("clone", "bin", ((F.col("anchor") & (F.col("spots") > 0)) | F.array_contains("__clones", F.col("clone"))).alias("normal"))
+
+
+def local_normal_baseline(cells: DataFrame, labels: DataFrame, profiles: DataFrame, width: int = 100, least: int = 0, proportions: DataFrame | None = None, needed: float = 0.0) -> DataFrame:
+    """(bin, spot, base): the baseline from each bin's normal spots.
+
+    Normal are the clones of ``local_mask``; with ``proportions`` (spot,
+    proportion) they are instead the spots of ``by_proportion``, in every bin.
+    """
+    if proportions is None:
+        return local_baseline(cells, labels, local_mask(profiles, labels, cells, width), least)
+    totals = cells.groupBy("spot").agg(F.sum("umi").alias("total"))
+    pure = by_proportion(proportions, totals, needed).withColumn("__pure", F.lit(True))
+    own = cells.select("spot").distinct().join(pure, "spot", "left").select("spot", F.when(F.col("__pure"), 1).otherwise(0).alias("clone"))
+    mask = cells.select("bin").distinct().withColumn("clone", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("normal", F.col("clone") == 1)
+    return local_baseline(cells, own, mask, least)
+
+
 def local_baseline(cells: DataFrame, labels: DataFrame, local: DataFrame, least: int = 0) -> DataFrame:
     """(bin, spot, base): each bin's share among its locally normal spots times the spot's total; bins below ``least`` are not scored."""
     own = cells.join(labels, "spot").join(local, ["clone", "bin"]).groupBy("bin").agg(F.sum(F.when(F.col("normal"), F.col("umi")).otherwise(0)).alias("own"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.operators import spatial
+from tessera.operators import cuts, spatial
 
 from .registry import query, table
 
@@ -95,3 +96,37 @@ def merge_gain(spark, sf_dir):
 @query()
 def icm_sweep(spark, sf_dir):
     return spatial.icm(_field(spark, sf_dir), _graph(spark, sf_dir), _labels(spark, sf_dir), 1.5, sweeps=1, colours=4)
+
+
+#: Runs of fifty customers; an expansion along a run is a chain with two choices, whose optimum a recursion finds.
+RUNS = "r AS (SELECT c_custkey AS spot, c_custkey // 50 AS run, c_custkey * 31 % 3 AS label, CAST(0.2 AS DOUBLE) + c_custkey % 7 / CAST(10 AS DOUBLE) AS w FROM customer)"
+ONE = "x AS (SELECT r.*, (spot * 7919 + label * 104729) % 1009 / CAST(600 AS DOUBLE) AS keep, (spot * 7919 + 104729) % 1009 / CAST(600 AS DOUBLE) AS take, row_number() OVER (PARTITION BY run ORDER BY spot) AS rn, lag(spot) OVER (PARTITION BY run ORDER BY spot) AS before FROM r)"
+
+
+@query(f"""
+WITH RECURSIVE {RUNS}, {ONE},
+f(run, rn, label, w, v0, v1, b0, b1) AS (
+  SELECT run, rn, label, w, keep, take, 0, 0 FROM x WHERE rn = 1
+  UNION ALL
+  SELECT x.run, x.rn, x.label, x.w,
+    greatest(v0 + CASE WHEN f.label = x.label THEN f.w ELSE 0 END, v1 + CASE WHEN x.label = 1 THEN f.w ELSE 0 END) + keep,
+    greatest(v0 + CASE WHEN f.label = 1 THEN f.w ELSE 0 END, v1 + f.w) + take,
+    CASE WHEN v0 + CASE WHEN f.label = x.label THEN f.w ELSE 0 END >= v1 + CASE WHEN x.label = 1 THEN f.w ELSE 0 END THEN 0 ELSE 1 END,
+    CASE WHEN v0 + CASE WHEN f.label = 1 THEN f.w ELSE 0 END >= v1 + f.w THEN 0 ELSE 1 END
+  FROM f JOIN x ON x.run = f.run AND x.rn = f.rn + 1),
+g(run, rn, x, prev) AS (
+  SELECT run, rn, CASE WHEN v0 >= v1 THEN 0 ELSE 1 END, CASE WHEN v0 >= v1 THEN b0 ELSE b1 END FROM f WHERE (run, rn) IN (SELECT run, max(rn) FROM f GROUP BY run)
+  UNION ALL
+  SELECT f.run, f.rn, g.prev, CASE WHEN g.prev = 0 THEN f.b0 ELSE f.b1 END FROM g JOIN f ON f.run = g.run AND f.rn = g.rn - 1)
+SELECT spot, CASE WHEN g.x = 1 THEN 1 ELSE label END AS label FROM g JOIN x USING (run, rn)
+""")
+def expansion_cut(spark, sf_dir):
+    """The best expansion to label 1 of customers in runs, neighbours weighing what the earlier one says."""
+    key = F.col("c_custkey")
+    spots = table(spark, sf_dir, "customer").select(key.alias("spot"), F.call_function("div", key, F.lit(50)).alias("run"), (key * 31 % 3).alias("label"))
+    # the next customer of the run, whichever key it has
+    after = F.lead("spot").over(Window.partitionBy("run").orderBy("spot"))
+    edges = spots.select(F.col("spot").alias("src"), after.alias("dst"), (0.2 + F.col("spot") % 7 / 10.0).alias("w")).where("dst IS NOT NULL")
+    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    field = spots.select("spot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("label")).withColumn("value", (F.col("spot") * 7919 + F.col("label") * 104729) % 1009 / 600.0)
+    return cuts.expansion(field, both, spots.select("spot", "label"), 1.0, 1)

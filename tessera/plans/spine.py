@@ -338,6 +338,32 @@ def local_baseline(spark, sf_dir):
     return normal.local_baseline(x, labels, local, 50).withColumn("base", F.round("base", 4))
 
 
+MASK = """
+x AS (SELECT l_partkey % 60 AS bin, l_suppkey AS spot, l_suppkey % 6 AS clone, CAST(l_quantity AS BIGINT) AS umi, CAST(l_discount AS DOUBLE) AS d FROM lineitem),
+p AS (SELECT clone, bin, avg(d) * 10 + clone * (bin // 15) % 4 * CAST(0.04 AS DOUBLE) AS baf FROM x GROUP BY 1, 2),
+n AS (SELECT clone, count(DISTINCT spot) AS spots, CAST(sum(umi) AS DOUBLE) AS lib FROM x GROUP BY 1),
+g AS (SELECT p.clone, p.bin, greatest(abs(baf - 0.5) - 0.05, 0) AS dev, sum(umi) / any_value(lib) AS y, ln(1 + sum(umi) / CAST(any_value(spots) AS DOUBLE)) AS lx FROM p JOIN x USING (clone, bin) JOIN n USING (clone) GROUP BY p.clone, p.bin, baf),
+a AS (SELECT arg_min(clone, (dev, clone)) AS anchor FROM (SELECT clone, sum(dev) AS dev FROM g GROUP BY clone)),
+m AS (SELECT g.*, coalesce(o.y, 0) AS xa, g.clone = anchor AS own FROM g JOIN a ON true LEFT JOIN g o ON o.bin = g.bin AND o.clone = anchor),
+w AS (SELECT clone, bin, own, avg(dev) OVER z AS local, sum(xa * y / (xa + 1e-8)) OVER z AS xy, sum(xa * xa / (xa + 1e-8)) OVER z AS xx, stddev_pop(lx) OVER z AS sd FROM m WINDOW z AS (PARTITION BY clone ORDER BY bin RANGE BETWEEN 4 PRECEDING AND 4 FOLLOWING)),
+f AS (SELECT *, NOT own AND local <= min(local) OVER (PARTITION BY bin) + 0.01 AND xx > 1e-12 AND xy / xx BETWEEN 0.8 AND 1.25 AS fits FROM w),
+l AS (SELECT bin, list_concat([coalesce(max(sd) FILTER (own), 0)], coalesce(list(sd ORDER BY sd, clone) FILTER (fits), [])) AS pool, coalesce(list(clone ORDER BY sd, clone) FILTER (fits), []) AS cs FROM f GROUP BY bin),
+k AS (SELECT bin, cs, pool, len(pool) AS n, i, least(greatest(CAST(floor(p * len(pool)) AS BIGINT), 1), len(pool) - 2) + 1 AS k FROM l, (VALUES PERCENTILES) q(i, p) WHERE len(pool) > 3),
+s AS (SELECT bin, i, k, n, list_sum(pool) / n AS mu, list_sum(pool[1:k]) / k AS m1, list_sum(pool[k + 1:n]) / (n - k) AS m2, pool FROM k),
+t AS (SELECT bin, i, k, list_sum(list_transform(pool[1:k], lambda v: (v - m1) * (v - m1))) + list_sum(list_transform(pool[k + 1:n], lambda v: (v - m2) * (v - m2))) AS within, k * (m1 - mu) * (m1 - mu) + (n - k) * (m2 - mu) * (m2 - mu) AS between FROM s),
+c AS (SELECT bin, arg_min(k, i) AS k FROM t WHERE within > 1e-12 AND between > 1.1 * within GROUP BY bin)
+""".replace("PERCENTILES", ", ".join(f"({i}, CAST({p!r} AS DOUBLE))" for i, p in enumerate(normal.PERCENTILES))).replace("between", "apart")
+
+
+@query(f"WITH {MASK} SELECT f.clone, f.bin, f.own OR list_contains(cs[1:coalesce(c.k, len(pool)) - 1], f.clone) AS normal FROM f JOIN l USING (bin) LEFT JOIN c USING (bin)")
+def local_normal_mask(spark, sf_dir):
+    """The clones of suppliers that are normal in each bin of parts."""
+    x = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 60).alias("bin"), F.col("l_suppkey").alias("spot"), (F.col("l_suppkey") % 6).alias("clone"), F.col("l_quantity").cast("long").alias("umi"), "l_discount")
+    step = F.col("clone") * F.call_function("div", F.col("bin"), F.lit(15)) % 4 * 0.04
+    profiles = x.groupBy("clone", "bin").agg((F.avg(F.col("l_discount").cast("double")) * 10 + F.first(step)).alias("baf"))
+    return normal.local_mask(profiles, x.select("spot", "clone").distinct(), x.groupBy("spot", "bin").agg(F.sum("umi").alias("umi")), 4)
+
+
 @query("""
 WITH x AS (SELECT p_partkey % 6 AS contig, p_partkey AS seg, CAST(p_size AS DOUBLE) AS len, CAST(p_retailprice AS DOUBLE) AS w FROM part)
 SELECT seg FROM (SELECT *, count(*) OVER (PARTITION BY contig) AS n FROM x) WHERE (len < 10 OR w < 950) AND n > 1

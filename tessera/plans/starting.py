@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import starts
+from tessera.operators import purity, starts
 
 from .registry import query, table
 
@@ -46,3 +46,57 @@ def start_grid(spark, sf_dir):
     """The classification log-likelihood of all parts at each purity and depth scale."""
     found = starts.lattice_grid(starts.distinct_cells(_cells(spark, sf_dir)), (1.0, 0.7, 0.5), most=4)
     return spark.createDataFrame(found, "purity double, scale double, level double").select("purity", F.round("scale", 9).alias("scale"), F.round("level", 3).alias("level"))
+
+
+#: Cells of clones: parts in bins of two contigs.
+CLONES = "c AS (SELECT p_partkey % 3 AS clone, p_partkey // 3 % 2 AS contig, p_partkey AS bin, CAST(p_size + 20 AS DOUBLE) AS k, CAST(40 + p_partkey % 3 AS DOUBLE) AS e, CAST(p_partkey * 7 % 13 AS DOUBLE) AS b, CAST(20 + p_partkey % 2 AS DOUBLE) AS t FROM part)"
+STAY, ALPHA, TAU = 0.99, 0.05, 40.0
+
+
+def _clones(spark, sf_dir):
+    key = F.col("p_partkey")
+    contig = F.call_function("div", key, F.lit(3)) % 2
+    return table(spark, sf_dir, "part").select((key % 3).alias("clone"), contig.alias("contig"), key.alias("bin"), (F.col("p_size") + 20).alias("umi"), (40 + key % 3).cast("double").alias("base"), (key * 7 % 13).alias("a"), (20 + key % 2).alias("total"))
+
+
+def _path_sql(purities=(0.5, 0.9), shifts=(-0.1, 0.2)) -> str:
+    """Best paths over five states under four settings, with the states side by side."""
+    model = purity.lattice(2, 2, STAY, 0.5)
+    stay, move = model.moves
+    settings = ", ".join(f"({i}, CAST({p!r} AS DOUBLE), CAST({s!r} AS DOUBLE))" for i, (p, s) in enumerate((p, s) for p in purities for s in shifts))
+    states = range(len(model.pairs))
+    emits = []
+    for i, (a, b) in enumerate(model.pairs):
+        mean = f"(e * exp(shift) * (purity * {a + b} / 2 + 1 - purity))"
+        share = f"greatest(1e-4, least(1 - 1e-4, (purity * {a} + 1 - purity) / (purity * {a + b} + 2 * (1 - purity))))"
+        al, be, size = f"({share} * {TAU!r})", f"((1 - {share}) * {TAU!r})", repr(1 / ALPHA)
+        nb = f"lgamma(k + {size}) - lgamma({size}) - lgamma(k + 1) + {size} * ln({size} / ({size} + {mean})) + k * ln({mean} / ({size} + {mean}))"
+        bb = f"lgamma(t + 1) - lgamma(b + 1) - lgamma(t - b + 1) + lgamma(b + {al}) + lgamma(t - b + {be}) - lgamma(t + {TAU!r}) - lgamma({al}) - lgamma({be}) + lgamma({TAU!r})"
+        emits.append(f"{nb} + {bb} - {0.5 * abs(a + b - 2)!r} AS e{i}")
+    top = f"greatest({', '.join(f'v{i}' for i in states)})"
+    return f"""
+WITH RECURSIVE {CLONES}, s(setting, purity, shift) AS (VALUES {settings}),
+x AS MATERIALIZED (SELECT setting, clone, contig, row_number() OVER (PARTITION BY setting, clone, contig ORDER BY bin) AS rn, {", ".join(emits)} FROM c, s),
+f(setting, clone, contig, rn, {", ".join(f"v{i}" for i in states)}) AS (
+  SELECT setting, clone, contig, rn, {", ".join(f"e{i} - ln({len(model.pairs)}.0)" for i in states)} FROM x WHERE rn = 1
+  UNION ALL
+  SELECT x.setting, x.clone, x.contig, x.rn, {", ".join(f"greatest(v{i} + {stay!r}, {top} + {move!r}) + e{i}" for i in states)}
+  FROM f JOIN x ON x.setting = f.setting AND x.clone = f.clone AND x.contig = f.contig AND x.rn = f.rn + 1),
+l AS (SELECT setting, clone, contig, max_by({top}, rn) AS level FROM f GROUP BY ALL)
+SELECT clone, purity, shift, round(sum(level), 4) AS level FROM l JOIN s USING (setting) GROUP BY clone, purity, shift
+"""
+
+
+@query(_path_sql())
+def path_scores(spark, sf_dir):
+    """The best path's log-likelihood of each clone at two purities and two shifts."""
+    model, grid = purity.lattice(2, 2, STAY, 0.5), [(p, s) for p in (0.5, 0.9) for s in (-0.1, 0.2)]
+    got = purity.scores(_clones(spark, sf_dir), model, {c: [purity.At(p, s, ALPHA, TAU) for p, s in grid] for c in range(3)})
+    rows = [(c, p, s, float(v)) for c, values in got.items() for (p, s), v in zip(grid, values)]
+    return spark.createDataFrame(rows, "clone long, purity double, shift double, level double").withColumn("level", F.round("level", 4))
+
+
+@query()
+def purity_decode(spark, sf_dir):
+    """Each clone's bins with their copies, after two rounds of expectation maximisation."""
+    return purity.decode(_clones(spark, sf_dir), normal=0, model=purity.lattice(3, 2, STAY), rounds=2, passes=2).paths
