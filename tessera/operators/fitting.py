@@ -282,29 +282,30 @@ def phased_by_vote(profiles: DataFrame, paths: DataFrame, near: float) -> DataFr
     return phase_vote(profiles.join(paths, ["clone", "bin"]), "bin", "share", near)
 
 
-def initial_phase(cells: DataFrame, params: Params, stay: float, switch: str, near: float, step: float, spacing: int) -> tuple[DataFrame, DataFrame]:
-    """((bin, phase), (contig, bin, piece)): phases by vote over clones' phased chains, and pieces between jumps of the minor share.
+def phased_emissions(cells: DataFrame, params: Params) -> tuple[DataFrame, list[str]]:
+    """(cells with f0, f1 ... and g0, g1 ..., their names): each state's log-likelihood of each cell, and its twin's whose allele is the other one."""
+    k = params.states
+    plain = emissions(cells, params).withColumnsRenamed({f"e{i}": f"f{i}" for i in range(k)})
+    both = emissions(plain, replace(params, p=tuple(1 - p for p in params.p))).withColumnsRenamed({f"e{i}": f"g{i}" for i in range(k)})
+    return both, [*(f"f{i}" for i in range(k)), *(f"g{i}" for i in range(k))]
+
+
+def initial_phase(cells: DataFrame, params: Params, stay: float, switch: str, near: float, step: float, spacing: int, same_state: bool = False) -> tuple[DataFrame, DataFrame]:
+    """((contig, bin, phase), (contig, bin, piece)): phases by vote over clones' phased chains, and pieces between jumps of the minor share.
 
-    ``cells`` is (clone, contig, bin, umi, base, a, total, switch).  Each state
-    has a twin whose allele is the other one; a clone's share at a bin is its
-    likelier twin's.
+    ``cells`` is (clone, contig, bin, umi, base, a, total, switch).  A clone's
+    share at a bin is that of the likelier twin of its likeliest state.
     """
     from tessera.operators.ordered import cut_at_steps
+    from tessera.operators.summaries import phase_vote
 
     k = params.states
     keyed = cells.withColumn("__group", F.concat_ws("/", F.col("clone").cast("string"), F.col("contig").cast("string")))
-    plain = emissions(keyed, params)
-    twin = replace(params, p=tuple(1 - p for p in params.p))
-    both = emissions(plain.withColumnsRenamed({f"e{i}": f"f{i}" for i in range(k)}), twin).withColumnsRenamed({f"e{i}": f"g{i}" for i in range(k)})
-    names = [*(f"f{i}" for i in range(k)), *(f"g{i}" for i in range(k))]
-    post = hmm.posteriors(stage(both, "twins"), "__group", ["bin"], names, hmm.transitions(k, stay), [-math.log(k)] * k, switch=switch)
-    rates = F.array(*map(F.lit, params.p))
-    states = stage(both.select("__group", "clone", "contig", "bin", *names).join(post, ["__group", "bin"]), "phased")
-    at = F.col("state").cast("int")
-    own = F.get(F.array(*(F.col(f"f{i}") for i in range(k))), at) >= F.get(F.array(*(F.col(f"g{i}") for i in range(k))), at)
-    share = F.when(own, F.get(rates, at)).otherwise(1 - F.get(rates, at))
-    shares = states.select("clone", "contig", "bin", share.alias("share"))
-    from tessera.operators.summaries import phase_vote
-
+    both, names = phased_emissions(keyed, params)
+    both = stage(both, "twins")
+    _, states = hmm.phased(both, "__group", ["bin"], names, hmm.transitions(k, stay), [-math.log(k)] * k, switch, same_state)
+    own = F.get(F.array(*map(F.lit, params.p)), F.col("state").cast("int"))
+    shares = stage(both.select("__group", "clone", "contig", "bin").join(states, ["__group", "bin"]).select("clone", "contig", "bin", F.when(F.col("phase") == 0, own).otherwise(1 - own).alias("share")), "phased")
     minor = shares.groupBy("contig", "bin").agg(F.min(F.least(F.col("share"), 1 - F.col("share"))).alias("minor"))
-    return phase_vote(shares, "bin", "share", near), cut_at_steps(minor, "contig", ["bin"], "minor", step, spacing).select("contig", "bin", "piece")
+    votes = phase_vote(shares.withColumn("__at", F.struct("contig", "bin")), "__at", "share", near).select("__at.contig", "__at.bin", "phase")
+    return votes, cut_at_steps(minor, "contig", ["bin"], "minor", step, spacing).select("contig", "bin", "piece")

@@ -123,11 +123,7 @@ def posteriors(df: DataFrame, group: str, order: list[str], emissions: list[str]
 
             def moves(at: np.ndarray) -> np.ndarray:
                 """Log-probabilities from the states of rows ``at`` to those of the next."""
-                if flip is None:
-                    return trans[None]
-                w = np.minimum(flip[at], -1e-300)[:, None, None]
-                stay, turn = trans + np.log(-np.expm1(w)), trans + w
-                return np.concatenate([np.concatenate([stay, turn], axis=2), np.concatenate([turn, stay], axis=2)], axis=1)
+                return trans[None] if flip is None else combined_moves(trans, flip[at])
 
             a, b = np.zeros(e.shape), np.zeros(e.shape)
             for t in chains.steps():
@@ -145,6 +141,93 @@ def posteriors(df: DataFrame, group: str, order: list[str], emissions: list[str]
     return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", posterior array<double>, state long")
 
 
+#: log of one half: where the phase says nothing.
+HALF = math.log(0.5)
+
+
+def combined_moves(trans: np.ndarray, flip: np.ndarray, same_state: bool = False) -> np.ndarray:
+    """(rows, 2K, 2K): log-probabilities from the plain and flipped states of rows to those of the next, ``flip`` the log of each row's switch.
+
+    With ``same_state`` the switch law holds only where the state stays, and
+    any other move takes either phase with one half.
+    """
+    w = np.minimum(flip, -1e-300)[:, None, None]
+    stay, turn = trans + np.log(-np.expm1(w)), trans + w
+    if same_state:
+        off = ~np.eye(len(trans), dtype=bool)[None]
+        stay, turn = np.where(off, trans + HALF, stay), np.where(off, trans + HALF, turn)
+    return np.concatenate([np.concatenate([stay, turn], axis=2), np.concatenate([turn, stay], axis=2)], axis=1)
+
+
+def factored_step(a: np.ndarray, trans: np.ndarray, flip: np.ndarray, same_state: bool = False) -> np.ndarray:
+    """(rows, 2K): what ``combined_moves`` makes of log-weights ``a``, by states first and phases after: their product is never written out.
+
+    It is its own transpose where ``trans`` is turned over, so the way back is
+    the same step.
+    """
+    k = len(trans)
+    w = np.minimum(flip, -1e-300)[:, None, None]
+    by_phase = a.reshape(len(a), 2, k)
+    mixed = lambda x, stay, turn: np.logaddexp(x + stay, x[:, ::-1] + turn)
+    stays, turns = np.log(-np.expm1(w)), w
+    if not same_state:
+        return mixed(_sum_logs(by_phase[:, :, :, None] + trans, 2), stays, turns).reshape(a.shape)
+    kept = mixed(by_phase + np.diag(trans), stays, turns)
+    if k == 1:
+        return kept.reshape(a.shape)
+    others = np.where(np.eye(k, dtype=bool), -np.inf, trans)
+    moved = _sum_logs(by_phase[:, :, :, None] + others, 2)
+    return np.logaddexp(kept, mixed(moved, HALF, HALF)).reshape(a.shape)
+
+
+def phased(df: DataFrame, group: str, order: list[str], emissions: list[str], log_trans: list[list[float]], log_start: list[float], switch: str, same_state: bool = False) -> tuple[DataFrame, DataFrame]:
+    """((group, n, log_likelihood), (group, order..., posterior, state, phase)): a chain whose every state has a flipped twin.
+
+    ``emissions`` lists the plain states' log-probabilities, then the flipped
+    ones'; ``switch`` is a column with the log-probability that the phase flips
+    before the next row (the last row's is not read).  A chain begins in either
+    phase with one half.  ``posterior`` has all twins; ``state`` is the likeliest
+    with both phases together and ``phase`` 1 where its flipped twin is the
+    likelier.  With ``same_state`` phases are tied only where the state stays.
+    """
+    trans, start = np.array(log_trans), np.array(log_start)
+    rows = in_order(df, group, order, *emissions, switch)
+    kinds, keep, plain = dict(rows.dtypes), [group, *order], len(start)
+    begin = np.concatenate([start, start]) + HALF
+
+    def way(e: np.ndarray, flip: np.ndarray, chains: Chains) -> np.ndarray:
+        a = np.zeros(e.shape)
+        for t in chains.steps():
+            at = chains.rows(t)
+            a[at] = (begin if t == 0 else factored_step(a[at - 1], trans, flip[at - 1], same_state)) + e[at]
+        return a
+
+    def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, edges in whole_groups(batches):
+            e, chains = _numbers(batch, emissions), Chains(edges)
+            a = way(e, _numbers(batch, [switch])[:, 0], chains)
+            last = chains.starts + chains.length - 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(chains.starts)), pa.array(chains.length), pa.array(_sum_logs(a[last], 1))], [group, "n", "log_likelihood"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, edges in whole_groups(batches):
+            e, chains = _numbers(batch, emissions), Chains(edges)
+            flip = _numbers(batch, [switch])[:, 0]
+            a, b = way(e, flip, chains), np.zeros(e.shape)
+            for t in reversed(chains.steps()):
+                after = chains.rows(t + 1)
+                b[after - 1] = factored_step(e[after] + b[after], trans.T, flip[after - 1], same_state)
+            g = a + b
+            g = np.exp(g - _sum_logs(g, 1)[:, None])
+            twins = g.reshape(len(g), 2, plain)
+            state = twins.sum(axis=1).argmax(axis=1)
+            phase = (twins[np.arange(len(g)), 1, state] > twins[np.arange(len(g)), 0, state]).astype(np.int64)
+            values = pa.ListArray.from_arrays(pa.array(np.arange(len(g) + 1, dtype=np.int32) * 2 * plain), pa.array(g.ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), values, pa.array(state), pa.array(phase)], [*keep, "posterior", "state", "phase"])
+
+    return rows.mapInArrow(level, f"`{group}` {kinds[group]}, n long, log_likelihood double"), rows.mapInArrow(judge, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", posterior array<double>, state long, phase long")
+
+
 def count_mixture(df: DataFrame, count: str, base: str, states: int, alpha: float, rounds: int = 10) -> DataFrame:
     """(state, weight, log_mu) of a negative binomial mixture by expectation maximisation.
 

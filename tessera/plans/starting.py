@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import purity, starts
+from tessera.operators import hmm, purity, starts
 
+from .models import CHAIN, HALF, MOVE, SEEN, STAY as KEEP, UNSEEN
 from .registry import query, table
 
 #: Cells of parts: reads against an expectation, and reads of one allele among some.
@@ -100,3 +101,56 @@ def path_scores(spark, sf_dir):
 def purity_decode(spark, sf_dir):
     """Each clone's bins with their copies, after two rounds of expectation maximisation."""
     return purity.decode(_clones(spark, sf_dir), normal=0, model=purity.lattice(3, 2, STAY), rounds=2, passes=2).paths
+
+
+#: The probability that the phase flips before the next event, by the event's own value.
+SWITCH = "ln(0.02 + least(abs(coalesce(value, 0)), 900) / 2000)"
+
+
+def _log_sum(terms: list[str]) -> str:
+    top = f"greatest({', '.join(terms)})"
+    return f"({top} + ln({' + '.join(f'exp({t} - {top})' for t in terms)}))"
+
+
+def _phased_sql(same_state: bool) -> str:
+    """Two states and their twins; a twin sees as the other state does."""
+    stay, move = [[repr(KEEP), repr(MOVE)], [repr(MOVE), repr(KEEP)]], []
+    for j in range(4):
+        terms = []
+        for i in range(4):
+            flips = i // 2 != j // 2
+            by = "-0.6931471805599453" if same_state and i % 2 != j % 2 else "f.turn" if flips else "f.hold"
+            terms.append(f"a{i} + {stay[i % 2][j % 2]} + {by}")
+        move.append(_log_sum(terms))
+    e = [0, 1, 1, 0]
+    return f"""
+WITH RECURSIVE {CHAIN},
+y AS MATERIALIZED (SELECT x.*, {SWITCH} AS turn, ln(1 - exp({SWITCH})) AS hold FROM x JOIN (SELECT event_id, value FROM events) USING (event_id)),
+f(user_id, rn, turn, hold, a0, a1, a2, a3) AS (
+  SELECT user_id, rn, turn, hold, {", ".join(f"2 * {HALF!r} + e{k}" for k in e)} FROM y WHERE rn = 1
+  UNION ALL
+  SELECT y.user_id, y.rn, y.turn, y.hold, {", ".join(f"{m} + e{k}" for m, k in zip(move, e))}
+  FROM f JOIN y ON y.user_id = f.user_id AND y.rn = f.rn + 1)
+SELECT user_id, max(rn) AS n, round(max_by({_log_sum([f"a{i}" for i in range(4)])}, rn), 6) AS log_likelihood FROM f GROUP BY user_id
+"""
+
+
+def _phased(spark, sf_dir, same_state):
+    click = F.col("event_type") == "click"
+    sees = [F.when(click, F.lit(SEEN[i])).otherwise(F.lit(UNSEEN[i])) for i in (0, 1)]
+    switch = F.ln(0.02 + F.least(F.abs(F.coalesce(F.col("value"), F.lit(0.0))), F.lit(900.0)) / 2000)
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", *(sees[k].alias(f"t{i}") for i, k in enumerate([0, 1, 1, 0])), switch.alias("switch"))
+    level, states = hmm.phased(events, "user_id", ["ts", "event_id"], ["t0", "t1", "t2", "t3"], [[KEEP, MOVE], [MOVE, KEEP]], [HALF, HALF], "switch", same_state)
+    return level.withColumn("log_likelihood", F.round("log_likelihood", 6))
+
+
+@query(_phased_sql(False))
+def phased_likelihood(spark, sf_dir):
+    """Events of users as chains whose states have twins that see the other way round."""
+    return _phased(spark, sf_dir, False)
+
+
+@query(_phased_sql(True))
+def phased_likelihood_same_state(spark, sf_dir):
+    """The same, with phases tied only where the state stays."""
+    return _phased(spark, sf_dir, True)
