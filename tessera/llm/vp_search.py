@@ -220,12 +220,18 @@ def search(vectors: DataFrame, ident: str = "vec_id", column: str = "embedding",
     most = math.sqrt(max(r["m"] for r in sums))
     rows_in = {r["dim"]: max(64, shard_bytes // (8 * r["dim"])) for r in sums}
     wanted = {r["dim"]: min(MOST_PIVOTS, r["n"], max(least_shards, math.ceil(r["n"] / rows_in[r["dim"]]))) for r in sums}
-    # pivots are the vectors with the least hash of their id, as many as there are shards
-    first = Window.partitionBy("dim").orderBy(F.xxhash64("id"), "id")
-    some = rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= max(wanted.values())).select("dim", "nth", "vec").collect()
+    # pivots are the vectors with the least hash of their id, as many as there are shards; few but these are below the cut, so no task sorts more than some thousand
+    likely = {r["dim"]: min(1.0, (2 * wanted[r["dim"]] + 64) / r["n"]) for r in sums}
+    cuts = spark.createDataFrame([(d, min((1 << 63) - 1, int(p * (1 << 64)) - (1 << 63))) for d, p in likely.items()], "dim int, cut long")
+    low = rows.select("id", "dim", F.xxhash64("id").alias("h")).join(F.broadcast(cuts), "dim").where(F.col("h") <= F.col("cut"))
+    first = Window.partitionBy("dim").orderBy("h", "id")
+    ids = low.withColumn("nth", F.row_number().over(first)).select("id", "dim", "nth")
+    some = rows.join(F.broadcast(ids), ["id", "dim"]).select("dim", "nth", "vec").collect()
     chosen = {}
-    for d, n in wanted.items():
-        x = np.array([r["vec"] for r in sorted((r for r in some if r["dim"] == d and r["nth"] <= n), key=lambda r: r["nth"])], float)
+    for d in wanted:
+        own = sorted((r for r in some if r["dim"] == d and r["nth"] <= wanted[d]), key=lambda r: r["nth"])
+        wanted[d] = len(own)
+        x = np.array([r["vec"] for r in own], float)
         chosen[d] = (x, np.sqrt(np.maximum(0.0, most * most - np.einsum("ij,ij->i", x, x))))
     pivots = spark.sparkContext.broadcast(chosen)
     base = stage(placed(rows, pivots, most), "placed")
