@@ -106,7 +106,13 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 
 
 def disclosing(docs: DataFrame, text: str, threshold: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """(term, share): terms that reveal some identifier, with the largest share of it that they reveal."""
+    """(term, share): terms that reveal some identifier, with the largest share of it that they reveal.
+
+    Terms are words of three characters or more that begin with a letter.  A
+    share is estimated from at least ``support`` unlike texts that hold both,
+    so nothing is said of an identifier that fewer texts hold.  A text costs as
+    many pairs as it has such identifiers times such terms.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,10 +127,14 @@ def disclosing(docs: DataFrame, text: str, threshold: float = DISCLOSURE, suppor
     found = docs.select(F.col(f"`{text}`"), F.xxhash64(F.col(f"`{text}`")).alias("print")).mapInArrow(read, "print long, entities array<string>, terms array<string>")
     # copies of a text count once for support and fully for co-occurrence
     unlike = stage(found.groupBy("print").agg(F.count(F.lit(1)).alias("n"), F.first("entities").alias("entities"), F.first("terms").alias("terms")), "private")
-    held_by = unlike.select("print", "n", "terms", F.explode("entities").alias("entity"))
-    # an entity of fewer texts has no term with enough of them
+    held_by = unlike.select("print", "n", F.explode("entities").alias("entity"))
+    # an entity of fewer texts has no term with enough of them, and a term of fewer texts no entity
     entities = held_by.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support).drop("texts")
-    pairs = held_by.join(entities, "entity").select("entity", "n_e", "n", F.explode("terms").alias("term")).groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("support"), F.sum("n").alias("both"))
+    said = unlike.select("print", F.explode("terms").alias("term"))
+    several = said.groupBy("term").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support).select("term")
+    # a text's entities meet its terms where the text is: neither list is copied for the other, and a hot entity has its pairs summed before they move
+    met = held_by.join(entities, "entity").join(said.join(several, "term", "left_semi"), "print")
+    pairs = met.groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("support"), F.sum("n").alias("both"))
     pairs = stage(pairs.where(F.col("support") >= support), "pairs")
     held = counts(docs, text, pairs.select("term").distinct())
     total = docs.count()
