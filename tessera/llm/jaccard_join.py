@@ -258,8 +258,11 @@ def dealt(tokens: DataFrame, often: list[int], tile: int) -> DataFrame:
     """(token, n, class, root, at, bits): the members of each tile together, by size.
 
     ``often`` are tokens that may have more than ``tile`` members.  Their tiles
-    are split: members of the token's largest component go to one part each,
-    where they meet all the others.
+    are split.  Members of the token's largest component, which need not meet
+    each other, and all others are cut into blocks of some ``tile`` members;
+    there is a part for each block of the one with each of the other, and for
+    each two blocks of the others, so that no part has more than two blocks,
+    whatever components the members are of.
     """
 
     def members(rows: DataFrame) -> DataFrame:
@@ -273,10 +276,18 @@ def dealt(tokens: DataFrame, often: list[int], tile: int) -> DataFrame:
         named = tokens.sparkSession.createDataFrame([(t,) for t in often], "token long")
         spread = members(stage(tokens, "tokens"))
         by_root = spread.select("token", "root").join(F.broadcast(named), "token").groupBy("token", "root").count()
-        parts = by_root.groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("home"), F.ceil(F.sum("count") / tile).alias("parts")).where("parts > 1")
-        part = F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).when(F.col("root") == F.col("home"), F.array(F.pmod(F.xxhash64("class"), F.col("parts")))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-        spread = spread.join(F.broadcast(stage(parts, "parts")), "token", "left").select(F.col("token").alias("whole"), "parts", "n", "class", "root", "at", "bits", F.explode(part).alias("part"))
-        spread = spread.select(F.when(F.col("parts").isNull(), F.col("whole")).otherwise(F.xxhash64("whole", "part")).alias("token"), "n", "class", "root", "at", "bits")
+        sums = by_root.groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("home"), F.max("count").alias("most"), F.sum("count").alias("all")).where(F.col("all") > tile)
+        blocks = lambda n: F.greatest(F.lit(1).cast("long"), F.ceil(n / tile))
+        parts = sums.select("token", "home", blocks(F.col("most")).alias("own"), blocks(F.col("all") - F.col("most")).alias("other"))
+        upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+        place = lambda n: F.pmod(F.xxhash64("class"), n)
+        to_own = lambda i, j: F.xxhash64("whole", F.lit(0), i, j)
+        at_home = F.transform(upto(F.col("other")), lambda j: to_own(place(F.col("own")), j))
+        away = F.transform(upto(F.col("own")), lambda i: to_own(i, place(F.col("other"))))
+        apart = F.transform(upto(F.col("other")), lambda j: F.xxhash64("whole", F.lit(1), F.least(j, place(F.col("other"))), F.greatest(j, place(F.col("other")))))
+        part = F.when(F.col("own").isNull(), F.array(F.col("whole"))).when(F.col("root") == F.col("home"), at_home).when(F.col("other") == 1, away).otherwise(F.concat(away, apart))
+        spread = spread.join(F.broadcast(stage(parts, "parts")), "token", "left").withColumnRenamed("token", "whole")
+        spread = spread.select(F.explode(part).alias("token"), "n", "class", "root", "at", "bits")
     return spread.repartition(F.col("token")).sortWithinPartitions("token", "n", "class")
 
 
