@@ -77,8 +77,8 @@ def run_scores(spark, sf_dir):
     return audit.score_run(*_tables(spark, sf_dir)).withColumn("value", F.round("value", 9))
 
 
-@query(f"WITH {RUN} {MATCH} {BINS} k AS (SELECT t // 1000 || ',' || t % 1000 AS planted, CASE WHEN ab // 1000 + ab % 1000 <= 3 THEN ab // 1000 || ',' || ab % 1000 ELSE 'other' END AS decoded, count(*) AS n FROM b WHERE t // 1000 + t % 1000 <= 3 GROUP BY 1, 2) SELECT planted, decoded, round(n / CAST(sum(n) OVER (PARTITION BY planted) AS DOUBLE), 4) AS share FROM k")
+@query(f"WITH {RUN} {MATCH} {BINS} k AS (SELECT t // 1000 || ',' || t % 1000 AS planted, CASE WHEN ab // 1000 + ab % 1000 <= 3 THEN ab // 1000 || ',' || ab % 1000 ELSE 'other' END AS decoded, count(*) AS n FROM b WHERE t // 1000 + t % 1000 <= 3 GROUP BY 1, 2) SELECT planted, decoded, round(n / CAST(sum(n) OVER (PARTITION BY planted) AS DOUBLE), 9) AS share FROM k")
 def run_confusion(spark, sf_dir):
     """Planted against decoded copies, pairs beyond three in all as one."""
     planted, fitted, segments, profile = _tables(spark, sf_dir)
-    return audit.copy_confusion(audit.clone_bins(audit.matched(audit.at_truth(planted, fitted)), segments, profile), 3)
+    return audit.copy_confusion(audit.clone_bins(audit.matched(audit.at_truth(planted, fitted)), segments, profile), 3, digits=9)
