@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import audit
+from tessera.operators import audit, curves
 
 from .registry import query, table
 
@@ -82,3 +82,69 @@ def run_confusion(spark, sf_dir):
     """Planted against decoded copies, pairs beyond three in all as one."""
     planted, fitted, segments, profile = _tables(spark, sf_dir)
     return audit.copy_confusion(audit.clone_bins(audit.matched(audit.at_truth(planted, fitted)), segments, profile), 3, digits=9)
+
+
+#: How often a member is drawn in a resample, from a number that both engines compute alike.
+DRAWN = "(member * 7919 + draw * 104729 + member * draw * 31) % 10007 / CAST(10007 AS DOUBLE)"
+CURVE = """
+r AS (SELECT o_orderpriority AS g, o_custkey % 40 AS member, round(o_totalprice / 100000, 1) AS x, CASE WHEN o_totalprice + o_orderkey * 7919 % 200000 > 300000 THEN 1.0 ELSE 0.0 END AS y, CAST(count(*) AS DOUBLE) AS n FROM orders WHERE o_totalprice IS NOT NULL GROUP BY ALL),
+"""
+
+
+def _poisson_sql() -> str:
+    import math
+
+    edges, total, mass = [], 0.0, math.exp(-1)
+    for k in range(8):
+        total += mass
+        edges.append(f"WHEN {DRAWN} < {total!r} THEN {k}")
+        mass /= k + 1
+    return f"CASE {' '.join(edges)} ELSE 8 END"
+
+
+def _curve_sql(draws: int = 40, rounds: int = 12) -> str:
+    parts = [
+        CURVE.strip().rstrip(","),
+        f"e AS MATERIALIZED (SELECT * FROM (SELECT r.*, draw, CASE WHEN draw < 0 THEN 1 ELSE {_poisson_sql()} END * n AS m FROM r, range(-1, {draws}) d(draw)) WHERE m > 0)",
+        "p0 AS (SELECT g, draw, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b FROM e GROUP BY 1, 2)",
+    ]
+    for i in range(1, rounds + 1):
+        parts.append(f"q{i} AS (SELECT e.*, 1 / (1 + exp(-(a + b * x))) AS p FROM e JOIN p{i - 1} USING (g, draw))")
+        parts.append(f"s{i} AS (SELECT g, draw, sum(m * p * (1 - p)) + 1e-9 AS h, sum(m * p * (1 - p) * x) AS hx, sum(m * p * (1 - p) * x * x) + 1e-9 AS hxx, sum(m * (y - p)) AS r, sum(m * (y - p) * x) AS rx FROM q{i} GROUP BY 1, 2)")
+        parts.append(f"p{i} AS MATERIALIZED (SELECT g, draw, a + (hxx * r - hx * rx) / (h * hxx - hx * hx) AS a, b + (h * rx - hx * r) / (h * hxx - hx * hx) AS b FROM s{i} JOIN p{i - 1} USING (g, draw))")
+    parts.append(f"c AS (SELECT g, draw, CASE WHEN b > 0 THEN -a / b END AS half FROM p{rounds})")
+    return f"""WITH {", ".join(parts)}
+SELECT g AS "group", round(max(half) FILTER (draw < 0), 5) AS crossing, round(quantile_cont(half, 0.025) FILTER (draw >= 0), 5) AS low, round(quantile_cont(half, 0.975) FILTER (draw >= 0), 5) AS high, count(half) FILTER (draw >= 0) AS draws FROM c GROUP BY g"""
+
+
+def _curve_rows(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").where("o_totalprice IS NOT NULL")
+    y = F.when(F.col("o_totalprice") + F.col("o_orderkey") * 7919 % 200000 > 300000, 1.0).otherwise(0.0)
+    rows = orders.select(F.col("o_orderpriority").alias("group"), (F.col("o_custkey") % 40).alias("member"), F.round(F.col("o_totalprice") / 100000, 1).alias("x"), y.alias("y"))
+    return rows.groupBy("group", "member", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _weight(member, draw):
+    return curves.poisson((member * 7919 + draw * 104729 + member * draw * 31) % 10007 / 10007.0)
+
+
+@query(_curve_sql())
+def curve_crossings(spark, sf_dir):
+    """Where the rate of dear orders reaches one half, by priority, with bands over 40 resamples of customers."""
+    found = curves.fits(_curve_rows(spark, sf_dir), 40, _weight)
+    got = curves.crossings(spark, found)
+    return got.select("group", *(F.round(c, 5).alias(c) for c in ("crossing", "low", "high")), "draws")
+
+
+@query(f"""
+WITH {CURVE}
+b AS (SELECT g, member, CAST(floor(x) AS INT) AS bin, sum(y * n) AS s, sum(n) AS c FROM r WHERE x >= 0 AND x < 6 GROUP BY ALL),
+e AS (SELECT b.*, draw, CASE WHEN draw < 0 THEN 1 ELSE {_poisson_sql()} END AS w FROM b, range(-1, 40) d(draw)),
+t AS (SELECT g, bin, draw, sum(w * s) / nullif(sum(w * c), 0) AS rate, sum(c) AS c FROM e GROUP BY 1, 2, 3),
+f AS (SELECT g, bin, max(rate) FILTER (draw < 0) AS rate, quantile_cont(rate, 0.025) FILTER (draw >= 0) AS low, quantile_cont(rate, 0.975) FILTER (draw >= 0) AS high, CAST(max(c) FILTER (draw < 0) AS BIGINT) AS n FROM t GROUP BY 1, 2)
+SELECT g AS "group", i.bin, i.bin + 0.5 AS centre, round(rate, 6) AS rate, round(low, 6) AS low, round(high, 6) AS high, coalesce(n, 0) AS n FROM (SELECT DISTINCT g FROM r), range(6) i(bin) LEFT JOIN f USING (g, bin)
+""".replace("FROM (SELECT DISTINCT g FROM r), range(6) i(bin) LEFT JOIN f USING (g, bin)", "FROM (SELECT g, CAST(range AS INT) AS bin FROM (SELECT DISTINCT g FROM r), range(6)) i LEFT JOIN f USING (g, bin)"))
+def curve_rates(spark, sf_dir):
+    """The rate of dear orders in bins of their price, by priority, with bands."""
+    found = curves.rates(_curve_rows(spark, sf_dir), [float(i) for i in range(7)], 40, _weight)
+    return found.select("group", "bin", "centre", *(F.round(c, 6).alias(c) for c in ("rate", "low", "high")), "n")
