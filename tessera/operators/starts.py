@@ -179,15 +179,15 @@ def classified(cells: DataFrame, settings: list[Setting], iterations: int = 3) -
     return settings, [float(got["level"][0]) for got in swept(cells, settings)]
 
 
-def shaped(cells: DataFrame, settings: list[Setting]) -> list[Setting]:
-    """Settings with size and concentration, then error, of greatest likelihood for cells in their likeliest states.
+def shaped(cells: DataFrame, settings: list[Setting], error: bool = True) -> list[Setting]:
+    """Settings with size and concentration, then ``error`` if asked for, of greatest likelihood for cells in their likeliest states.
 
     Ranges are searched on their logs by grids that narrow, all settings and
     both of the first two shapes at once; states are those of the shapes that
     went in throughout.
     """
     found = settings
-    for kinds in ({"size": SIZES, "concentration": CONCENTRATIONS}, {"error": ERRORS}):
+    for kinds in ({"size": SIZES, "concentration": CONCENTRATIONS}, {"error": ERRORS})[: 1 + error]:
         ranges = [{kind: (math.log(lo), math.log(hi)) for kind, (lo, hi) in kinds.items()} for _ in settings]
         best = [{} for _ in settings]
         for _ in range(PASSES):
@@ -299,3 +299,62 @@ def run_start(cells: DataFrame, states: int, seed_on: DataFrame | None = None, f
     if fit_on is not None:
         start = polished(distinct_cells(fit_on), start, rounds)[0]
     return polished(whole, start, rounds)[0]
+
+
+def drawn_cell(cells: DataFrame, s: Setting, seed: int, cut: float = 0.0):
+    """One cell (total, exposure, b, trials), drawn with a chance in proportion to how badly its likeliest state explains it; None if there is none to draw.
+
+    Cells without reads, expectation or trials are not drawn, nor with ``cut``
+    those among the best explained share of that size.  The draw is the cell
+    whose seeded number, to the power of one over its chance, is the largest, so
+    it does not depend on partitions and needs no sum.
+    """
+    u = (F.pmod(F.xxhash64("total", "exposure", "b", "trials", F.lit(seed)), F.lit(1 << 30)) + 1) / float((1 << 30) + 2)
+    rate, share = np.array(s.rate), np.array(s.share)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, e, b, t, n, u = (batch.column(i).to_numpy() for i in range(6))
+            bad = np.concatenate([-(nb_by_size(k[i:j, None], e[i:j, None] * rate, np.array(s.size)) + bb(b[i:j, None], t[i:j, None], share, np.array(s.concentration))).max(axis=1) for i, j in ((i, i + TOGETHER) for i in range(0, len(k), TOGETHER))]) if len(k) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(bad), pa.array(np.log(u) / np.maximum(1e-12, bad * n))], ["total", "exposure", "b", "trials", "n", "bad", "draw"])
+
+    usable = cells.where("total > 0 AND exposure > 0 AND trials > 0")
+    judged = usable.select("total", "exposure", "b", "trials", "n", u.alias("u")).mapInArrow(run, "total double, exposure double, b double, trials double, n double, bad double, draw double")
+    if cut > 0:
+        judged = stage(judged, "judged")
+        least = judged.agg(F.percentile("bad", F.lit(cut), F.col("n").cast("long")).alias("__least"))  # one row
+        judged = judged.join(F.broadcast(least), F.col("bad") >= F.col("__least"))
+    return judged.agg(F.max_by(F.struct("total", "exposure", "b", "trials"), F.struct("draw", "total", "exposure", "b", "trials")).alias("c")).first()["c"]
+
+
+def mixture_start(cells: DataFrame, states: int, tries: int = 10, seed: int = 0, anneal: bool = False, most_rate: float = math.inf) -> Start:
+    """The likeliest of ``tries`` starts by drawing: from the neutral state on, each further state is a cell that those before explain badly.
+
+    After each try size and concentration are fitted, and the best try's are
+    those of the next, so that later ones draw under a law nearer to the cells'.
+    With ``anneal`` fewer and fewer well explained cells may be drawn at first
+    and more towards the last state.  States whose draw reads beyond
+    ``most_rate`` are drawn again, up to ten times, and then held there.
+    """
+    best: Start | None = None
+    size, concentration = 10.0, 1000.0
+    for t in range(tries):
+        rate, share = [1.0], [0.5]
+        while len(rate) < states:
+            s = Setting(tuple(rate), tuple(share), size, concentration, 0.0)
+            cut = max(0.0, 1 - len(rate) / (states - 1)) if anneal else 0.0
+            row = None
+            for again in range(10):
+                row = drawn_cell(cells, s, hash((seed, t, len(rate), again)) & 0x7FFFFFFF, cut)
+                if row is None or row["total"] / row["exposure"] <= most_rate:
+                    break
+            rate.append(1.0 if row is None else min(most_rate, row["total"] / row["exposure"]))
+            share.append(0.5 if row is None else min(1 - 1e-4, max(1e-4, row["b"] / row["trials"])))
+        fitted = shaped(cells, [Setting(tuple(rate), tuple(share), size, concentration, 0.0)], error=False)[0]
+        got = swept(cells, [fitted], soft=True)[0]
+        level = float(got["level"][0]) if "level" in got else 0.0
+        weight = got["weight"] / got["weight"].sum() if "weight" in got else np.full(states, 1 / states)
+        if best is None or level > best.log_likelihood:
+            best = Start(tuple(map(math.log, rate)), tuple(share), tuple(weight.tolist()), fitted.size, fitted.concentration, level)
+        size, concentration = best.size, best.concentration
+    return best

@@ -154,3 +154,10 @@ def phased_likelihood(spark, sf_dir):
 def phased_likelihood_same_state(spark, sf_dir):
     """The same, with phases tied only where the state stays."""
     return _phased(spark, sf_dir, True)
+
+
+@query()
+def mixture_states(spark, sf_dir):
+    """Three states of parts, the likeliest of two seeded draws: their rates, shares and weights."""
+    found = starts.mixture_start(starts.distinct_cells(_cells(spark, sf_dir)), 3, tries=2, seed=1)
+    return spark.createDataFrame([(i, *x) for i, x in enumerate(zip(found.log_mu, found.p, found.weight))], "state int, log_mu double, p double, weight double")
