@@ -97,22 +97,6 @@ def expansion(field: DataFrame, edges: DataFrame, labels: DataFrame, weight: flo
     return new if total(new) >= total(labels) else labels
 
 
-def expanded(field: DataFrame, edges: DataFrame, labels: DataFrame, weight: float, label_ids: list[int], floor: int = 0, rounds: int = 2) -> DataFrame:
-    """(spot, label): expansion moves over all labels until none gains, single-spot descent after them, then the floor."""
-    held = labels
-    total = lambda x: spatial.potts_energy(field, edges, x, weight).first()["total"]
-    before = total(held)
-    for _ in range(rounds):
-        for label in label_ids:
-            held = expansion(field, edges, held, weight, label)
-        held = stage(spatial.icm(field, edges, held, weight, sweeps=4), "descended")
-        after = total(held)
-        if before is not None and after <= before + 1e-9:
-            break
-        before = after
-    return floor_labels(field, held, floor) if floor else held
-
-
 def grid_starts(spots: DataFrame, across: int, down: int, slice_: str = "slice") -> DataFrame:
     """``spots`` with ``label``: cells of a grid over each slice's own range, numbered on from slice to slice."""
     ranges = spots.groupBy(slice_).agg(*(f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("lo", F.min), ("hi", F.max))))

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tessera import simulate
 from tessera.sources import arrays, outputs, runs, tables
-from tessera.staging import shared_dir
+from tessera.staging import scratch
 
 from .registry import query, table
 
 
 def _folder(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/files-{name}-{uuid.uuid4().hex}"
+    return scratch(spark, f"files-{name}")
 
 
 @query("SELECT l_suppkey AS \"row\", l_partkey AS col, CAST(sum(l_quantity) AS DOUBLE) AS value FROM lineitem GROUP BY 1, 2")

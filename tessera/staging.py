@@ -27,6 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there is removed when the driver ends."""
+    path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    _roots[path] = spark
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a reader of the written table.
 
@@ -34,8 +41,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     returned frame, and any made from it, read it lazily.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-    _roots[path] = spark
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

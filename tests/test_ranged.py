@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import generate
-from tessera.operators import bins, filters, fitting, labelling, normal, segmentation
+from tessera.operators import bins, filters, fitting, normal, segmentation
 from tessera.sources import arrays, outputs, ranged, runs, tables
 
 
@@ -142,11 +142,3 @@ def test_fitting_helpers(spark):
     profiles = spark.createDataFrame([(c, i, 0.8 if i < 5 else 0.2) for c in range(2) for i in range(10)], "clone long, bin long, share double")
     votes = {r["bin"]: r["phase"] for r in fitting.phased_by_vote(profiles, path.select("clone", "bin"), 0.1).collect()}
     assert votes == {i: int(i < 5) for i in range(10)}
-
-
-def test_expansions_with_descent(spark):
-    field = spark.createDataFrame([(i, k, float(k == (i >= 4))) for i in range(8) for k in range(2)], "spot long, label long, value double")
-    edges = spark.createDataFrame([(i, j, 1.0) for i in range(8) for j in (i - 1, i + 1) if 0 <= j < 8], "src long, dst long, w double")
-    labels = spark.createDataFrame([(i, 0) for i in range(8)], "spot long, label long")
-    got = {r["spot"]: r["label"] for r in labelling.expanded(field, edges, labels, 0.2, [0, 1], rounds=1).collect()}
-    assert got == {i: int(i >= 4) for i in range(8)}
