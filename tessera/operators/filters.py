@@ -190,3 +190,9 @@ def nearest_row(first: DataFrame, second: DataFrame, ident: str, other: str, wid
         if left.isEmpty():
             return out
         ring *= 4
+
+
+def positions(values: DataFrame, vocabulary: DataFrame, value: str, at: str) -> DataFrame:
+    """``values`` with ``at``, where each is in the vocabulary (value, at), and ``known``; the first place counts where it is there twice."""
+    first = vocabulary.groupBy(value).agg(F.min(at).alias(at))
+    return values.join(first, value, "left").withColumn("known", F.col(at).isNotNull())

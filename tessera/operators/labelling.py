@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import spatial
 from tessera.operators.ranking import densified
+from tessera.operators.scoring import adjusted_rand, contingency
 from tessera.staging import stage
 
 
@@ -267,3 +268,28 @@ def cluster_costs(field: DataFrame, edges: DataFrame, cluster: DataFrame, labels
     within = out.where("in_dst").agg(F.coalesce(F.sum("w") / 2, F.lit(0.0)).alias("__within"))  # one row
     outer = out.where("in_dst IS NULL").join(labels.select(F.col("spot").alias("dst"), "label"), "dst").groupBy("label").agg(F.sum("w").alias("outer"))
     return node.join(outer, "label", "left").join(F.broadcast(within), how="cross").select("label", "node", (F.coalesce("outer", F.lit(0.0)) + F.col("__within")).alias("edge"))
+
+
+def field_strength(field: DataFrame, planted: DataFrame) -> DataFrame:
+    """One row (margin, q10, wrong, ari): how clearly a field tells planted labels.
+
+    A spot's margin is its planted label's value less the best of the others';
+    given are the margins' median and tenth percentile, the share below 0, and
+    the adjusted Rand index of each spot's best label, ties to the smaller.
+    Spots without a value for their label or for another take no part in the
+    margins.
+    """
+    own = planted.select("spot", F.col("label").alias("__own"))
+    met = field.join(own, "spot")
+    each = met.groupBy("spot", "__own").agg(F.max(F.when(F.col("label") == F.col("__own"), F.col("value"))).alias("v"), F.max(F.when(F.col("label") != F.col("__own"), F.col("value"))).alias("o"), F.max_by("label", F.struct("value", -F.col("label"))).alias("best"))
+    each = stage(each.select(F.col("__own").alias("planted"), "best", (F.col("v") - F.col("o")).alias("margin")), "margins")
+    sums = each.agg(F.percentile("margin", F.lit(0.5)).alias("margin"), F.percentile("margin", F.lit(0.1)).alias("q10"), F.avg((F.col("margin") < 0).cast("double")).alias("wrong"))
+    ari = adjusted_rand(contingency(each, "planted", "best"), "planted", "best").select("ari")
+    return sums.join(ari, how="cross")  # one row each
+
+
+def overdispersion(cells: DataFrame, successes: str, trials: str, share: str) -> DataFrame:
+    """One row (rho): the beta-binomial overdispersion by moments, over cells of two trials or more with the given shares; NULL without any."""
+    n, b, p = F.col(trials), F.col(successes), F.col(share)
+    kept = cells.where(n >= 2)
+    return kept.agg(F.try_divide(F.sum((b - n * p) * (b - n * p) - n * p * (1 - p)), F.sum(n * (n - 1) * p * (1 - p))).alias("rho"))

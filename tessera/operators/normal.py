@@ -229,3 +229,24 @@ def local_baseline(cells: DataFrame, labels: DataFrame, local: DataFrame, least:
     scored = cells.join(share, "bin")
     totals = scored.groupBy("spot").agg(F.sum("umi").alias("total"))
     return scored.join(totals, "spot").select("bin", "spot", (F.col("lam") * F.col("total")).alias("base"))
+
+
+def reference_reads(reads: DataFrame, normal: DataFrame, genes: DataFrame) -> DataFrame:
+    """(spot, gene, n): the normal spots' reads by the genes of a reference, columns of one name summed; reads of other genes are left out."""
+    own = reads.join(normal.select("spot").distinct(), "spot", "left_semi").join(genes.select("gene").distinct(), "gene", "left_semi")
+    return own.groupBy("spot", "gene").agg(F.sum("n").alias("n"))
+
+
+def gene_baseline(reads: DataFrame, normal: DataFrame, genes: DataFrame) -> DataFrame:
+    """(gene, chrom, start, end, lambda): the share of the normal spots' reads on each reference gene that the assay measures.
+
+    A gene is measured if any spot has a row of it; one that no normal spot
+    expresses has 0.  Of genes that a reference lists more than once the first
+    by chromosome and start counts.  Without any reads shares are NULL.
+    """
+    measured = reads.select("gene").distinct()
+    first = genes.groupBy("gene").agg(F.min(F.struct("chrom", "start", "end")).alias("g")).join(measured, "gene", "left_semi").select("gene", "g.*")
+    sums = reference_reads(reads, normal, genes).groupBy("gene").agg(F.sum("n").alias("__n"))
+    held = first.join(sums, "gene", "left").withColumn("__n", F.coalesce("__n", F.lit(0)))
+    whole = held.agg(F.sum("__n").alias("__whole"))  # one row
+    return held.join(F.broadcast(whole), how="cross").select("gene", "chrom", "start", "end", F.try_divide(F.col("__n").cast("double"), F.col("__whole")).alias("lambda"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import special
-from tessera.operators import copies, decode, filters, labelling
+from tessera.operators import copies, decode, filters, labelling, normal
+from tessera.operators.ranking import numbered
 from tessera.sources import outputs
 
 from .registry import query, table
@@ -257,3 +258,50 @@ def chi_square_p(spark, sf_dir):
     expected = cells.join(F.broadcast(total), how="cross").withColumn("e", F.col("n") / F.col("k"))
     found = summaries.chi_square(expected, "o", "e")
     return found.select(F.round("statistic", 6).alias("statistic"), "cells", F.round(special.chi_square_tail(F.col("statistic"), F.col("cells") - 1), 8).alias("p"))
+
+
+@query(f"""
+WITH {SPOTS}, {FIELD}, m AS (
+  SELECT f.spot, any_value(p.label) AS planted, max(value) FILTER (f.label = p.label) - max(value) FILTER (f.label <> p.label) AS margin, arg_max(f.label, (value, -f.label)) AS best FROM f JOIN p USING (spot) GROUP BY f.spot),
+n AS (SELECT planted, best, count(*) AS n FROM m GROUP BY 1, 2), a AS (SELECT sum(n) AS n, sum(n * (n - 1) / 2.0) AS s FROM n),
+l AS (SELECT sum(k * (k - 1) / 2.0) AS sl FROM (SELECT sum(n) AS k FROM n GROUP BY planted)), r AS (SELECT sum(k * (k - 1) / 2.0) AS sr FROM (SELECT sum(n) AS k FROM n GROUP BY best))
+SELECT round(quantile_cont(margin, 0.5), 6) AS margin, round(quantile_cont(margin, 0.1), 6) AS q10, round(avg(CASE WHEN margin < 0 THEN 1.0 ELSE 0.0 END), 6) AS wrong,
+  (SELECT round((s - sl * sr / (n * (n - 1) / 2.0)) / ((sl + sr) / 2 - sl * sr / (n * (n - 1) / 2.0)), 6) FROM a, l, r) AS ari FROM m
+""")
+def field_strength(spark, sf_dir):
+    found = labelling.field_strength(_field(spark, sf_dir).select("spot", "label", "value"), _spots(spark, sf_dir).select("spot", "label"))
+    return found.select(*(F.round(c, 6).alias(c) for c in ("margin", "q10", "wrong", "ari")))
+
+
+@query("""
+SELECT round(sum((b - n * p) * (b - n * p) - n * p * (1 - p)) / sum(n * (n - 1) * p * (1 - p)), 8) AS rho
+FROM (SELECT CAST(l_linenumber AS DOUBLE) AS b, CAST(l_quantity AS DOUBLE) AS n, CAST(0.1 AS DOUBLE) + l_partkey % 7 / CAST(10 AS DOUBLE) AS p FROM lineitem) WHERE n >= 2
+""")
+def share_overdispersion(spark, sf_dir):
+    cells = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("double").alias("b"), F.col("l_quantity").cast("double").alias("n"), (0.1 + F.col("l_partkey") % 7 / 10.0).alias("p"))
+    return labelling.overdispersion(cells, "b", "n", "p").select(F.round("rho", 8).alias("rho"))
+
+
+@query("""
+WITH r AS (SELECT l_suppkey AS spot, l_partkey AS gene, CAST(l_quantity AS BIGINT) AS n FROM lineitem), g AS (SELECT p_partkey AS gene, p_size AS chrom, p_partkey * 10 AS s, p_partkey * 10 + p_size AS e FROM part WHERE p_size > 10),
+k AS (SELECT s_suppkey AS spot FROM supplier WHERE s_nationkey < 8), m AS (SELECT g.*, coalesce(n, 0) AS n FROM g LEFT JOIN (SELECT gene, sum(n) AS n FROM r JOIN k USING (spot) GROUP BY gene) USING (gene) WHERE gene IN (SELECT gene FROM r))
+SELECT gene, chrom, s AS start, e AS "end", round(CAST(n AS DOUBLE) / sum(n) OVER (), 9) AS lambda FROM m
+""")
+def gene_baseline(spark, sf_dir):
+    """The share of some suppliers' items on each part."""
+    reads = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("spot"), F.col("l_partkey").alias("gene"), F.col("l_quantity").cast("long").alias("n"))
+    key = F.col("p_partkey")
+    genes = table(spark, sf_dir, "part").where("p_size > 10").select(key.alias("gene"), F.col("p_size").alias("chrom"), (key * 10).alias("start"), (key * 10 + F.col("p_size")).alias("end"))
+    spots = table(spark, sf_dir, "supplier").where("s_nationkey < 8").select(F.col("s_suppkey").alias("spot"))
+    return normal.gene_baseline(reads, spots, genes).withColumn("lambda", F.round("lambda", 9))
+
+
+@query("""
+WITH v AS (SELECT p_partkey AS value, row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1 AS place FROM part WHERE p_size < 30)
+SELECT l_orderkey, l_linenumber, l_partkey AS value, place AS "at", place IS NOT NULL AS known FROM lineitem LEFT JOIN v ON value = l_partkey
+""")
+def vocabulary_positions(spark, sf_dir):
+    """Where each line's part is among the small parts by price."""
+    parts = table(spark, sf_dir, "part").where("p_size < 30").select(F.col("p_partkey").alias("value"), "p_retailprice")
+    known = numbered(parts, "p_retailprice", "value", name="at").select("value", "at")
+    return filters.positions(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("value")), known, "value", "at")
