@@ -309,3 +309,49 @@ def initial_phase(cells: DataFrame, params: Params, stay: float, switch: str, ne
     minor = shares.groupBy("contig", "bin").agg(F.min(F.least(F.col("share"), 1 - F.col("share"))).alias("minor"))
     votes = phase_vote(shares.withColumn("__at", F.struct("contig", "bin")), "__at", "share", near).select("__at.contig", "__at.bin", "phase")
     return votes, cut_at_steps(minor, "contig", ["bin"], "minor", step, spacing).select("contig", "bin", "piece")
+
+
+#: What is added to variances, so that a component of equal points has one.
+LEAST_VARIANCE = 1e-6
+
+
+def plane_mixture(points: DataFrame, x: str, y: str, states: int, rounds: int = 20) -> tuple[DataFrame, list[float]]:
+    """((component, weight, x, y, v_xx, v_xy, v_yy), mean log-likelihood before each round): a mixture of normal laws in the plane by expectation maximisation.
+
+    Components start at even quantiles of x and the mean of y, with the whole
+    table's covariance and like weights, and keep that order.  A round is one
+    pass that returns six sums for each component.  Rows with a NULL or
+    non-finite coordinate take no part; without rows there is no component.
+    """
+    fine = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    held = points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    held = stage(held.where(fine("x") & fine("y")).groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("n")), "plane")
+    spark, schema = points.sparkSession, "component int, weight double, x double, y double, v_xx double, v_xy double, v_yy double"
+    at = F.percentile("x", F.array(*(F.lit((i + 0.5) / states) for i in range(states))), F.col("n").cast("long"))
+    total = lambda c: F.sum(F.col("n") * c) / F.sum("n")
+    row = held.agg(at.alias("at"), total(F.col("x")).alias("mx"), total(F.col("y")).alias("my"), total(F.col("x") * F.col("x")).alias("xx"), total(F.col("x") * F.col("y")).alias("xy"), total(F.col("y") * F.col("y")).alias("yy"), F.sum("n").alias("n")).first()
+    if not row["n"]:
+        return spark.createDataFrame([], schema), []
+    whole = (row["xx"] - row["mx"] ** 2 + LEAST_VARIANCE, row["xy"] - row["mx"] * row["my"], row["yy"] - row["my"] ** 2 + LEAST_VARIANCE)
+    now = [(1 / states, row["at"][i], row["my"], *whole) for i in range(states)]
+    levels: list[float] = []
+    for _ in range(rounds):
+        logs = []
+        for w, mx, my, xx, xy, yy in now:
+            det = xx * yy - xy * xy
+            dx, dy = F.col("x") - mx, F.col("y") - my
+            logs.append(F.lit(math.log(max(w, 1e-300)) - 0.5 * math.log(det) - math.log(2 * math.pi)) - 0.5 * (yy * dx * dx - 2 * xy * dx * dy + xx * dy * dy) / det)
+        each = held.withColumns({f"l{i}": v for i, v in enumerate(logs)})
+        top = F.greatest(*(F.col(f"l{i}") for i in range(states))) if states > 1 else F.col("l0")
+        each = each.withColumn("top", top).withColumn("whole", F.col("top") + F.ln(sum((F.exp(F.col(f"l{i}") - F.col("top")) for i in range(states)), F.lit(0.0))))
+        each = each.withColumns({f"r{i}": F.col("n") * F.exp(F.col(f"l{i}") - F.col("whole")) for i in range(states)})
+        by = {"n": F.lit(1.0), "x": F.col("x"), "y": F.col("y"), "xx": F.col("x") * F.col("x"), "xy": F.col("x") * F.col("y"), "yy": F.col("y") * F.col("y")}
+        s = each.agg(F.sum(F.col("n") * F.col("whole")).alias("level"), *(F.sum(F.col(f"r{i}") * v).alias(f"{k}{i}") for i in range(states) for k, v in by.items())).first()
+        levels.append(s["level"] / row["n"])
+        following = []
+        for i in range(states):
+            n = max(s[f"n{i}"], 1e-12)
+            mx, my = s[f"x{i}"] / n, s[f"y{i}"] / n
+            following.append((n / row["n"], mx, my, s[f"xx{i}"] / n - mx * mx + LEAST_VARIANCE, s[f"xy{i}"] / n - mx * my, s[f"yy{i}"] / n - my * my + LEAST_VARIANCE))
+        now = following
+    return spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(now)], schema), levels

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from tessera.functions.likelihood import bb_log_pmf, nb_log_pmf, once_each
-from tessera.operators import copies, hmm
+from tessera.operators import copies, fitting, hmm
 
 from .registry import query, table
 
@@ -156,13 +156,29 @@ def em_fit(spark, sf_dir):
     return hmm.count_mixture(items, "k", "b", 3, 0.1).withColumns({"weight": F.round("weight", 5), "log_mu": F.round("log_mu", 5)})
 
 
-@query()
+def _plane_sql(rounds=8, states=3, least=1e-6):
+    """Means and weights after each round, from six sums for each component."""
+    each = range(states)
+    parts = [
+        "c AS MATERIALIZED (SELECT CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)",
+        f"g AS (SELECT avg(y) AS my, avg(x * x) - avg(x) * avg(x) + {least!r} AS xx, avg(x * y) - avg(x) * avg(y) AS xy, avg(y * y) - avg(y) * avg(y) + {least!r} AS yy, count(*) AS n FROM c)",
+        "p0 AS MATERIALIZED (SELECT " + ", ".join(f"1 / {float(states)!r} AS w{i}, (SELECT quantile_cont(x, {(i + 0.5) / states!r}) FROM c) AS x{i}, my AS y{i}, xx AS xx{i}, xy AS xy{i}, yy AS yy{i}" for i in each) + " FROM g)",
+    ]
+    for r in range(1, rounds + 1):
+        law = lambda i: f"ln(w{i}) - 0.5 * ln(xx{i} * yy{i} - xy{i} * xy{i}) - 0.5 * (yy{i} * (x - x{i}) * (x - x{i}) - 2 * xy{i} * (x - x{i}) * (y - y{i}) + xx{i} * (y - y{i}) * (y - y{i})) / (xx{i} * yy{i} - xy{i} * xy{i}) AS l{i}"
+        parts.append(f"e{r} AS (SELECT x, y, {', '.join(map(law, each))} FROM c, p{r - 1})")
+        parts.append(f"t{r} AS (SELECT *, greatest({', '.join(f'l{i}' for i in each)}) AS top FROM e{r})")
+        parts.append(f"q{r} AS (SELECT x, y, {', '.join(f'exp(l{i} - top) AS h{i}' for i in each)}, {' + '.join(f'exp(l{i} - top)' for i in each)} AS whole FROM t{r})")
+        sums = ", ".join(f"sum(h{i} / whole) AS n{i}, " + ", ".join(f"sum(h{i} / whole * {v}) AS s{k}{i}" for k, v in (("x", "x"), ("y", "y"), ("xx", "x * x"), ("xy", "x * y"), ("yy", "y * y"))) for i in each)
+        parts.append(f"s{r} AS (SELECT {sums} FROM q{r})")
+        mean = ", ".join(f"n{i} / n AS w{i}, sx{i} / n{i} AS x{i}, sy{i} / n{i} AS y{i}, sxx{i} / n{i} - (sx{i} / n{i}) * (sx{i} / n{i}) + {least!r} AS xx{i}, sxy{i} / n{i} - (sx{i} / n{i}) * (sy{i} / n{i}) AS xy{i}, syy{i} / n{i} - (sy{i} / n{i}) * (sy{i} / n{i}) + {least!r} AS yy{i}" for i in each)
+        parts.append(f"p{r} AS MATERIALIZED (SELECT {mean} FROM s{r}, g)")
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT {i} AS component, round(w{i}, 6) AS weight, round(x{i}, 6) AS x, round(y{i}, 6) AS y FROM p{rounds}" for i in each)
+
+
+@query(_plane_sql())
 def gmm_init(spark, sf_dir):
-    """Means and weights of a Gaussian mixture on the first two coordinates."""
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    points = table(spark, sf_dir, "embeddings").select(array_to_vector(F.slice(F.col("embedding").cast("array<double>"), 1, 2)).alias("features"))
-    model = GaussianMixture(k=3, seed=1, maxIter=20).fit(points)
-    means = model.gaussiansDF.select(vector_to_array("mean").alias("m"))
-    return means.select(F.round(F.get("m", F.lit(0)), 6).alias("x"), F.round(F.get("m", F.lit(1)), 6).alias("y"))
+    """Means and weights of a mixture of three normal laws on the first two coordinates."""
+    points = table(spark, sf_dir, "embeddings").select(F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
+    found, _ = fitting.plane_mixture(points, "x", "y", 3, rounds=8)
+    return found.select("component", *(F.round(c, 6).alias(c) for c in ("weight", "x", "y")))
