@@ -161,9 +161,14 @@ def contained(docs: DataFrame, items: DataFrame, text: str = "text", ident: str
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", ident: str = "doc_id", **options) -> DataFrame:
-    """``docs`` less the documents that hold a benchmark window; all their columns stay as they are."""
+    """``docs`` less the documents that hold a benchmark window; all their columns stay as they are, whatever their names.
+
+    NULL and empty texts hold none and stay; of rows that repeat an id those
+    go whose own text holds one; an empty benchmark lets all stay.
+    """
     verdicts = contained(docs, items, text, ident, **options).where("contaminated")
     bad = verdicts.select(F.col("ident").alias("__ident"), F.col("print").alias("__print"), F.col("chars").alias("__chars"))
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    on = F.col(f"`{ident}`").eqNullSafe(F.col("__ident")) & (F.xxhash64(body) == F.col("__print")) & (F.length(body) == F.col("__chars"))
+    # bound to their frames, since documents may have columns of these names
+    body = F.coalesce(docs[f"`{text}`"], F.lit(""))
+    on = docs[f"`{ident}`"].eqNullSafe(bad["__ident"]) & (F.xxhash64(body) == bad["__print"]) & (F.length(body) == bad["__chars"])
     return docs.join(bad, on, "left_anti")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tessera.graph import components
 from tessera.staging import stage
 
-from .text import words
+from .text import free_name, words
 
 SHINGLE = 5
 #: Two sets link when the intersection is at least this many hundredths of the union.
@@ -492,17 +492,19 @@ def deduplicate(docs: DataFrame, text: str = "text", ident: str = "doc_id", size
 
     Documents without words are in no group and all stay.  A NULL id is less
     than any other; of texts under one id the one with the least hash stays,
-    and of rows that repeat both, one.
+    and of rows that repeat both, one.  Columns may have any names.
     """
     key = F.struct(F.col(f"`{ident}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("print"))
     keyed = docs.select(key.alias("key"), F.col(f"`{text}`").alias("text"))
     found = stage(join(keyed, "text", "key", size, percent), "groups")
     kept = found.where("n_shingles = 0 OR ident = component_id").select(F.col("ident.id").alias("__id"), F.col("ident.print").alias("__print")).distinct()
-    own = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    rows = docs.join(kept, F.col(f"`{ident}`").eqNullSafe(F.col("__id")) & (own == F.col("__print")), "left_semi")
+    print_of = lambda df: F.xxhash64(F.coalesce(df[f"`{text}`"], F.lit("")))
+    # bound to their frames, since documents may have columns of these names
+    rows = docs.join(kept, docs[f"`{ident}`"].eqNullSafe(kept["__id"]) & (print_of(docs) == kept["__print"]), "left_semi")
     repeats = found.where("n_shingles > 0").groupBy("ident").count().where("count > 1")
     if repeats.isEmpty():
         return rows
     # only where rows repeat an id and a text is there more than one to choose from
     empty = F.size(words(F.col(f"`{text}`"))) == 0
-    return rows.where(~empty).withColumn("__own", own).dropDuplicates([ident, "__own"]).drop("__own").unionByName(rows.where(empty))
+    own = free_name(docs, "__own")
+    return rows.where(~empty).withColumn(own, print_of(rows)).dropDuplicates([ident, own]).drop(own).unionByName(rows.where(empty))

@@ -34,6 +34,14 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*names)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def constant_table(spark, rows: list[dict], schema: str) -> DataFrame:
     """A small table held in the plan as a literal, parsed by the JVM."""
     import json

@@ -292,7 +292,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "do
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``score``, 0 to 1: higher, likelier toxic.  NULL texts score as empty ones; repeated rows alike."""
+    """``docs`` with ``score``, 0 to 1: higher, likelier toxic.
+
+    NULL texts score as empty ones, repeated rows alike, texts of any length
+    whole.  A column ``score`` of ``docs`` is replaced.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     # only the texts go to Python; the other columns stay where they are
