@@ -205,9 +205,9 @@ def alpha_expansion(field: DataFrame, edges: DataFrame, labels: DataFrame, weigh
     return labels, levels
 
 
-def fused_and_floored(field: DataFrame, edges: DataFrame, labels: DataFrame, weight: float, label_ids: list[int], floor: int = 0, sweeps: int = 4) -> DataFrame:
+def fused_and_floored(field: DataFrame, edges: DataFrame, labels: DataFrame, weight: float, label_ids: list[int], floor: int = 0, sweeps: int = 4, cycles: int = 5) -> DataFrame:
     """(spot, label): expansions from ``labels`` fused with single-spot descent from each spot's best label, then small labels emptied."""
-    expanded, _ = alpha_expansion(field, edges, labels, weight, label_ids)
+    expanded, _ = alpha_expansion(field, edges, labels, weight, label_ids, cycles)
     best = field.join(labels.select("spot"), "spot", "left_semi").groupBy("spot").agg(F.max_by("label", F.struct("value", -F.col("label"))).alias("label"))
     descended = spatial.icm(field, edges, best, weight, sweeps=sweeps)
     whole = fused(field, edges, expanded, descended, weight)

@@ -84,12 +84,12 @@ def test_drawn_starts(spark):
     df = spark.createDataFrame([*rows, (0, 0.0, 0, 0)], "total long, exposure double, b long, trials long")
     cells = starts.distinct_cells(df)
     one = starts.mixture_start(cells, 3, tries=1, seed=3)
-    several = starts.mixture_start(cells, 3, tries=3, seed=3)
+    several = starts.mixture_start(cells, 3, tries=2, seed=3)
     assert several.log_likelihood >= one.log_likelihood
     again = starts.mixture_start(starts.distinct_cells(df.repartition(7)), 3, tries=1, seed=3)
     assert again.p == one.p and again.log_mu == one.log_mu
-    fitted, _ = starts.polished(cells, several, rounds=20)
+    fitted, _ = starts.polished(cells, several, rounds=14)
     assert sorted(round(p, 1) for p in fitted.p) == [0.0, 0.3, 0.5] or sorted(round(p, 1) for p in fitted.p) == [0.1, 0.3, 0.5]
-    capped = starts.mixture_start(cells, 3, tries=1, seed=3, anneal=True, most_rate=1.2)
+    capped = starts.mixture_start(cells, 2, tries=1, seed=3, anneal=True, most_rate=1.2)
     assert all(math.exp(m) <= 1.2 + 1e-9 for m in capped.log_mu)
     assert starts.mixture_start(cells.limit(0), 2, tries=1).p == (0.5, 0.5)
