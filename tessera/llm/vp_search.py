@@ -33,6 +33,8 @@ SLACK = 1e-6
 SHARD_BYTES, MOST_PIVOTS = 1 << 25, 4096
 #: Queries that descend a tree together.
 TOGETHER = 1024
+#: Vectors in a leaf, and pairs that are scored exactly at once.
+LEAF, PAIRS = 512, 200_000
 
 
 @dataclass
@@ -48,8 +50,9 @@ class Node:
 class Tree:
     """Vectors (one a row) with their ids, on the sphere of radius ``most``."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, most: float, leaf: int = 64):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, most: float, leaf: int = LEAF):
         self.ids, self.x, self.most, self.leaf = ids, vectors, most, leaf
+        self.units = (vectors / most).astype(np.float32)
         lift = np.sqrt(np.maximum(0.0, most * most - np.einsum("ij,ij->i", vectors, vectors)))
         self.lifted = np.concatenate([vectors, lift[:, None]], axis=1)
         self.root = self._build(np.arange(len(ids)))
@@ -89,6 +92,10 @@ class Tree:
         own = np.einsum("ij,ij->i", queries, queries) + self.most * self.most
         least_score = np.full(len(ids), -np.inf) if known is None else known
         reach = self._reach(own, least_score)
+        largest = np.abs(queries).max(axis=1)
+        units = queries / largest[:, None]
+        length = np.linalg.norm(units, axis=1)
+        units, norms = (units / length[:, None]).astype(np.float32), largest * length
         slack = SLACK * max(self.most, 1e-300)
         stack = [(self.root, np.arange(len(ids)), np.zeros(len(ids)))]
         while stack:
@@ -98,7 +105,7 @@ class Tree:
                 continue
             if node.inner is None:
                 for part in range(0, len(node.rows), 1024):
-                    self._offer(node.rows[part : part + 1024], ids, queries, q, k, best_s, best_i)
+                    self._offer(node.rows[part : part + 1024], ids, queries, units, norms, q, k, best_s, best_i, least_score)
                 reach[q] = self._reach(own[q], np.maximum(best_s[q, -1], least_score[q]))
                 continue
             d = np.sqrt(np.maximum(0.0, own[q] - 2 * (queries[q] @ self.x[node.rows[0]])))
@@ -117,14 +124,39 @@ class Tree:
         none = np.isneginf(worst)
         return np.where(none, np.inf, np.sqrt(np.maximum(0.0, own - 2 * np.where(none, 0.0, worst))))
 
-    def _offer(self, rows, ids, queries, q, k, best_s, best_i) -> None:
-        # a plain sum of products, so that equal vectors score equally wherever they lie
-        s = np.einsum("ij,kj->ik", queries[q], self.x[rows])
-        found = np.broadcast_to(self.ids[rows], s.shape)
-        s = np.where(found == ids[q][:, None], -np.inf, s)
-        s, found = np.concatenate([best_s[q], s], axis=1), np.concatenate([best_i[q], found], axis=1)
-        order = np.lexsort((found, -s), axis=1)[:, :k]
-        best_s[q], best_i[q] = np.take_along_axis(s, order, 1), np.take_along_axis(found, order, 1)
+    def _offer(self, rows, ids, queries, units, norms, q, k, best_s, best_i, floor) -> None:
+        """Merges a leaf's rows into the best of the queries ``q``; ``floor`` are scores below which nothing counts.
+
+        A product of single precision finds the few rows that can count, and only these are scored exactly.
+        """
+        rough = units[q] @ self.units[rows].T
+        # twice the rounding of a product of unit vectors, each way
+        slack = np.float32(4e-7 * (self.x.shape[1] + 8))
+        span = norms[q] * self.most
+        bar = np.maximum(best_s[q, -1], floor[q]) / np.where(span > 0, span, 1.0)
+        bar = np.where(span > 0, bar, -np.inf).clip(-2.0, 2.0).astype(np.float32) - slack
+        many = np.flatnonzero((rough >= bar[:, None]).sum(axis=1) > 2 * k)
+        if len(many) and len(rows) > k + 1:
+            # one more than k, since a query's own row is no candidate
+            bar[many] = np.maximum(bar[many], -np.partition(-rough[many], k, axis=1)[:, k] - slack)
+        at, row = np.nonzero(rough >= bar[:, None])
+        if not len(at):
+            return
+        row = rows[row]
+        s = np.empty(len(at))
+        for lo in range(0, len(at), PAIRS):
+            # a plain sum of products, so that equal vectors score equally wherever they lie
+            s[lo : lo + PAIRS] = np.einsum("ij,ij->i", queries[q[at[lo : lo + PAIRS]]], self.x[row[lo : lo + PAIRS]])
+        other = self.ids[row] != ids[q[at]]
+        at, s, found = at[other], s[other], self.ids[row[other]]
+        met = np.unique(at)
+        at = np.concatenate([np.repeat(met, k), at])
+        s, found = np.concatenate([best_s[q[met]].ravel(), s]), np.concatenate([best_i[q[met]].ravel(), found])
+        order = np.lexsort((found, -s, at))
+        own = at[order]
+        nth = np.arange(len(own)) - np.searchsorted(own, own)
+        order = order[nth < k]
+        best_s[q[met]], best_i[q[met]] = s[order].reshape(-1, k), found[order].reshape(-1, k)
 
 
 def usable(vectors: DataFrame, ident: str, column: str) -> DataFrame:

@@ -57,3 +57,29 @@ def test_more_than_a_thousand_pivots(spark):
         order = [i for i in np.lexsort((np.arange(2600), -score)) if i != q][:5]
         assert [got[q][r] for r in range(1, 6)] == order
     assert 9000 not in got
+
+
+def test_few_pairs_are_scored_exactly(monkeypatch):
+    """Where nothing can be pruned, a leaf's product of single precision leaves few pairs, and the answer is the brute one, ties included."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 16))
+    x[2000:2100] = x[:100]  # copies tie
+    x[2500] *= 1e-30
+    most = float(np.sqrt((x * x).sum(axis=1).max()))
+    ids, asks = np.arange(len(x)) * 3, np.arange(0, len(x), 10)
+    scored, einsum = [0], np.einsum
+
+    def counted(form, *args, **rest):
+        out = einsum(form, *args, **rest)
+        scored[0] += out.size
+        return out
+
+    monkeypatch.setattr(np, "einsum", counted)
+    found, score = vp_search.Tree(ids, x, most).search(ids[asks], x[asks], 5, 1.0)
+    monkeypatch.undo()
+    assert scored[0] < len(x) * len(asks) / 10
+    for q, got, s in zip(asks.tolist(), found, score):
+        every = np.einsum("ij,ij->i", np.broadcast_to(x[q], x.shape), x)
+        every[q] = -np.inf
+        best = np.lexsort((ids, -every))[:5]
+        assert got.tolist() == ids[best].tolist() and np.allclose(s, every[best], rtol=1e-12, atol=0)
