@@ -247,16 +247,28 @@ def lattice_faults(edges: DataFrame, degree: int | None = None, tolerance: float
     Inner spots have ``degree`` neighbours (the most that any has, if not
     given); an edge weighs the mean of degree / d over its ends' own degrees d.
     """
-    loops = edges.where("src = dst").agg(F.count(F.lit(1)).alias("n")).select(F.lit("loops").alias("fault"), "n")
-    repeats = edges.groupBy("src", "dst").count().where("count > 1").agg(F.count(F.lit(1)).alias("n")).select(F.lit("repeats").alias("fault"), "n")
-    back = edges.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("w").alias("__back"))
-    one_way = edges.join(back, ["src", "dst"], "left").where("__back IS NULL OR __back <> w").select("src", "dst").distinct().agg(F.count(F.lit(1)).alias("n")).select(F.lit("one way").alias("fault"), "n")
-    degrees = edges.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
-    most = degrees.agg((F.max("d") if degree is None else F.lit(degree)).alias("z"))  # one row
-    side = lambda c: degrees.select(F.col("src").alias(c), F.col("d").alias(f"d_{c}"))
-    due = (F.col("z") / F.col("d_src") + F.col("z") / F.coalesce("d_dst", F.lit(1))) / 2
-    wrong = edges.join(side("src"), "src").join(side("dst"), "dst", "left").join(F.broadcast(most), how="cross").where(F.abs(F.col("w") - due) > tolerance)
-    return loops.unionByName(repeats).unionByName(one_way).unionByName(wrong.agg(F.count(F.lit(1)).alias("n")).select(F.lit("weights").alias("fault"), "n")).where("n > 0")
+    edges = stage(edges.select("src", "dst", "w"), "edges")
+    # both directions of a pair meet in one group, so no table of edges is joined to itself; an edge without an end has no other way
+    ways = edges.select("src", "dst", F.col("w").alias("__w"), F.lit(0).alias("__back"))
+    ways = ways.unionByName(edges.where("src IS NOT NULL AND dst IS NOT NULL").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("w").alias("__w"), F.lit(1).alias("__back")))
+    there, back = F.col("__back") == 0, F.col("__back") == 1
+    w = F.col("__w")
+    pairs = ways.groupBy("src", "dst").agg(
+        F.count_if(there).alias("n"), F.count_if(back).alias("n_back"), F.count_if(back & w.isNull()).alias("none_back"),
+        F.min(F.when(there, w)).alias("low"), F.max(F.when(there, w)).alias("high"), F.min(F.when(back, w)).alias("low_back"), F.max(F.when(back, w)).alias("high_back"),
+    ).where("n > 0")
+    unlike = (F.col("low") != F.col("high_back")) | (F.col("high") != F.col("low_back"))
+    one_way = (F.col("n_back") == 0) | (F.col("none_back") > 0) | F.coalesce(unlike, F.lit(False))
+    of_pairs = pairs.agg(F.coalesce(F.sum(F.when(F.col("src") == F.col("dst"), F.col("n"))), F.lit(0)).alias("loops"), F.count_if(F.col("n") > 1).alias("repeats"), F.count_if(one_way).alias("one way"))
+    degrees = stage(edges.groupBy("src").agg(F.count(F.lit(1)).alias("d")), "degrees")
+    most = degrees.agg(F.max("d").alias("z")).first()["z"] if degree is None else degree
+    # spots are as many as the rows allow, so neither side is broadcast
+    side = lambda c: degrees.select(F.col("src").alias(c), F.col("d").alias(f"d_{c}")).hint("merge")
+    z = F.lit(None).cast("long") if most is None else F.lit(most)
+    due = (z / F.col("d_src") + z / F.coalesce("d_dst", F.lit(1))) / 2
+    wrong = edges.join(side("src"), "src").join(side("dst"), "dst", "left").where(F.abs(F.col("w") - due) > tolerance)
+    counts = of_pairs.select(F.inline(F.array(*(F.struct(F.lit(c).alias("fault"), F.col(c).alias("n")) for c in ("loops", "repeats", "one way")))))
+    return counts.unionByName(wrong.agg(F.count(F.lit(1)).alias("n")).select(F.lit("weights").alias("fault"), "n")).where("n > 0")
 
 
 def cluster_costs(field: DataFrame, edges: DataFrame, cluster: DataFrame, labels: DataFrame) -> DataFrame:

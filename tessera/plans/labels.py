@@ -126,7 +126,7 @@ def lattice_faults(spark, sf_dir):
     steps = F.array(*(F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in ((0, 1), (0, -1), (1, 0), (-1, 0))))
     asked = spots.select(F.col("spot").alias("src"), "slice", "x", "y", F.explode(steps).alias("s")).where("src % 31 <> 0 OR s.dx >= 0")
     asked = asked.select("src", "slice", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"))
-    edges = asked.join(spots.select(F.col("spot").alias("dst"), "slice", "x", "y"), ["slice", "x", "y"])
+    edges = asked.join(spots.select(F.col("spot").alias("dst"), "slice", "x", "y").hint("merge"), ["slice", "x", "y"])
     return labelling.lattice_faults(edges.select("src", "dst", F.when(F.col("src") % 50 == 0, 3.0).otherwise(1.0).alias("w")))
 
 

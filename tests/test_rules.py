@@ -67,3 +67,17 @@ def test_matrix_market_of_many_small_files(spark, tmp_path):
     assert arrays.matrix_market_faults(spark, f"{tmp_path}/*.mtx").collect() == []
     (tmp_path / "m0.mtx").write_text("%%MatrixMarket\n2 2 3\n1 1 1\n3 1 1\n")
     assert [(r["entries"], r["found"], r["beyond"]) for r in arrays.matrix_market_faults(spark, f"{tmp_path}/*.mtx").collect()] == [(3, 2, 1)]
+
+
+def _broadcasts(frame):
+    """Broadcast exchanges of a plan as it ran."""
+    frame.collect()
+    return frame._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_lattice_faults_of_odd_edges(spark):
+    """Repeats, edges without an end, and weights that are NULL or unlike, with no table of edges or spots broadcast."""
+    rows = [(1, 2, 1.0), (1, 2, 2.0), (2, 1, 1.0), (3, 4, None), (4, 3, 1.0), (5, 6, None), (6, 5, None), (None, 7, 1.0), (7, None, 1.0), (8, 8, 1.0), (None, None, 1.0)]
+    found = labelling.lattice_faults(spark.createDataFrame(rows, "src long, dst long, w double"), 1)
+    assert _broadcasts(found) == 0
+    assert {r["fault"]: r["n"] for r in found.collect()} == {"loops": 1, "repeats": 1, "one way": 8, "weights": 3}
