@@ -39,12 +39,16 @@ def label_faults(labels: DataFrame, label: str = "label") -> DataFrame:
 
 
 def folded(field: DataFrame, prior: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
-    """``field`` (spot, slice, label, value) with each slice's label prior added, and -infinity where a label is not allowed."""
+    """``field`` (spot, slice, label, value) with each slice's label prior added, and -infinity where a label is not allowed.
+
+    Of these only the prior, which has a row for each slice and label, may be
+    broadcast; a list of what is allowed is as large as the field.
+    """
     out = field
     if prior is not None:
         out = out.join(prior.withColumnRenamed("log_weight", "__p"), ["slice", "label"], "left").withColumn("value", F.col("value") + F.coalesce("__p", F.lit(0.0))).drop("__p")
     if allowed is not None:
-        marked = out.join(allowed.select("spot", "label").distinct().withColumn("__ok", F.lit(True)), ["spot", "label"], "left")
+        marked = out.join(allowed.select("spot", "label").repartition("spot", "label").distinct().withColumn("__ok", F.lit(True)).hint("merge"), ["spot", "label"], "left")
         out = marked.withColumn("value", F.when(F.col("__ok"), F.col("value")).otherwise(F.lit(float("-inf")))).drop("__ok")
     return out
 

@@ -54,7 +54,7 @@ def folded_field(spark, sf_dir):
     allowed = field.where((F.col("spot") + F.col("label")) % 4 != 0).select("spot", "label")
     out = labelling.folded(field, prior, allowed)
     with_prior = labelling.folded(field, prior).withColumnRenamed("value", "plain")
-    met = out.join(with_prior, ["spot", "slice", "label"])
+    met = out.join(with_prior.hint("merge"), ["spot", "slice", "label"])
     return met.select("spot", "label", F.round("plain", 6).alias("value"), (F.col("value") > float("-inf")).alias("allowed"))
 
 

@@ -81,3 +81,12 @@ def test_lattice_faults_of_odd_edges(spark):
     found = labelling.lattice_faults(spark.createDataFrame(rows, "src long, dst long, w double"), 1)
     assert _broadcasts(found) == 0
     assert {r["fault"]: r["n"] for r in found.collect()} == {"loops": 1, "repeats": 1, "one way": 8, "weights": 3}
+
+
+def test_folded_field_broadcasts_no_list_of_what_is_allowed(spark):
+    field = spark.createDataFrame([(s, s % 2, k, float(s + k)) for s in range(6) for k in range(3)], "spot long, slice long, label long, value double")
+    allowed = spark.createDataFrame([(0, 1), (0, 1), (3, 2)], "spot long, label long")
+    out = labelling.folded(field, None, allowed)
+    assert _broadcasts(out) == 0
+    assert sorted((r["spot"], r["label"], r["value"]) for r in out.where("value > float('-inf')").collect()) == [(0, 1, 1.0), (3, 2, 5.0)]
+    assert out.count() == 18
