@@ -19,13 +19,10 @@ def _folder(spark, name: str) -> str:
 def matrix_market_round_trip(spark, sf_dir):
     """Counts as Matrix Market text, entries numbered from 1, and back."""
     path = _folder(spark, "mtx")
-    cells = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").cast("double").alias("v"))
-    lines = cells.select(F.concat_ws(" ", (F.col("l_suppkey") + 1).cast("string"), (F.col("l_partkey") + 1).cast("string"), F.col("v").cast("string")).alias("value"))
-    sizes = cells.agg(F.concat_ws(" ", F.max("l_suppkey") + 1, F.max("l_partkey") + 1, F.count(F.lit(1))).alias("value")).select(F.lit(2).alias("at"), "value")
-    head = spark.createDataFrame([(0, "%%MatrixMarket matrix coordinate real general"), (1, "% entries from 1")], "at int, value string").unionByName(sizes)
-    # the form is one file, its sizes before its entries
-    whole = head.unionByName(lines.withColumn("at", F.lit(3)))
-    whole.repartition(1).sortWithinPartitions("at").select("value").write.text(path)
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("row"), F.col("l_partkey").alias("col"), "l_quantity")
+    # few cells repeat, so they are summed after their shuffle
+    cells = lines.repartition("row", "col").groupBy("row", "col").agg(F.sum("l_quantity").cast("double").alias("value"))
+    arrays.write_matrix_market(cells, path)
     return arrays.matrix_market(spark, path)
 
 

@@ -7,36 +7,56 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.sources.tables import barcodes
+from tessera.staging import stage
 
 
 def matrix_market(spark: SparkSession, path: str) -> DataFrame:
     """(row, col, value) of coordinate Matrix Market files, from 0; comments and each file's line of sizes are passed over."""
     lines, first = _market_lines(spark, path)
-    entries = lines.join(F.broadcast(first.select("file", "at")), ["file", "at"], "left_anti")
+    entries = lines.join(F.broadcast(first), ["file", "block", "id"], "left_anti")
     parts = F.split(F.trim("value"), r"\s+")
     number = lambda i: F.get(parts, F.lit(i))
     return entries.select((number(0).cast("long") - 1).alias("row"), (number(1).cast("long") - 1).alias("col"), F.coalesce(number(2).try_cast("double"), F.lit(1.0)).alias("value"))
 
 
 def _market_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """((file, at, value), (file, at, value)): lines that are no comments, and the first such line of each file, which has its sizes."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.struct(F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("id")).alias("at"), "value")
+    """((file, block, id, value), (file, block, id)): lines that are no comments, and the first such line of each file, which has its sizes."""
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("id"), "value")
     lines = lines.where(~F.col("value").startswith("%") & (F.trim("value") != ""))
-    # ids rise along a block, whatever else its partition holds, so the least of a file is its first line
-    return lines, lines.groupBy("file").agg(F.min(F.struct("at", "value")).alias("f")).select("file", "f.at", "f.value")
+    # ids rise along a block, whatever else its partition holds, so the least of a file is its first line; least numbers are hashed, so no task sorts its lines
+    blocks = lines.groupBy("file", "block").agg(F.min("id").alias("id"))
+    return lines, blocks.groupBy("file").agg(F.min(F.struct("block", "id")).alias("f")).select("file", "f.block", "f.id")
+
+
+def write_matrix_market(cells: DataFrame, path: str, a_file: int = 1 << 20) -> None:
+    """(row, col, value), counted from 0, as Matrix Market files of some ``a_file`` entries, each whole in its form and held by one task; at least one file."""
+    cells = stage(cells.select("row", "col", "value"), "cells")
+    line = F.concat_ws(" ", (F.col("row") + 1).cast("string"), (F.col("col") + 1).cast("string"), F.col("value").cast("string"))
+    dealt = cells.repartition(max(1, -(-cells.count() // a_file)), "row", "col").select("row", "col", line.alias("value"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        rows, cols = (max((pc.max(b.column(i)).as_py() for b in held), default=-1) + 1 for i in (0, 1))
+        head = ["%%MatrixMarket matrix coordinate real general", "% entries from 1", f"{rows} {cols} {sum(b.num_rows for b in held)}"]
+        yield pa.RecordBatch.from_arrays([pa.array(head)], ["value"])
+        yield from (pa.RecordBatch.from_arrays([b.column(2)], ["value"]) for b in held)
+
+    dealt.mapInArrow(run, "value string").write.text(path)
 
 
 def matrix_market_faults(spark: SparkSession, path: str) -> DataFrame:
     """(file, rows, cols, entries, found, beyond): files whose entries are not as many as their line of sizes says, or lie outside it."""
     lines, first = _market_lines(spark, path)
     part = lambda c, i: F.get(F.split(F.trim(c), r"\s+"), F.lit(i)).try_cast("long")
-    sizes = first.select("file", F.col("at").alias("__first"), part("value", 0).alias("rows"), part("value", 1).alias("cols"), part("value", 2).alias("entries"))
+    own = lines.join(F.broadcast(first), ["file", "block", "id"])
+    sizes = own.select("file", F.struct("block", "id").alias("__first"), part("value", 0).alias("rows"), part("value", 1).alias("cols"), part("value", 2).alias("entries"))
     met = lines.join(F.broadcast(sizes), "file")
-    entry = F.col("at") != F.col("__first")
+    entry = F.struct("block", "id") != F.col("__first")
     outside = entry & ~F.coalesce(part("value", 0).between(1, F.col("rows")) & part("value", 1).between(1, F.col("cols")), F.lit(False))
     sums = met.groupBy("file", "rows", "cols", "entries").agg(F.count_if(entry).alias("found"), F.count_if(outside).alias("beyond"))
     return sums.where(~F.col("entries").eqNullSafe(F.col("found")) | (F.col("beyond") > 0))

@@ -90,3 +90,15 @@ def test_folded_field_broadcasts_no_list_of_what_is_allowed(spark):
     assert _broadcasts(out) == 0
     assert sorted((r["spot"], r["label"], r["value"]) for r in out.where("value > float('-inf')").collect()) == [(0, 1, 1.0), (3, 2, 5.0)]
     assert out.count() == 18
+
+
+def test_matrix_market_files_of_few_entries(spark, tmp_path):
+    """No file holds all entries, each is whole in its form, and an empty matrix has a file too."""
+    cells = spark.range(500).select(F.col("id").alias("row"), (F.col("id") * 7 % 50).alias("col"), (F.col("id") / 4).alias("value"))
+    arrays.write_matrix_market(cells, f"{tmp_path}/some", 50)
+    assert arrays.matrix_market_faults(spark, f"{tmp_path}/some").collect() == []
+    assert sorted(tuple(r) for r in arrays.matrix_market(spark, f"{tmp_path}/some").collect()) == sorted(tuple(r) for r in cells.collect())
+    sizes = [int(p.read_text().splitlines()[2].split()[2]) for p in (tmp_path / "some").glob("part-*")]
+    assert len(sizes) == 10 and sum(sizes) == 500 and max(sizes) < 150
+    arrays.write_matrix_market(cells.limit(0), f"{tmp_path}/none", 50)
+    assert arrays.matrix_market(spark, f"{tmp_path}/none").count() == 0
