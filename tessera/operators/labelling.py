@@ -295,9 +295,12 @@ def field_strength(field: DataFrame, planted: DataFrame) -> DataFrame:
     Spots without a value for their label or for another take no part in the
     margins.
     """
-    own = planted.select("spot", F.col("label").alias("__own"))
-    met = field.join(own, "spot")
-    each = met.groupBy("spot", "__own").agg(F.max(F.when(F.col("label") == F.col("__own"), F.col("value"))).alias("v"), F.max(F.when(F.col("label") != F.col("__own"), F.col("value"))).alias("o"), F.max_by("label", F.struct("value", -F.col("label"))).alias("best"))
+    # tables of a row for each spot are hashed where the field's rows stream by, which are many times as many and are never sorted
+    own = planted.select("spot", F.col("label").alias("__own")).hint("shuffle_hash")
+    is_own = F.col("label") == F.col("__own")
+    tops = field.join(own, "spot").groupBy("spot", "__own").agg(F.max(F.when(is_own, F.col("value"))).alias("v"), F.max(F.when(~is_own, F.col("value"))).alias("o"), F.max("value").alias("__top"))
+    met = field.join(tops.hint("shuffle_hash"), "spot")
+    each = met.groupBy("spot", "__own", "v", "o").agg(F.min(F.when(F.col("value").eqNullSafe(F.col("__top")), F.col("label"))).alias("best"))
     each = stage(each.select(F.col("__own").alias("planted"), "best", (F.col("v") - F.col("o")).alias("margin")), "margins")
     sums = each.agg(F.percentile("margin", F.lit(0.5)).alias("margin"), F.percentile("margin", F.lit(0.1)).alias("q10"), F.avg((F.col("margin") < 0).cast("double")).alias("wrong"))
     ari = adjusted_rand(contingency(each, "planted", "best"), "planted", "best").select("ari")

@@ -92,6 +92,23 @@ def test_folded_field_broadcasts_no_list_of_what_is_allowed(spark):
     assert out.count() == 18
 
 
+def test_field_strength_of_ties_and_nulls(spark):
+    """Ties go to the smaller label, spots without a value for their own label have no margin, and no aggregate sorts the field."""
+    rows = [(1, 0, 2.0), (1, 1, 2.0), (1, 2, 0.5), (2, 0, 1.0), (2, 1, 4.0), (3, 1, None), (3, 2, None), (4, 0, 9.0), (4, 2, 9.5)]
+    field = spark.createDataFrame(rows, "spot long, label long, value double")
+    planted = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 1)], "spot long, label long")
+    ran = []
+    keep = labelling.stage
+    try:
+        labelling.stage = lambda df, name: ran.append(df) or keep(df, name)
+        got = labelling.field_strength(field, planted).first()
+    finally:
+        labelling.stage = keep
+    assert (got["margin"], got["q10"], got["wrong"]) == (1.5, pytest.approx(0.3), 0.0)
+    assert {(r["planted"], r["best"], r["margin"]) for r in ran[0].collect()} == {(1, 0, 0.0), (1, 1, 3.0), (2, 1, None), (1, 2, None)}
+    assert "SortAggregate" not in ran[0]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_matrix_market_files_of_few_entries(spark, tmp_path):
     """No file holds all entries, each is whole in its form, and an empty matrix has a file too."""
     cells = spark.range(500).select(F.col("id").alias("row"), (F.col("id") * 7 % 50).alias("col"), (F.col("id") / 4).alias("value"))
