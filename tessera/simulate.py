@@ -230,19 +230,64 @@ def independent_entries(spark: SparkSession, rows: int, columns: int, law: Mixtu
     return spark.range(rows).mapInPandas(draw, "row long, col long, n long")
 
 
+#: Totals up to which beta-binomial draws are inverted side by side, and pairs that are drawn together.
+INVERTED, ABREAST = 512, 1 << 14
+
+
+def uniforms(seed: int, *keys: np.ndarray) -> np.ndarray:
+    """A number in [0, 1) for each row that follows from the seed and the row's keys alone (SplitMix64, a round for each key)."""
+    state = np.full(len(keys[0]), seed & 0xFFFFFFFFFFFFFFFF, np.uint64)
+    with np.errstate(over="ignore"):
+        for key in keys:
+            state = (state ^ key.astype(np.int64).view(np.uint64)) + np.uint64(0x9E3779B97F4A7C15)
+            state = (state ^ (state >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            state = (state ^ (state >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            state ^= state >> np.uint64(31)
+    return (state >> np.uint64(11)) * 2.0**-53
+
+
+def inverted(u: np.ndarray, n: np.ndarray, alpha: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """The beta-binomial's quantile at each ``u``: successes of ``n`` trials, by adding up its probabilities from none upward."""
+    order = np.argsort(-n, kind="stable")
+    u, n, alpha, beta = u[order], n[order], alpha[order], beta[order]
+    # rows with more trials come first, so those that a step concerns are a prefix
+    least = np.searchsorted(-n, -np.arange(1, int(n[0]) + 1 if len(n) else 1), side="right")
+    p = np.ones(len(n))
+    for i, m in enumerate(least.tolist()):
+        p[:m] *= (beta[:m] + i) / (alpha[:m] + beta[:m] + i)
+    left, drawn = u - p, np.zeros(len(n), np.int64)
+    for k, m in enumerate(least.tolist()):
+        drawn[:m] += left[:m] >= 0
+        p[:m] *= (n[:m] - k) / (k + 1) * (alpha[:m] + k) / np.where(n[:m] - k == 1, beta[:m], beta[:m] + n[:m] - k - 1)
+        left[:m] -= p[:m]
+    out = np.empty(len(n), np.int64)
+    out[order] = drawn
+    return out
+
+
 def allele_reads(trials: DataFrame, tau: float, seed: int = 0) -> DataFrame:
-    """(spot, snp, a, b): ``total`` reads of each pair split by a beta-binomial of its ``share``; ``flipped`` sites change sides."""
+    """(spot, snp, a, b): ``total`` reads of each pair split by a beta-binomial of its ``share``; ``flipped`` sites change sides.
+
+    A pair's draw follows from the seed and its two ids.  Many pairs are drawn
+    side by side; those of very many reads have a generator each.
+    """
 
     def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            a = np.zeros(len(part), np.int64)
-            for i, (spot, snp, total, share) in enumerate(zip(part.spot, part.snp, part.total, part["share"])):
-                rng = np.random.Generator(np.random.PCG64([seed, int(spot) & 0xFFFFFFFF, int(snp) & 0xFFFFFFFF]))
-                p = rng.beta(max(1e-9, share * tau), max(1e-9, (1 - share) * tau))
-                a[i] = rng.binomial(int(total), p)
-            b = part.total.to_numpy() - a
+            spot, snp, total = (part[c].to_numpy(np.int64) for c in ("spot", "snp", "total"))
+            share = part["share"].to_numpy(float)
+            alpha, beta = np.maximum(1e-9, share * tau), np.maximum(1e-9, (1 - share) * tau)
+            a, u = np.zeros(len(part), np.int64), uniforms(seed, spot, snp)
+            few = np.flatnonzero(total <= INVERTED)
+            for lo in range(0, len(few), ABREAST):
+                own = few[lo : lo + ABREAST]
+                a[own] = inverted(u[own], total[own], alpha[own], beta[own])
+            for i in np.flatnonzero(total > INVERTED).tolist():
+                rng = np.random.Generator(np.random.PCG64([seed, int(spot[i]) & 0xFFFFFFFF, int(snp[i]) & 0xFFFFFFFF]))
+                a[i] = rng.binomial(int(total[i]), rng.beta(alpha[i], beta[i]))
+            b = total - a
             flip = part.flipped.to_numpy(bool)
-            yield pd.DataFrame({"spot": part.spot, "snp": part.snp, "a": np.where(flip, b, a), "b": np.where(flip, a, b)})
+            yield pd.DataFrame({"spot": spot, "snp": snp, "a": np.where(flip, b, a), "b": np.where(flip, a, b)})
 
     return trials.select("spot", "snp", "total", "share", "flipped").mapInPandas(draw, "spot long, snp long, a long, b long")
 

@@ -1,11 +1,14 @@
 """Rules of loading, normal spots and graphs against brute force on small cases."""
 
 import itertools
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import simulate
 from tessera.operators import filters, intervals, labelling, normal
 from tessera.sources import arrays
 
@@ -119,3 +122,16 @@ def test_matrix_market_files_of_few_entries(spark, tmp_path):
     assert len(sizes) == 10 and sum(sizes) == 500 and max(sizes) < 150
     arrays.write_matrix_market(cells.limit(0), f"{tmp_path}/none", 50)
     assert arrays.matrix_market(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_allele_reads_side_by_side(spark, monkeypatch):
+    """Draws follow the beta-binomial, do not depend on batches, and take no generator a row but for very many reads."""
+    n, alpha, beta = np.full(40_000, 12), np.full(40_000, 2.0), np.full(40_000, 5.0)
+    drawn = simulate.inverted(simulate.uniforms(3, np.arange(40_000), np.arange(40_000) % 7), n, alpha, beta)
+    law = [math.comb(12, k) * math.exp(math.lgamma(k + 2) + math.lgamma(12 - k + 5) - math.lgamma(19) - math.lgamma(2) - math.lgamma(5) + math.lgamma(7)) for k in range(13)]
+    assert np.abs(np.bincount(drawn, minlength=13) / 40_000 - law).max() < 0.01 and drawn.max() <= 12
+    assert simulate.inverted(np.array([0.0, 0.999999, 0.5]), np.array([0, 3, 1]), np.full(3, 1e-9), np.full(3, 20.0)).tolist() == [0, 0, 0]
+    assert len(simulate.inverted(np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))) == 0
+    trials = spark.range(300).select((F.col("id") % 20).alias("spot"), F.col("id").alias("snp"), F.when(F.col("id") == 7, 5000).otherwise(F.col("id") % 9).alias("total"), F.lit(0.3).alias("share"), (F.col("id") % 2 == 0).alias("flipped"))
+    one, many = (sorted(tuple(r) for r in simulate.allele_reads(trials.repartition(k), 20.0, 2).collect()) for k in (1, 9))
+    assert one == many and all(a >= 0 and b >= 0 and a + b == (5000 if snp == 7 else snp % 9) for _, snp, a, b in one)
